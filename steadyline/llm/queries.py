@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hosts, langid, lm, secrets, sharding, simhash
+from . import bpe, decontaminate, hosts, langid, lm, search, secrets, sharding, simhash
 from .common import fold, table
 from .line_dedup import dedup_lines
 
@@ -62,7 +62,12 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2, PIECE_VOCAB)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_simhash, op4_byte_shards, op5_secret_scan, op6_bpe, op7_language_id, op8_decontamination, op9_lm_score)}
+def op10_bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for each document whose id is divisible by 50."""
+    return search.bm25_top(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0, k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_simhash, op4_byte_shards, op5_secret_scan, op6_bpe, op7_language_id, op8_decontamination, op9_lm_score, op10_bm25_top)}
 
 _TRIM = r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
