@@ -232,10 +232,10 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def fleiss_kappa(df: DataFrame, item: str, category: str) -> DataFrame:
     """df: a row per judgement. Items must have as many judgements each; kappa over all categories."""
-    cells = df.groupBy(item, category).agg(F.count("*").alias("c"))
-    items = cells.groupBy(item).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    cells = df.groupBy(item, category).agg(F.count("*").alias("votes"))
+    items = cells.groupBy(item).agg(F.sum("votes").alias("m"), F.sum(F.col("votes") * F.col("votes")).alias("q"))
     agree = items.agg(F.count("*").alias("items"), F.avg((F.col("q") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).alias("po"), F.sum("m").alias("all"))
-    shares = cells.groupBy(category).agg(F.sum("c").alias("c")).agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("q"))
+    shares = cells.groupBy(category).agg(F.sum("votes").alias("votes")).agg(F.sum(F.col("votes").cast("double") * F.col("votes")).alias("q"))
     r = agree.join(F.broadcast(shares))
     pe = F.col("q") / (F.col("all") * F.col("all").cast("double"))
     return r.select("items", "po", pe.alias("pe"), ((F.col("po") - pe) / (1 - pe)).alias("kappa"))

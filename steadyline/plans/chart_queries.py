@@ -89,22 +89,38 @@ def moving_individuals_chart(spark, sf_dir):
     return rounded(C.imr_moving(rows, 3))
 
 
-@query()
+def _quantile(kind: str) -> str:
+    """SQL of limits by adding up probabilities: (n, lo, hi) per distinct size, counts in units."""
+    pmf = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(b) + (n - k) * ln(1 - b))" if kind in ("p", "np") else "exp(k * ln(b * n) - b * n - lgamma(k + 1))"
+    top = "n" if kind in ("p", "np") else "CAST(b * n + 20 * sqrt(b * n) + 20 AS BIGINT)"
+    return f"""q AS (SELECT n, min(k) FILTER (WHERE cdf >= {ALPHA / 2!r}) AS lo, min(k) FILTER (WHERE cdf >= {1 - ALPHA / 2!r}) AS hi
+FROM (SELECT n, k, sum(pmf) OVER (PARTITION BY n ORDER BY k) AS cdf FROM (SELECT n, k, {pmf} AS pmf FROM (SELECT n, b, unnest(generate_series(0, {top})) AS k FROM (SELECT DISTINCT n, b FROM s)))) GROUP BY n)"""
+
+
+def _counts(kind: str) -> str:
+    size = {"np": "400", "c": "1"}.get(kind, "n")
+    by = "/ n" if kind in ("p", "u") else ""
+    center = "b * n" if kind == "np" else "b"
+    return f"""WITH {D}, s AS (SELECT series, pos, x, CAST({size} AS BIGINT) AS n, sum(x) OVER () / sum({size}) OVER () AS b FROM d), {_quantile(kind)}, j AS (SELECT s.*, lo, hi FROM s JOIN q USING (n))
+{_points("series, pos", "j", f"x {by} + 0.0::DOUBLE", center, f"lo {by} + 0.0::DOUBLE", f"hi {by} + 0.0::DOUBLE")}"""
+
+
+@query(_counts("p"))
 def p_chart(spark, sf_dir):
     return rounded(C.attribute_chart(daily_errors(spark, sf_dir), "p"))
 
 
-@query()
+@query(_counts("u"))
 def u_chart(spark, sf_dir):
     return rounded(C.attribute_chart(daily_errors(spark, sf_dir), "u"))
 
 
-@query()
+@query(_counts("c"))
 def c_chart(spark, sf_dir):
     return rounded(C.attribute_chart(daily_errors(spark, sf_dir), "c"))
 
 
-@query()
+@query(_counts("np"))
 def np_chart(spark, sf_dir):
     return rounded(C.attribute_chart(daily_errors(spark, sf_dir).withColumn("n", F.lit(400)), "np"))
 
