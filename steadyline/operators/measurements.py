@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from steadyline.functions.numeric import grubbs_critical
 
+from .lineage import cut
+
 #: Rows of a series that one window holds.
 CHUNK = 65_536
 
@@ -48,6 +50,11 @@ def within_chunk(*more: str):
     return Window.partitionBy("series", "chunk", *more).orderBy("pos")
 
 
+def moving(df: DataFrame, over, name: str, halo: int = 1) -> DataFrame:
+    """`df` with a windowed column that needs `halo` rows before its own. over: takes the window, gives the column."""
+    return chunked(df, halo).withColumn(name, over(within_chunk())).filter("own").drop("chunk", "own")
+
+
 # -- Validity and restarts: folds of an append-only log -----------------------
 
 
@@ -212,7 +219,7 @@ def resolution(df: DataFrame, places: int = 6) -> DataFrame:
     divisor = steps.filter("step > 0").groupBy("series").agg(F.first("k").alias("k"), F.min("step").alias("g"), F.max(F.lit(1)).alias("rest"))
     while True:
         left = steps.join(divisor.select("series", "g"), "series").groupBy("series").agg(F.min(F.when(F.col("step") % F.col("g") != 0, F.col("step") % F.col("g"))).alias("rest"))
-        divisor = divisor.drop("rest").join(left, "series").checkpoint()
+        divisor = cut(divisor.drop("rest").join(left, "series"))
         if divisor.filter("rest is not null").isEmpty():
             return divisor.select("series", (F.col("g") / F.pow(F.lit(10), "k")).alias("resolution"))
         divisor = divisor.withColumn("g", F.coalesce("rest", "g"))
