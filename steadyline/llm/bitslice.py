@@ -8,6 +8,8 @@ every pair has passed the radius are left out of all later planes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 CHECK_EVERY = 8
@@ -101,14 +103,19 @@ def _pairs(planes: np.ndarray, ends: np.ndarray, lags: np.ndarray, radius: int)
     return i, i + lag[row]
 
 
-def _forest(prints: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
-    """The smallest linked index of each row, over pairs of one run."""
+def _near(prints: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of indices within the radius, several lags at a time."""
     longest = int((ends - np.arange(len(ends))).max())
     planes = planes_of(prints, longest // 64 + 2)
-    root = np.arange(len(ends))
     step = max(1, WORDS_AT_ONCE // max(1, len(ends) // 64))
     for first in range(1, longest, step):
-        i, j = _pairs(planes, ends, np.arange(first, min(longest, first + step)), radius)
+        yield _pairs(planes, ends, np.arange(first, min(longest, first + step)), radius)
+
+
+def _forest(prints: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
+    """The smallest linked index of each row."""
+    root = np.arange(len(ends))
+    for i, j in _near(prints, ends, radius):
         while len(i):
             ri, rj = root[i], root[j]
             differ = ri != rj
@@ -119,21 +126,37 @@ def _forest(prints: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def link_runs(run: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """run: sorted group number of each row. Links (row, smaller row) that join what lies within the radius in a group."""
+def _runs_at_once(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, end of each row's run): all short runs together, then each long one."""
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     lengths = np.diff(np.r_[starts, len(run)])
-    links = []
-    short = np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths)
-    chosen = [np.flatnonzero(short)] if short.any() else []
+    short = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths))
+    chosen = [short] if len(short) else []
     chosen += [np.arange(s, s + n) for s, n in zip(starts[lengths > SHORT_RUN], lengths[lengths > SHORT_RUN], strict=True)]
     for rows in chosen:
         own = run[rows]
         begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         size = np.diff(np.r_[begin, len(own)])
-        root = _forest(prints[rows], np.repeat(begin + size, size), radius)
+        yield rows, np.repeat(begin + size, size)
+
+
+def link_runs(run: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """run: sorted group number of each row. Links (row, smaller row) that join what lies within the radius in a group."""
+    links = [(np.zeros(0, np.int64),) * 2]
+    for rows, ends in _runs_at_once(run):
+        root = _forest(prints[rows], ends, radius)
         linked = np.flatnonzero(root != np.arange(len(root)))
         links.append((rows[linked], rows[root[linked]]))
-    if not links:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links])
+    return tuple(np.concatenate(x) for x in zip(*links, strict=True))
+
+
+def pairs_across(run: np.ndarray, prints: np.ndarray, radius: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of a group within the radius whose labels differ."""
+    links = [(np.zeros(0, np.int64),) * 2]
+    for rows, ends in _runs_at_once(run):
+        if (label[rows] == label[rows[0]]).all():
+            continue
+        for i, j in _near(prints[rows], ends, radius):
+            differ = label[rows[i]] != label[rows[j]]
+            links.append((rows[i[differ]], rows[j[differ]]))
+    return tuple(np.concatenate(x) for x in zip(*links, strict=True))

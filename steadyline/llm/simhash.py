@@ -4,7 +4,10 @@ Each text gets a fingerprint of majority bits over the hashes of its word
 shingles. Only distinct fingerprints are compared, and only where they agree
 on one of several keys (choices of bits); within a key the bit-sliced
 comparison of `bitslice` finds what lies within the radius. Each key's group
-reports a forest, not its pairs, and components are joined up in Spark. Groups
+reports a forest, not its pairs, and components are joined up in Spark. Where
+a similarity is asked for, fingerprints that are surely similar are linked so
+first; pairs of different components that may be similar are then held against
+the texts themselves. Groups
 over `split` fingerprints are cut into chunks, and every pair of chunks is a
 group of its own in some task, so no group grows without bound.
 """
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitslice import link_runs
+from .bitslice import link_runs, pairs_across
 from .common import written
 from .components import components
 
@@ -33,9 +36,11 @@ ROWS_AT_ONCE = 100_000
 
 @dataclass(frozen=True)
 class Plan:
-    """words: in a shingle. bits: 64 or 128. radius: differing bits allowed.
+    """words: in a shingle. bits: 64 or 256. radius: differing bits allowed.
 
     keys: the bit positions that two fingerprints must share to be compared.
+    With a `similarity`, only `sure` differing bits link by themselves, and pairs
+    up to the radius if their shingle sets' Jaccard similarity reaches it.
     """
 
     words: int
@@ -43,6 +48,8 @@ class Plan:
     radius: int
     keys: tuple[tuple[int, ...], ...]
     split: int = 20_000
+    similarity: float | None = None
+    sure: int = 0
 
 
 def exact_plan(words: int = 3, radius: int = 2, blocks: int = 4) -> Plan:
@@ -52,27 +59,30 @@ def exact_plan(words: int = 3, radius: int = 2, blocks: int = 4) -> Plan:
     return Plan(words, 64, radius, keys)
 
 
-def similarity_plan(words: int = 5, radius: int = 30, keys: int = 40, key_bits: int = 12, seed: int = 11) -> Plan:
+def similarity_plan(words: int = 5, similarity: float = 0.8, radius: int = 54, sure: int = 22, keys: int = 32, key_bits: int = 12, seed: int = 11) -> Plan:
     """For shingle sets of Jaccard similarity 0.8 or more.
 
-    At 0.8 two of 128 bits' fingerprints differ in 19.4 bits on average with a
-    deviation of 4.1, unrelated ones in 64 with 5.7; the radius lies 2.6
-    deviations over the first and 6 under the second. A key of 12 bits is shared
-    with a chance of 0.14 at 0.8 (0.27 at 0.9), one of 40 keys with about 0.99.
+    At 0.8 two fingerprints of 256 bits differ in 38.8 on average with a
+    deviation of 5.7, unrelated ones in 128 with 8: the radius lies 2.7
+    deviations over the first. Sets of similarity 0.75 differ in 44 bits, with
+    6: they pass for surely similar with a chance of 0.0001. A key of 12 bits is
+    shared with a chance of 0.14 at 0.8 (0.27 at 0.9), one of 32 keys with 0.99.
+    Groups grow with the corpus; `key_bits` should grow with the logarithm of it.
     """
     draw = np.random.default_rng(seed)
-    return Plan(words, 128, radius, tuple(tuple(int(b) for b in draw.permutation(128)[:key_bits]) for _ in range(keys)))
+    chosen = tuple(tuple(int(b) for b in draw.permutation(256)[:key_bits]) for _ in range(keys))
+    return Plan(words, 256, radius, chosen, similarity=similarity, sure=sure)
 
 
 def fingerprint(text: bytes, words: int, bits: int) -> bytes:
     """Majority bits of the shingles' hashes; zero for a text without words.
 
-    64 bits: XXH64 with seed 42. 128 bits: XXH3 of that size with that seed.
+    64 bits: XXH64 with seed 42. 256 bits: two of XXH3's 128 with seeds 42 and 43.
     """
     tokens = text.lower().split()  # on bytes: A-Z, and the six blanks of ASCII
     if not tokens:
         return bytes(bits // 8)
-    digest = xxhash.xxh64_digest if bits == 64 else xxhash.xxh3_128_digest
+    digest, wide = (xxhash.xxh64_digest, None) if bits == 64 else (xxhash.xxh3_128_digest, xxhash.xxh3_128_digest)
     line = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1].tolist()
@@ -82,13 +92,14 @@ def fingerprint(text: bytes, words: int, bits: int) -> bytes:
     counts = np.zeros(bits, np.int64)
     for first in range(0, n, PIECE):
         last = min(n, first + PIECE)
-        hashes = b"".join([digest(line[s:e], 42) for s, e in zip(starts[first:last], ends[first + k - 1 : last + k - 1])])
+        shingles = [line[s:e] for s, e in zip(starts[first:last], ends[first + k - 1 : last + k - 1])]
+        hashes = b"".join([digest(x, 42) for x in shingles] if wide is None else [digest(x, 42) + wide(x, 43) for x in shingles])
         counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(last - first, -1), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > n).tobytes()
 
 
 def fingerprints(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, f0[, f1]): the fingerprint's 64-bit words as longs. A null text counts as empty."""
+    """(id, f0...): the fingerprint's 64-bit words as longs. A null text counts as empty."""
     n = plan.bits // 64
     words, bits = plan.words, plan.bits
 
@@ -103,7 +114,7 @@ def fingerprints(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col:
 
 
 def _keyed(plan: Plan):
-    """(rep, f...) -> (key, rep, f...) for each key of the plan."""
+    """(rep, label, f...) -> (key, rep, label, f...) for each key of the plan."""
     n = plan.bits // 64
     keys = plan.keys
 
@@ -111,63 +122,97 @@ def _keyed(plan: Plan):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            longs = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(n)], axis=1).astype(np.int64)
+            longs = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(n)], axis=1).astype(np.int64)
             bits = np.unpackbits(longs.astype(">i8").view(np.uint8).reshape(len(longs), -1), axis=1).astype(np.int64)
             for at, key in enumerate(keys):
                 value = bits[:, key] @ (1 << np.arange(len(key), dtype=np.int64)) + (at << 40)
-                yield pa.RecordBatch.from_arrays([pa.array(value), *batch.columns], ["key", "rep", *(f"f{k}" for k in range(n))])
+                yield pa.RecordBatch.from_arrays([pa.array(value), *batch.columns], ["key", "rep", "label", *(f"f{k}" for k in range(n))])
 
     return run
 
 
-def _linked(plan: Plan):
-    """Rows sorted by (key, cell) -> links (a, b) of their rep."""
-    n, radius = plan.bits // 64, plan.radius
+def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows sorted by (key, cell) -> (group number, rows) of whole groups, many at a time."""
+    numbered = lambda rows: (np.cumsum(np.r_[False, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]), rows)
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.int64))
+        size += batch.num_rows
+        if size >= ROWS_AT_ONCE:
+            rows = np.concatenate(held)
+            before = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
+            cut = before[-1] + 1 if len(before) else 0
+            if cut:
+                yield numbered(rows[:cut])
+            held, size = [rows[cut:]], len(rows) - cut
+    if size:
+        yield numbered(np.concatenate(held))
+
+
+def _in_groups(reps: DataFrame, plan: Plan) -> DataFrame:
+    """reps: (rep, label, f...). (key, cell, rep, label, f...): a row for each key, sorted by group; keys that one row has are left out."""
+    prints = [c for c in reps.columns if c not in ("rep", "label")]
+    schema = "key long, rep long, label long, " + ", ".join(f"{f} long" for f in prints)
+    keyed = reps.select("rep", "label", *prints).mapInArrow(_keyed(plan), schema)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    shared = sizes.filter("n > 1").select("key", F.expr(f"cast(ceil(n / {plan.split}) as int)").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    dealt = keyed.join(shared, "key").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cell = (F.least("chunk", "other").cast("long") * F.col("chunks") + F.greatest("chunk", "other")).alias("cell")
+    cells = dealt.select("key", cell, "rep", "label", *prints)
+    return cells.repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+
+def link_prints(reps: DataFrame, plan: Plan, radius: int) -> DataFrame:
+    """reps: (rep, f...), distinct fingerprints. (a, b): links that span what lies within the radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(rows: np.ndarray) -> pa.RecordBatch:
-            change = np.r_[False, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]
-            a, b = link_runs(np.cumsum(change), rows[:, 3:].view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(rows[a, 2]), pa.array(rows[b, 2])], ["a", "b"])
+        for group, rows in _in_cells(batches):
+            a, b = link_runs(group, rows[:, 4:].view(np.uint64), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[a, 2]), pa.array(rows[b, 2])], ["a", "b"])
 
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.int64))
-            size += batch.num_rows
-            if size >= ROWS_AT_ONCE:
-                rows = np.concatenate(held)
-                last = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
-                cut = last[-1] + 1 if len(last) else 0
-                if cut:
-                    yield links(rows[:cut])
-                held, size = [rows[cut:]], len(rows) - cut
-        if size:
-            yield links(np.concatenate(held))
-
-    assert n
-    return run
+    return _in_groups(reps.withColumn("label", F.lit(0).cast("long")), plan).mapInArrow(run, "a long, b long").distinct()
 
 
-def link_prints(reps: DataFrame, plan: Plan) -> DataFrame:
-    """reps: (rep, f0[, f1]), distinct fingerprints. (a, b): links that span what lies within the radius."""
-    prints = [c for c in reps.columns if c != "rep"]
-    schema = "key long, rep long, " + ", ".join(f"{f} long" for f in prints)
-    keyed = reps.select("rep", *prints).mapInArrow(_keyed(plan), schema)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    shared = sizes.filter("n > 1").select("key", F.expr(f"cast(ceil(n / {plan.split}) as int)").alias("chunks"))
-    dealt = keyed.join(shared, "key")
-    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    dealt = dealt.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cell = (F.least("chunk", "other").cast("long") * F.col("chunks") + F.greatest("chunk", "other")).alias("cell")
-    cells = dealt.select("key", cell, "rep", *prints)
-    cells = cells.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return cells.mapInArrow(_linked(plan), "a long, b long")
+def pairs_between(reps: DataFrame, plan: Plan) -> DataFrame:
+    """reps: (rep, label, f...). (a, b): all pairs within the plan's radius whose labels differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rows in _in_cells(batches):
+            a, b = pairs_across(group, rows[:, 4:].view(np.uint64), plan.radius, rows[:, 3])
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rows[a, 2], rows[b, 2])), pa.array(np.minimum(rows[a, 2], rows[b, 2]))], ["a", "b"])
+
+    return _in_groups(reps, plan).mapInArrow(run, "a long, b long").distinct()
+
+
+def shingle_set(text: bytes, words: int) -> set[bytes]:
+    tokens = text.lower().split()
+    return {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))}
+
+
+def similar(pairs: DataFrame, docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
+    """pairs: (a, b). Those whose texts' shingle sets reach the plan's similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in (2, 3)), strict=True):
+                x, y = shingle_set(x or b"", plan.words), shingle_set(y or b"", plan.words)
+                keep.append(len(x & y) >= plan.similarity * len(x | y))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    needed = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
+    texts = written(texts, "print-texts")
+    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: (id, f0[, f1], component).
+    """One row per row of `docs`: (id, f0..., component).
 
     component: the smallest id that links reach, the row's own included; ids are
     integers. Equal fingerprints are linked; null and empty texts and those
@@ -179,16 +224,21 @@ def near_groups(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: s
     names = [c for c in all_prints.columns if c != "id"]
     reps = all_prints.filter("id is not null").groupBy(*names).agg(F.min("id").alias("rep"))
     reps = written(reps, "print-classes")
-    roots = components(link_prints(reps, plan))
+    roots = components(link_prints(reps, plan, plan.radius if plan.similarity is None else plan.sure))
+    if plan.similarity is not None:
+        labelled = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("label"), *names)
+        pairs = written(pairs_between(labelled, plan), "print-pairs")
+        roots = components(roots.union(similar(pairs, docs, plan, id_col, text_col)))
     classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("root", "rep").alias("component"))
     out = all_prints.join(classes, names, "left")
     return out.select("id", *names, F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
 def drop_near_copies(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each near-duplicate group: the smallest id, and of its repeated rows the first.
+    """`docs` with one document of each near-duplicate group, that with the smallest id.
 
-    Rows with a null id all stay.
+    Rows that repeat an id are one document and stay or go together; rows with a
+    null id all stay.
     """
     groups = near_groups(docs, plan or similarity_plan(), id_col, text_col)
     gone = groups.filter("id > component").select(F.col("id").alias(id_col)).distinct()
