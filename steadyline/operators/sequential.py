@@ -126,6 +126,43 @@ def t2_chart(df: DataFrame, p: int, vector: str = "vec", alpha: float = ALPHA) -
     return out.withColumn("alarm", F.col("t2") > limit)
 
 
+def _vector_fold(df: DataFrame, mean: np.ndarray, cov: np.ndarray, vector: str, step) -> DataFrame:
+    """Fold whitened deviations of each series: in these coordinates the covariance is the unit matrix."""
+    p = len(mean)
+    whiten = np.linalg.inv(np.linalg.cholesky(cov))
+
+    def run(state, row):
+        return step(state, whiten @ (np.array(row.value, float)[:p] - mean))
+
+    rows = df.select("series", "pos", F.col(vector).alias("value"))
+    return _in_order(rows, run, "series string, pos long, statistic double, signal boolean")
+
+
+def mewma(df: DataFrame, mean: np.ndarray, cov: np.ndarray, vector: str = "vec", lam: float = 0.1, h: float = 8.66) -> DataFrame:
+    """Multivariate EWMA with its exact covariance at the start, which starts again after each signal."""
+
+    def step(state, d):
+        z, i = state or (np.zeros(len(d)), 0)
+        z, i = lam * d + (1 - lam) * z, i + 1
+        q = float(z @ z) / (lam / (2 - lam) * (1 - (1 - lam) ** (2 * i)))
+        return (None if q > h else (z, i)), (q, q > h)
+
+    return _vector_fold(df, mean, cov, vector, step)
+
+
+def mcusum(df: DataFrame, mean: np.ndarray, cov: np.ndarray, vector: str = "vec", k: float = 0.5, h: float = 5.5) -> DataFrame:
+    """Crosier's multivariate CUSUM, which starts again after each signal."""
+
+    def step(state, d):
+        v = (np.zeros(len(d)) if state is None else state) + d
+        c = float(np.sqrt(v @ v))
+        s = v * (1 - k / c) if c > k else np.zeros(len(d))
+        y = float(np.sqrt(s @ s))
+        return (None if y > h else s), (y, y > h)
+
+    return _vector_fold(df, mean, cov, vector, step)
+
+
 # -- Autocorrelation -----------------------------------------------------------
 
 

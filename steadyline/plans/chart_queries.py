@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from steadyline.functions.numeric import ALPHA, CN, c4, chi2_ppf, d2, d3, upper_u, w_quantile
+from steadyline.operators import analysis as A
 from steadyline.operators import charts as C
 from steadyline.operators import estimators as E
 from steadyline.operators import measurements as X
@@ -302,3 +303,44 @@ SELECT n, k, {r("mu")}, {r("sqrt(w)", "sigma_within")}, {r("sqrt(greatest(0, (tv
 def stream_anova(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type", "value")
     return rounded(S.stream_anova(rows, "day", "event_type"))
+
+
+@query(f"""WITH {G}, e AS (SELECT series, avg(mean) AS mu, avg(sd) AS sb, sqrt(avg(var)) AS sr FROM g GROUP BY series),
+x AS (SELECT g.series, count(*) AS n, count(*) FILTER (WHERE abs(mean - mu) > {_H!r} * sr) AS la, count(*) FILTER (WHERE sd > {_S[1]!r} * sr OR sd < {_S[0]!r} * sr) AS va FROM g JOIN e USING (series) GROUP BY g.series),
+t AS (SELECT k, min(i) FILTER (WHERE cdf >= 0.99) AS threshold FROM (SELECT k, i, sum(exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + i * ln({ALPHA!r}) + (k - i) * ln(1 - {ALPHA!r}))) OVER (PARTITION BY k ORDER BY i) AS cdf
+  FROM (SELECT DISTINCT 2 * n AS k FROM x), range(60) r(i) WHERE i <= k) GROUP BY k),
+v AS (SELECT m.series, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS s FROM m JOIN g ON m.series = g.series AND m.pos // 5 = g.ord // 5 GROUP BY m.series),
+i AS (SELECT series, n, 145 / (6 * s) AS p, least((mean - 5) / (3 * s), (150 - mean) / (3 * s)) AS pk FROM v),
+c AS (SELECT *, pk - 1.959963984540054 * sqrt(1 / (9 * n) + pk ^ 2 / (2 * (n - 1))) AS pl, pk + 1.959963984540054 * sqrt(1 / (9 * n) + pk ^ 2 / (2 * (n - 1))) AS ph FROM i)
+SELECT series, la AS location_alarms, va AS variation_alarms, CAST(threshold AS INT) AS threshold, la + va <= threshold AS stable, CASE WHEN la + va <= threshold THEN 'unknown' ELSE 'unstable' END AS stability, 'Ppk' AS index_name,
+c.n, {r("p")}, {r("pk")}, {r("pl", "pk_low")}, {r("ph", "pk_high")}, CASE WHEN pk < 1.33 THEN 'fails' WHEN pl >= 1.33 THEN 'meets' ELSE 'meets_estimate_only' END AS verdict
+FROM x JOIN t ON t.k = 2 * x.n JOIN c USING (series)""")
+def process_analysis(spark, sf_dir):
+    """The whole study of each series: chart, stability, indices, verdict."""
+    return rounded(A.analyse(measurements(spark, sf_dir), 5, 5.0, 150.0))
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.lit("all").alias("series"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
+
+
+_V = """v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id AS pos, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
+e AS (SELECT avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM v),
+w AS (SELECT i, pos, (a - ma) / sqrt(va) AS x, ((b - mb) - c / va * (a - ma)) / sqrt(vb - c * c / va) AS y FROM v, e)"""
+
+
+@query(f"""WITH RECURSIVE {_V}, z AS (SELECT i, pos, 0.1 * x AS zx, 0.1 * y AS zy, 1 AS t, (0.01 * (x * x + y * y)) / (0.1 / 1.9 * (1 - 0.9 ^ 2)) AS q FROM w WHERE i = 1
+  UNION ALL SELECT w.i, w.pos, 0.1 * x + 0.9 * k * zx, 0.1 * y + 0.9 * k * zy, 1 + k * t, ((0.1 * x + 0.9 * k * zx) ^ 2 + (0.1 * y + 0.9 * k * zy) ^ 2) / (0.1 / 1.9 * (1 - 0.9 ^ (2 * (1 + k * t))))
+  FROM (SELECT *, CASE WHEN q > 8.66 THEN 0 ELSE 1 END AS k FROM z) z JOIN w ON w.i = z.i + 1)
+SELECT 'all' AS series, pos, {r("q", "statistic")}, q > 8.66 AS signal FROM z""")
+def mewma_chart(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    _, mean, cov = S.vector_moments(rows, 2)
+    return rounded(S.mewma(rows, mean, cov))
+
+
+@query()
+def mcusum_chart(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    _, mean, cov = S.vector_moments(rows, 2)
+    return rounded(S.mcusum(rows, mean, cov))

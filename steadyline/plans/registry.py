@@ -11,4 +11,4 @@ __all__ = ["ORACLE_SQL", "QUERIES", "chart_queries", "flagship", "measurement_qu
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["xbar_s_chart"](spark, sf_dir)
+    return QUERIES["process_analysis"](spark, sf_dir)
