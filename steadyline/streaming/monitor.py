@@ -8,15 +8,19 @@ function that the batch twin folds, so both give the same signals.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Latest points that the criteria of a monitor look at.
 CONTEXT = 100
+# The process that sets up a stateful query gets no shipped files: what this module defines goes to it whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
