@@ -163,7 +163,12 @@ def binom_ppf(p: float, n: int, share: float) -> int:
 
 
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(400)
-_phi = np.vectorize(NORMAL.cdf)
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+
+def _phi(x: np.ndarray) -> np.ndarray:
+    """Standard normal distribution function."""
+    return _erfc(-np.asarray(x) / math.sqrt(2)).astype(float) / 2
 
 
 @lru_cache(maxsize=1024)
