@@ -162,7 +162,7 @@ def binom_ppf(p: float, n: int, share: float) -> int:
     return min(n, _smallest(lambda k: 1.0 if k >= n else beta_cdf(1 - share, n - k, k + 1), p, max(1, n)))
 
 
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(400)
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(200)
 _erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
