@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 END = "</w>"
 #: Words, and chunks between blanks, whose ids a worker remembers; a memory is emptied when it is full.
-REMEMBERED = 750_000
+REMEMBERED = 200_000
+#: Pairs of tokens whose compatibility it remembers, in the same way.
+PAIRS_REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
 #: Ids decoded at once.
 DECODED_AT_ONCE = 1 << 18
@@ -123,7 +125,7 @@ class WordBpe:
     def compatible(self, left: int, right: int) -> bool:
         found = self.known.get((left, right))
         if found is None:
-            if len(self.known) >= 4 * REMEMBERED:
+            if len(self.known) >= PAIRS_REMEMBERED:
                 self.known.clear()
             found = self.known[left, right] = self._untouched(left, right, len(self.rank))
         return found

@@ -24,7 +24,7 @@ from .lattice import START, pieces, smoothed
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose scores a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 750_000
+REMEMBERED = 300_000
 #: Strength of the prior, in uses of a piece: the vocabulary's own for the mean of the languages, that mean for each language.
 STRENGTH = 200.0
 MAX_LANGUAGES = 2000
@@ -112,7 +112,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str,
                         scores = np.concatenate([scores, np.zeros((len(seen), len(langs)))])
                     scores[len(seen) - len(new) : len(seen)] = values
                 for words in some:
-                    if not langs or not words:
+                    if not langs or not any(c.isalpha() for w in words for c in w):
                         found.append(UNDETERMINED)
                         sure.append(0.0)
                         continue
