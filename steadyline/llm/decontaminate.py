@@ -26,7 +26,7 @@ WINDOW = 8
 #: Words of a window that are no placeholders, at least.
 LITERALS = 4
 #: Bytes whose words are hashed at once.
-PIECE = 2_000_000
+PIECE = 1_000_000
 #: The bit set has 2 to this power of bits.
 FILTER_BITS = 22
 #: Words that are units when they follow a number.
@@ -187,7 +187,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
     rows, schema = _id_rows(docs, id_col, text_col)
     found = rows.mapInArrow(_windows(short, literals, bits, False, window), schema).withColumnRenamed("id", id_col)
     # Windows of one copy of the item lie equally far from their places in it; each copy is judged by itself.
-    matched = found.join(known, "hash").withColumn("shift", F.col("place") - F.col("item_place"))
+    matched = written(found.join(known, "hash").withColumn("shift", F.col("place") - F.col("item_place")), "template-matches")
     key = [id_col, item_id, "shift"]
     slots = matched.select(*key, F.explode(F.arrays_zip("item_slots", "slots")).alias("slot"))
     values = slots.groupBy(*key, F.col("slot.item_slots").alias("value")).agg(F.min("slot.slots").alias("low"), F.max("slot.slots").alias("high"))
