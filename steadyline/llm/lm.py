@@ -25,11 +25,13 @@ from .common import written
 from .lattice import START, pieces, smoothed
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 32_000_000
 STRENGTH = 1000.0
 LN10 = np.log(10.0)
 
-PACKED = "chunk string, ids array<long>, held array<boolean>, sizes array<long>, tokens binary, words array<string>, train array<long>"
+PACKED = "chunk long, ids array<long>, held array<boolean>, sizes array<long>, tokens binary, rare binary, words array<string>, train array<long>"
+#: Token numbers from here on are kept apart.
+WIDE = 0xFFFF
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,17 +51,25 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(tokens) - before)
             held = batch.column(1).slice(first, last - first)
             learn = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), sizes)
-            used = np.bincount(np.frombuffer(tokens, np.int32)[learn], minlength=len(number)) if len(tokens) else np.zeros(0, np.int64)
+            numbers = np.frombuffer(tokens, np.int32) if len(tokens) else np.zeros(0, np.int32)
+            # Frequent words get small numbers, and most tokens fit in two bytes.
+            order = np.argsort(-np.bincount(numbers, minlength=len(number)), kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            numbers = place[numbers]
+            used = np.bincount(numbers[learn], minlength=len(number))
+            names = list(number)
             row = {
-                "chunk": [f"{task}-{next(serial)}"],
+                "chunk": [(task << 32) + next(serial)],
                 "ids": [batch.column(0).slice(first, last - first).to_pylist()],
                 "held": [held.to_pylist()],
                 "sizes": [sizes],
-                "tokens": [tokens.tobytes()],
-                "words": [[w.decode() for w in number]],
+                "tokens": [np.minimum(numbers, WIDE).astype(np.uint16).tobytes()],
+                "rare": [numbers[numbers >= WIDE].tobytes()],
+                "words": [[names[i].decode() for i in order.tolist()]],
                 "train": [used],
             }
-            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
             first = last
 
@@ -123,8 +133,9 @@ def scored(docs: DataFrame, held_out: Column, vocab: str, id_col: str = "doc_id"
         seen[at], log[at] = known["seen"].to_numpy(), known["log"].to_numpy()
         base = np.log10((seen + 1) / (n_train + distinct + 1))
         end_base = np.log10((ends + 1) / (n_train + distinct + 1))
-        for row in packed.select(["ids", "held", "sizes", "tokens"]).to_pylist():
-            tokens = np.frombuffer(row["tokens"], np.int32)
+        for row in packed.select(["ids", "held", "sizes", "tokens", "rare"]).to_pylist():
+            tokens = np.frombuffer(row["tokens"], np.uint16).astype(np.int32)
+            tokens[tokens == WIDE] = np.frombuffer(row["rare"], np.int32)
             sizes = np.array(row["sizes"])
             filled = sizes > 0
             starts = (np.cumsum(sizes) - sizes)[filled]
@@ -145,6 +156,6 @@ def scored(docs: DataFrame, held_out: Column, vocab: str, id_col: str = "doc_id"
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
-    texts = packed.select("chunk", "ids", "held", "sizes", "tokens")
+    texts = packed.select("chunk", "ids", "held", "sizes", "tokens", "rare")
     result = texts.groupBy("chunk").cogroup(known.groupBy("own")).applyInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return result.withColumnRenamed("id", id_col)
