@@ -112,9 +112,20 @@ def _near(prints: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[n
         yield _pairs(planes, ends, np.arange(first, min(longest, first + step)), radius)
 
 
-def _forest(prints: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
-    """The smallest linked index of each row."""
+def _shared_before(x: np.ndarray, y: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether two fingerprints agree on all bits of one of some masks (each as wide as a fingerprint)."""
+    out, differ = np.zeros(len(x), bool), x ^ y
+    for mask in masks:
+        out |= ~(differ & mask).any(axis=1)
+    return out
+
+
+def _forest(prints: np.ndarray, ends: np.ndarray, radius: int, label: np.ndarray | None = None) -> np.ndarray:
+    """The smallest linked index of each row. Rows of one label count as linked from the start."""
     root = np.arange(len(ends))
+    if label is not None:
+        _, first, same = np.unique(label, return_index=True, return_inverse=True)
+        root = first[same]
     for i, j in _near(prints, ends, radius):
         while len(i):
             ri, rj = root[i], root[j]
@@ -140,23 +151,44 @@ def _runs_at_once(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, np.repeat(begin + size, size)
 
 
-def link_runs(run: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """run: sorted group number of each row. Links (row, smaller row) that join what lies within the radius in a group."""
+def link_runs(run: np.ndarray, prints: np.ndarray, radius: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """run: sorted group number of each row. Links (row, smaller row) that join what lies within the radius in a group.
+
+    With labels, links between labels only, at most one for each label of a group.
+    """
     links = [(np.zeros(0, np.int64),) * 2]
     for rows, ends in _runs_at_once(run):
-        root = _forest(prints[rows], ends, radius)
-        linked = np.flatnonzero(root != np.arange(len(root)))
+        if label is None:
+            root = _forest(prints[rows], ends, radius)
+            linked = np.flatnonzero(root != np.arange(len(root)))
+        else:
+            # A label can be in several runs that are handled together: it counts per run.
+            own = np.unique(np.stack([label[rows], ends]), axis=1, return_inverse=True)[1].ravel()
+            root = _forest(prints[rows], ends, radius, own)
+            first = np.unique(own, return_index=True)[1]
+            linked = first[root[first] != first]
         links.append((rows[linked], rows[root[linked]]))
     return tuple(np.concatenate(x) for x in zip(*links, strict=True))
 
 
-def pairs_across(run: np.ndarray, prints: np.ndarray, radius: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows of a group within the radius whose labels differ."""
+def pairs_across(run: np.ndarray, prints: np.ndarray, radius: int, label: np.ndarray, earlier: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of a group within the radius whose labels differ.
+
+    earlier: for each row, the masks of the keys before its own (one array per
+    key, the same for all rows of a group): pairs that share one are left out,
+    since the group of that key has them.
+    """
     links = [(np.zeros(0, np.int64),) * 2]
     for rows, ends in _runs_at_once(run):
-        if (label[rows] == label[rows[0]]).all():
-            continue
         for i, j in _near(prints[rows], ends, radius):
             differ = label[rows[i]] != label[rows[j]]
-            links.append((rows[i[differ]], rows[j[differ]]))
+            i, j = rows[i[differ]], rows[j[differ]]
+            if earlier is not None and len(i):
+                which = np.array([len(earlier[r]) for r in i])
+                seen = np.zeros(len(i), bool)
+                for n in np.unique(which):
+                    own = np.flatnonzero(which == n)
+                    seen[own] = _shared_before(prints[i[own]], prints[j[own]], earlier[i[own[0]]])
+                i, j = i[~seen], j[~seen]
+            links.append((i, j))
     return tuple(np.concatenate(x) for x in zip(*links, strict=True))

@@ -15,7 +15,7 @@ group of its own in some task, so no group grows without bound.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -32,6 +32,8 @@ from .components import components
 PIECE = 16_384
 #: Rows that a task compares at once, beside the rest of the last group.
 ROWS_AT_ONCE = 100_000
+#: Keys whose groups are linked before the others'.
+FIRST_KEYS = 4
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,8 @@ class Plan:
 
     keys: the bit positions that two fingerprints must share to be compared.
     With a `similarity`, only `sure` differing bits link by themselves, and pairs
-    up to the radius if their shingle sets' Jaccard similarity reaches it.
+    up to the radius if their shingle sets' Jaccard similarity reaches it; up to
+    `likely` bits, one pair for each group of linked texts is tried before the rest.
     """
 
     words: int
@@ -50,6 +53,7 @@ class Plan:
     split: int = 20_000
     similarity: float | None = None
     sure: int = 0
+    likely: int = 0
 
 
 def exact_plan(words: int = 3, radius: int = 2, blocks: int = 4) -> Plan:
@@ -59,7 +63,7 @@ def exact_plan(words: int = 3, radius: int = 2, blocks: int = 4) -> Plan:
     return Plan(words, 64, radius, keys)
 
 
-def similarity_plan(words: int = 5, similarity: float = 0.8, radius: int = 54, sure: int = 22, keys: int = 32, key_bits: int = 12, seed: int = 11) -> Plan:
+def similarity_plan(words: int = 5, similarity: float = 0.8, radius: int = 54, sure: int = 22, likely: int = 34, keys: int = 32, key_bits: int = 12, seed: int = 11) -> Plan:
     """For shingle sets of Jaccard similarity 0.8 or more.
 
     At 0.8 two fingerprints of 256 bits differ in 38.8 on average with a
@@ -71,7 +75,7 @@ def similarity_plan(words: int = 5, similarity: float = 0.8, radius: int = 54, s
     """
     draw = np.random.default_rng(seed)
     chosen = tuple(tuple(int(b) for b in draw.permutation(256)[:key_bits]) for _ in range(keys))
-    return Plan(words, 256, radius, chosen, similarity=similarity, sure=sure)
+    return Plan(words, 256, radius, chosen, similarity=similarity, sure=sure, likely=likely)
 
 
 def fingerprint(text: bytes, words: int, bits: int) -> bytes:
@@ -166,22 +170,37 @@ def _in_groups(reps: DataFrame, plan: Plan) -> DataFrame:
 
 
 def link_prints(reps: DataFrame, plan: Plan, radius: int) -> DataFrame:
-    """reps: (rep, f...), distinct fingerprints. (a, b): links that span what lies within the radius."""
+    """reps: (rep[, label], f...), distinct fingerprints. (a, b): links that span what lies within the radius.
+
+    With labels, links that join different labels only.
+    """
+    labelled = "label" in reps.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, rows in _in_cells(batches):
-            a, b = link_runs(group, rows[:, 4:].view(np.uint64), radius)
+            a, b = link_runs(group, rows[:, 4:].view(np.uint64), radius, rows[:, 3] if labelled else None)
             yield pa.RecordBatch.from_arrays([pa.array(rows[a, 2]), pa.array(rows[b, 2])], ["a", "b"])
 
-    return _in_groups(reps.withColumn("label", F.lit(0).cast("long")), plan).mapInArrow(run, "a long, b long").distinct()
+    reps = reps if labelled else reps.withColumn("label", F.lit(0).cast("long"))
+    return _in_groups(reps, plan).mapInArrow(run, "a long, b long").distinct()
+
+
+def _masks(plan: Plan) -> np.ndarray:
+    """(keys, words): the bits of each key, laid out as fingerprints are."""
+    bits = np.zeros((len(plan.keys), plan.bits), np.uint8)
+    for at, key in enumerate(plan.keys):
+        bits[at, list(key)] = 1
+    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
 
 
 def pairs_between(reps: DataFrame, plan: Plan) -> DataFrame:
-    """reps: (rep, label, f...). (a, b): all pairs within the plan's radius whose labels differ."""
+    """reps: (rep, label, f...). (a, b): all pairs within the plan's radius whose labels differ, each from the first key that it shares."""
+    masks = _masks(plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, rows in _in_cells(batches):
-            a, b = pairs_across(group, rows[:, 4:].view(np.uint64), plan.radius, rows[:, 3])
+            before = [masks[:k] for k in range(len(masks))]
+            a, b = pairs_across(group, rows[:, 4:].view(np.uint64), plan.radius, rows[:, 3], [before[k] for k in (rows[:, 0] >> 40).tolist()])
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rows[a, 2], rows[b, 2])), pa.array(np.minimum(rows[a, 2], rows[b, 2]))], ["a", "b"])
 
     return _in_groups(reps, plan).mapInArrow(run, "a long, b long").distinct()
@@ -224,10 +243,17 @@ def near_groups(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: s
     names = [c for c in all_prints.columns if c != "id"]
     reps = all_prints.filter("id is not null").groupBy(*names).agg(F.min("id").alias("rep"))
     reps = written(reps, "print-classes")
-    roots = components(link_prints(reps, plan, plan.radius if plan.similarity is None else plan.sure))
-    if plan.similarity is not None:
-        labelled = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("label"), *names)
-        pairs = written(pairs_between(labelled, plan), "print-pairs")
+    labelled = lambda roots: reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("label"), *names)
+    if plan.similarity is None:
+        roots = components(link_prints(reps, plan, plan.radius))
+    else:
+        # A few keys join most of a large group, so that the others report little about it.
+        roots = components(link_prints(reps, replace(plan, keys=plan.keys[:FIRST_KEYS]), plan.sure))
+        roots = components(roots.union(link_prints(labelled(roots), plan, plan.sure)))
+        # Links that are likely, one for each label of a group, are held against the texts before all pairs left over.
+        likely = written(link_prints(labelled(roots), plan, plan.likely), "print-links")
+        roots = components(roots.union(similar(likely, docs, plan, id_col, text_col)))
+        pairs = written(pairs_between(labelled(roots), plan), "print-pairs")
         roots = components(roots.union(similar(pairs, docs, plan, id_col, text_col)))
     classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("root", "rep").alias("component"))
     out = all_prints.join(classes, names, "left")
