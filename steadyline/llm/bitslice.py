@@ -120,21 +120,26 @@ def _shared_before(x: np.ndarray, y: np.ndarray, masks: np.ndarray) -> np.ndarra
     return out
 
 
-def _forest(prints: np.ndarray, ends: np.ndarray, radius: int, label: np.ndarray | None = None) -> np.ndarray:
-    """The smallest linked index of each row. Rows of one label count as linked from the start."""
+def _forest(prints: np.ndarray, ends: np.ndarray, radius: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius that span all such pairs. Rows of one label count as linked from the start."""
     root = np.arange(len(ends))
     if label is not None:
         _, first, same = np.unique(label, return_index=True, return_inverse=True)
         root = first[same]
+    links = [(np.zeros(0, np.int64),) * 2]
     for i, j in _near(prints, ends, radius):
         while len(i):
             ri, rj = root[i], root[j]
             differ = ri != rj
             i, j, ri, rj = i[differ], j[differ], ri[differ], rj[differ]
-            np.minimum.at(root, np.maximum(ri, rj), np.minimum(ri, rj))
+            low, high = np.minimum(ri, rj), np.maximum(ri, rj)
+            order = np.lexsort((low, high))
+            chosen = order[np.diff(high[order], prepend=-1) > 0]
+            root[high[chosen]] = low[chosen]
+            links.append((i[chosen], j[chosen]))
             while not np.array_equal(up := root[root], root):
                 root = up
-    return root
+    return tuple(np.concatenate(x) for x in zip(*links, strict=True))
 
 
 def _runs_at_once(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -152,22 +157,16 @@ def _runs_at_once(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def link_runs(run: np.ndarray, prints: np.ndarray, radius: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """run: sorted group number of each row. Links (row, smaller row) that join what lies within the radius in a group.
+    """run: sorted group number of each row. Pairs (row, smaller row) within the radius that span what lies within it in a group.
 
     With labels, links between labels only, at most one for each label of a group.
     """
     links = [(np.zeros(0, np.int64),) * 2]
     for rows, ends in _runs_at_once(run):
-        if label is None:
-            root = _forest(prints[rows], ends, radius)
-            linked = np.flatnonzero(root != np.arange(len(root)))
-        else:
-            # A label can be in several runs that are handled together: it counts per run.
-            own = np.unique(np.stack([label[rows], ends]), axis=1, return_inverse=True)[1].ravel()
-            root = _forest(prints[rows], ends, radius, own)
-            first = np.unique(own, return_index=True)[1]
-            linked = first[root[first] != first]
-        links.append((rows[linked], rows[root[linked]]))
+        # A label can be in several runs that are handled together: it counts per run.
+        own = None if label is None else np.unique(np.stack([label[rows], ends]), axis=1, return_inverse=True)[1].ravel()
+        i, j = _forest(prints[rows], ends, radius, own)
+        links.append((rows[np.maximum(i, j)], rows[np.minimum(i, j)]))
     return tuple(np.concatenate(x) for x in zip(*links, strict=True))
 
 

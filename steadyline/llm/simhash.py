@@ -5,9 +5,9 @@ shingles. Only distinct fingerprints are compared, and only where they agree
 on one of several keys (choices of bits); within a key the bit-sliced
 comparison of `bitslice` finds what lies within the radius. Each key's group
 reports a forest, not its pairs, and components are joined up in Spark. Where
-a similarity is asked for, fingerprints that are surely similar are linked so
-first; pairs of different components that may be similar are then held against
-the texts themselves. Groups
+a similarity is asked for, shingles count once, and every link is held against
+the texts: the surest first, one pair for each group of linked texts, at last
+all pairs of different components that may be similar. Groups
 over `split` fingerprints are cut into chunks, and every pair of chunks is a
 group of its own in some task, so no group grows without bound.
 """
@@ -41,9 +41,10 @@ class Plan:
     """words: in a shingle. bits: 64 or 256. radius: differing bits allowed.
 
     keys: the bit positions that two fingerprints must share to be compared.
-    With a `similarity`, only `sure` differing bits link by themselves, and pairs
-    up to the radius if their shingle sets' Jaccard similarity reaches it; up to
-    `likely` bits, one pair for each group of linked texts is tried before the rest.
+    With a `similarity`, fingerprints are of shingle sets, and pairs up to the
+    radius link if these sets' Jaccard similarity reaches it; up to `sure` bits,
+    then up to `likely` bits, one pair for each group of linked texts is tried
+    before the rest.
     """
 
     words: int
@@ -68,9 +69,9 @@ def similarity_plan(words: int = 5, similarity: float = 0.8, radius: int = 54, s
 
     At 0.8 two fingerprints of 256 bits differ in 38.8 on average with a
     deviation of 5.7, unrelated ones in 128 with 8: the radius lies 2.7
-    deviations over the first. Sets of similarity 0.75 differ in 44 bits, with
-    6: they pass for surely similar with a chance of 0.0001. A key of 12 bits is
-    shared with a chance of 0.14 at 0.8 (0.27 at 0.9), one of 32 keys with 0.99.
+    deviations over the first. Both hold for sets of many shingles; small ones
+    differ more. A key of 12 bits is
+    shared with a chance of 0.14 at 0.8 (0.27 at 0.9), one of 32 keys with 0.98.
     Groups grow with the corpus; `key_bits` should grow with the logarithm of it.
     """
     draw = np.random.default_rng(seed)
@@ -78,8 +79,8 @@ def similarity_plan(words: int = 5, similarity: float = 0.8, radius: int = 54, s
     return Plan(words, 256, radius, chosen, similarity=similarity, sure=sure, likely=likely)
 
 
-def fingerprint(text: bytes, words: int, bits: int) -> bytes:
-    """Majority bits of the shingles' hashes; zero for a text without words.
+def fingerprint(text: bytes, words: int, bits: int, once: bool = False) -> bytes:
+    """Majority bits of the shingles' hashes, with `once` of the distinct ones'; zero for a text without words.
 
     64 bits: XXH64 with seed 42. 256 bits: two of XXH3's 128 with seeds 42 and 43.
     """
@@ -93,10 +94,16 @@ def fingerprint(text: bytes, words: int, bits: int) -> bytes:
     ends = ends.tolist()
     k = min(words, len(tokens))
     n = len(tokens) - k + 1
+    last_ends = ends[k - 1 :]
+    if once:
+        keys = np.fromiter((xxhash.xxh3_64_intdigest(line[s:e]) for s, e in zip(starts, last_ends)), np.uint64, n)
+        kept = np.unique(keys, return_index=True)[1]
+        if len(kept) < n:
+            n, starts, last_ends = len(kept), [starts[i] for i in kept], [last_ends[i] for i in kept]
     counts = np.zeros(bits, np.int64)
     for first in range(0, n, PIECE):
         last = min(n, first + PIECE)
-        shingles = [line[s:e] for s, e in zip(starts[first:last], ends[first + k - 1 : last + k - 1])]
+        shingles = [line[s:e] for s, e in zip(starts[first:last], last_ends[first:last])]
         hashes = b"".join([digest(x, 42) for x in shingles] if wide is None else [digest(x, 42) + wide(x, 43) for x in shingles])
         counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(last - first, -1), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > n).tobytes()
@@ -105,11 +112,11 @@ def fingerprint(text: bytes, words: int, bits: int) -> bytes:
 def fingerprints(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, f0...): the fingerprint's 64-bit words as longs. A null text counts as empty."""
     n = plan.bits // 64
-    words, bits = plan.words, plan.bits
+    words, bits, once = plan.words, plan.bits, plan.similarity is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = b"".join(fingerprint(t or b"", words, bits) for t in batch.column(1).cast(pa.binary()).to_pylist())
+            prints = b"".join(fingerprint(t or b"", words, bits, once) for t in batch.column(1).cast(pa.binary()).to_pylist())
             longs = np.frombuffer(prints, ">u8").reshape(-1, n).astype(np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(longs[:, k]) for k in range(n))], ["id", *(f"f{k}" for k in range(n))])
 
@@ -170,7 +177,7 @@ def _in_groups(reps: DataFrame, plan: Plan) -> DataFrame:
 
 
 def link_prints(reps: DataFrame, plan: Plan, radius: int) -> DataFrame:
-    """reps: (rep[, label], f...), distinct fingerprints. (a, b): links that span what lies within the radius.
+    """reps: (rep[, label], f...), distinct fingerprints. (a, b): pairs within the radius that span what lies within it.
 
     With labels, links that join different labels only.
     """
@@ -234,7 +241,8 @@ def near_groups(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: s
     """One row per row of `docs`: (id, f0..., component).
 
     component: the smallest id that links reach, the row's own included; ids are
-    integers. Equal fingerprints are linked; null and empty texts and those
+    integers. Equal fingerprints are linked (of 256 bits and different texts, at
+    a similarity of 0.8, less than one pair in 10^15 has them); null and empty texts and those
     without words share the fingerprint zero and link like any others. A row
     with a null id has a fingerprint, but no part in the links and a null
     component. Repeated rows get equal results. An empty table gives none.
@@ -247,12 +255,13 @@ def near_groups(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: s
     if plan.similarity is None:
         roots = components(link_prints(reps, plan, plan.radius))
     else:
-        # A few keys join most of a large group, so that the others report little about it.
-        roots = components(link_prints(reps, replace(plan, keys=plan.keys[:FIRST_KEYS]), plan.sure))
-        roots = components(roots.union(link_prints(labelled(roots), plan, plan.sure)))
-        # Links that are likely, one for each label of a group, are held against the texts before all pairs left over.
-        likely = written(link_prints(labelled(roots), plan, plan.likely), "print-links")
-        roots = components(roots.union(similar(likely, docs, plan, id_col, text_col)))
+        # A few keys join most of a large group, so that the others report little about it. What the texts refuse comes
+        # again, with all pairs left over, at the end.
+        roots = None
+        for keys, radius in ((plan.keys[:FIRST_KEYS], plan.sure), (plan.keys, plan.sure), (plan.keys, plan.likely)):
+            found = written(link_prints(reps if roots is None else labelled(roots), replace(plan, keys=keys), radius), "print-links")
+            held = similar(found, docs, plan, id_col, text_col)
+            roots = components(held if roots is None else roots.union(held))
         pairs = written(pairs_between(labelled(roots), plan), "print-pairs")
         roots = components(roots.union(similar(pairs, docs, plan, id_col, text_col)))
     classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("root", "rep").alias("component"))

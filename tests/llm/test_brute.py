@@ -113,6 +113,31 @@ def test_near_copies_by_similarity(spark):
     assert kept == set(joined(120, near)) == set(range(40)) | set(range(80, 120))
 
 
+def test_repeated_passages_count_once(spark):
+    rng = random.Random(4)
+    some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared, whole = some(54), some(300)
+    texts = [f"{some(104)} {' '.join([shared] * 30)}" for _ in range(6)]  # sets of similarity 0.2 and less
+    texts += [whole, f"{whole} {' '.join(whole.split()[:50] * 30)}"]  # sets that are nearly equal
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert near == [(7, 6)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.drop_near_copies(rows).collect()} == set(range(7))
+
+
+def test_sure_links_are_held_against_the_texts(spark):
+    rows = spark.createDataFrame([(1, "one two three four five six"), (2, "seven eight nine ten eleven twelve"), (3, "one two three four five six")], "doc_id long, text string")
+    plan = simhash.similarity_plan(radius=256, sure=256, likely=256, keys=2, key_bits=0)
+    assert {r["id"]: r["component"] for r in simhash.near_groups(rows, plan).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_links_are_pairs_within_the_radius():
+    prints = np.array([[(1 << i) - 1] for i in range(40)], np.uint64)  # a chain
+    a, b = link_runs(np.zeros(40, np.int64), prints, 1)
+    assert sorted(zip(b.tolist(), a.tolist(), strict=True)) == [(i, i + 1) for i in range(39)]
+
+
 def test_shards(spark, docs):
     got = queries.op4_byte_shards(spark, SF).toPandas().sort_values("doc_id")
     assert got["size"].tolist() == [len((t or "").encode()) + 1 for t in docs.text.loc[got.doc_id]]
