@@ -6,6 +6,10 @@ of template words are hashed and joined. Placeholders match any value of their
 type, so a re-parameterised question matches too; its slots are then checked:
 within one copy of the item, each of its values must stand for one value only.
 
+A window is 8 words, or more until 4 of them are no placeholders. Where 8 words
+have fewer, their actual words are a window too, which only an equal passage
+matches. An item without a window of the first kind is one window as a whole.
+
 The hashes of all windows of a text come from a few passes over its bytes. Only
 windows whose hash may be a benchmark's (a bit set of fixed size) leave the
 task, so the join moves about as many rows as there are matches.
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 WINDOW = 8
-#: Words of a window that are no placeholders, at least.
+#: Words of a window that are no placeholders, at least; a window with fewer is widened.
 LITERALS = 4
 #: Bytes whose words are hashed at once.
 PIECE = 1_000_000
@@ -39,6 +43,7 @@ UNITS = (
 
 MUL, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BACK = np.uint64(pow(int(MUL), -1, 1 << 64))
+EXACT = np.uint64(0x3C6EF372FE94F82B)
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x0123456789ABCDF1, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
 
 _byte = np.arange(256)
@@ -102,36 +107,80 @@ def words_of(b: np.ndarray):
 UNIT_HASHES = np.sort(words_of(np.frombuffer(" ".join(UNITS).encode(), np.uint8))[1])
 
 
-def templates(texts: list[bytes], window: int, literals: int):
-    """(text number, word place, window hash, placeholders before each place, word hashes) of all windows of `window` words."""
-    joined = np.frombuffer(b"\n".join(texts) if texts else b"", np.uint8)
-    start, word, numeric, capital, begins = words_of(joined)
-    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
-    text = np.searchsorted(ends, start, side="right")
-    opens = np.r_[True, text[1:] != text[:-1]][: len(text)]
-    name = capital & ~begins & ~opens & ~numeric
-    unit = np.r_[False, numeric[:-1]][: len(text)] & ~opens & np.isin(word, UNIT_HASHES)
-    token = np.where(numeric, NUMBER, np.where(unit, UNIT, np.where(name, NAME, word)))
-    slot = numeric | unit | name
-    n = len(token) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), slot, word, text
-    value = np.zeros(n, np.uint64)
-    for k in range(window):
-        value = value * STEP + token[k : k + n]
-    value = _mixed(value) ^ np.uint64(window)
-    open_slots = np.r_[0, np.cumsum(slot)]
-    whole = (text[:n] == text[window - 1 :]) & (window - (open_slots[window:] - open_slots[:n]) >= min(literals, window))
-    place = np.flatnonzero(whole)
-    return text[place], place, value[place], slot, word, text
-
-
-def _windows(lengths: list[int], literals: int, bits: np.ndarray | None, whole_only: bool, full: int):
-    """(id, text) -> (id, hash, place, slots): slots are hashes of the placeholders' values, in order.
-
-    whole_only: of windows shorter than `full`, only those that are a whole text.
+class Templates:
+    """The words of some texts, and hashes of windows of their templates."""
+
+    def __init__(self, texts: list[bytes]):
+        joined = np.frombuffer(b"\n".join(texts) if texts else b"", np.uint8)
+        start, self.word, numeric, capital, begins = words_of(joined)
+        ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+        self.text = text = np.searchsorted(ends, start, side="right")
+        self.sizes = np.bincount(text, minlength=len(texts))
+        self.begin = np.r_[0, np.cumsum(self.sizes)]
+        opens = np.r_[True, text[1:] != text[:-1]][: len(text)]
+        name = capital & ~begins & ~opens & ~numeric
+        unit = np.r_[False, numeric[:-1]][: len(text)] & ~opens & np.isin(self.word, UNIT_HASHES)
+        token = np.where(numeric, NUMBER, np.where(unit, UNIT, np.where(name, NAME, self.word)))
+        self.slot = numeric | unit | name
+        #: Literals before each place; windows of any length are differences of the sums, brought to the same power.
+        self.before = np.r_[0, np.cumsum(~self.slot)]
+        power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(text), MUL)])[:-1]
+        self.back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(text), BACK)])[:-1]
+        self.sums = [np.r_[np.uint64(0), np.cumsum(x * power)] for x in (token, self.word)]
+
+    def hashes(self, place: np.ndarray, end: np.ndarray, exact: bool) -> np.ndarray:
+        sums = self.sums[exact]
+        return _mixed((sums[end] - sums[place]) * self.back[place]) ^ (end - place).astype(np.uint64) ^ (EXACT if exact else np.uint64(0))
+
+    def of_length(self, length: int) -> np.ndarray:
+        """Places of all windows of a length."""
+        place = np.arange(max(0, len(self.text) - length + 1))
+        return place[self.text[place] == self.text[place + length - 1]]
+
+    def literals(self, place: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.before[end] - self.before[place]
+
+    def usual(self, window: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, end) of windows of `window` words with enough literals, and of longer ones that start and end with a literal."""
+        place = self.of_length(window)
+        enough = self.literals(place, place + window) >= literals
+        # Each literal is in few of the widened windows, so their slots are in proportion to the text.
+        wide = place[~enough & ~self.slot[place]]
+        last = self.before[wide] + literals - 1
+        wide, last = wide[last < self.before[-1]], last[last < self.before[-1]]
+        end = np.flatnonzero(~self.slot)[last] + 1
+        inside = self.text[wide] == self.text[end - 1]
+        place = place[enough]
+        return np.r_[place, wide[inside]], np.r_[place + window, end[inside]]
+
+
+def _windows(window: int, literals: int, lengths: list[int], bits: np.ndarray | None):
+    """(id, text) -> (id, hash, place, slots): slots are hashes of the placeholders' values, in order; exact windows have none.
+
+    Without `bits`, those of items, which are one window as a whole where there
+    is no usual one; with, those of documents whose hash has its bit set, also
+    of each of the lengths that such items have.
     """
 
+    def chosen(t: Templates) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        place, end = t.usual(window, literals)
+        yield place, end, False
+        short = t.of_length(window)
+        if bits is None:
+            yield (short := short[t.literals(short, short + window) < literals]), short + window, True
+            lone = np.flatnonzero((t.sizes > 0) & (np.bincount(t.text[place], minlength=len(t.sizes)) == 0))
+            place, end = t.begin[lone], t.begin[lone + 1]
+            some = t.literals(place, end) > 0
+            yield place[some], end[some], False
+            yield place[some], end[some], True
+        else:
+            yield short, short + window, True
+            for length in lengths:
+                place = t.of_length(length)
+                yield place, place + length, True
+                place = place[t.literals(place, place + length) > 0]
+                yield place, place + length, False
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -141,19 +190,16 @@ def _windows(lengths: list[int], literals: int, bits: np.ndarray | None, whole_o
                 last, size = first, 0
                 while last < len(every) and (last == first or size + len(every[last]) <= 2 * PIECE):
                     size, last = size + len(every[last]), last + 1
-                for length in lengths:
-                    text, place, value, slot, word, of = templates(every[first:last], length, literals)
-                    if whole_only and length < full:
-                        sizes = np.bincount(of, minlength=last - first)
-                        chosen = sizes[text] == length
-                        text, place, value = text[chosen], place[chosen], value[chosen]
+                t = Templates(every[first:last])
+                for place, end, exact in chosen(t):
+                    value = t.hashes(place, end, exact)
                     if bits is not None and len(value):
                         maybe = bits[value >> np.uint64(64 - FILTER_BITS)]
-                        text, place, value = text[maybe], place[maybe], value[maybe]
-                    slots = [word[p : p + length][slot[p : p + length]].view(np.int64) for p in place.tolist()]
-                    begins = np.searchsorted(of, text)
+                        place, end, value = place[maybe], end[maybe], value[maybe]
+                    slots = [[] if exact else t.word[p:e][t.slot[p:e]].view(np.int64) for p, e in zip(place.tolist(), end.tolist(), strict=True)]
+                    text = t.text[place]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(text + first)), pa.array(value.view(np.int64)), pa.array(place - begins, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], ["id", "hash", "place", "slots"]
+                        [ids.take(pa.array(text + first)), pa.array(value.view(np.int64)), pa.array(place - t.begin[text], pa.int64()), pa.array(slots, pa.list_(pa.int64()))], ["id", "hash", "place", "slots"]
                     )
                 first = last
 
@@ -169,23 +215,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
     """One row for each document and item that share a template window: id, item_id, n_windows, n_literal, n_consistent, first_place.
 
     n_windows: windows of the document that match; n_literal: of these without
-    placeholders; n_consistent: of these with placeholders whose values agree
+    placeholders, or matched by their actual words; n_consistent: of these with placeholders whose values agree
     with all matches of that copy of the item. Only pairs with a literal or consistent window
-    are returned. An item shorter than the window is one window of its own
-    length, if it has a word that is no placeholder. Null ids and null texts
+    are returned. An item shorter than the window, or without `literals`
+    words that are no placeholders in any, is one window of its own length, if
+    it has a word that is no placeholder. Null ids and null texts
     match nothing, empty texts neither. Repeated rows count as one document
     whose windows recur. Empty tables give no rows.
     """
     items, schema = _id_rows(benchmark, item_id, item_text)
-    lengths = list(range(1, window + 1))
-    known = items.mapInArrow(_windows(lengths, literals, None, True, window), schema)
+    known = items.mapInArrow(_windows(window, literals, [], None), schema)
     known = written(known.select(F.col("id").alias(item_id), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")).distinct(), "templates")
-    short = sorted({r[0] for r in items.mapInArrow(_lengths(window), "n int").distinct().collect()} | {window})  # at most `window` numbers
+    short = sorted(r[0] for r in items.mapInArrow(_lengths(window, literals), "n int").distinct().collect())  # lengths of items without a usual window
     cells = known.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("cell")).distinct().toArrow()["cell"].to_numpy()  # at most the bits of the set
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[cells] = True
     rows, schema = _id_rows(docs, id_col, text_col)
-    found = rows.mapInArrow(_windows(short, literals, bits, False, window), schema).withColumnRenamed("id", id_col)
+    found = rows.mapInArrow(_windows(window, literals, short, bits), schema).withColumnRenamed("id", id_col)
     # Windows of one copy of the item lie equally far from their places in it; each copy is judged by itself.
     matched = written(found.join(known, "hash").withColumn("shift", F.col("place") - F.col("item_place")), "template-matches")
     key = [id_col, item_id, "shift"]
@@ -204,13 +250,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
     return out.filter("n_literal + n_consistent > 0")
 
 
-def _lengths(window: int):
-    """Word counts of texts shorter than the window."""
+def _lengths(window: int, literals: int):
+    """Word counts of texts without a usual window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = {len(words_of(np.frombuffer(t or b"", np.uint8))[0]) for t in batch.column(1).cast(pa.binary()).to_pylist()}
-            yield pa.RecordBatch.from_arrays([pa.array([n for n in sizes if 0 < n < window], pa.int32())], ["n"])
+            t = Templates([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()])
+            lone = np.bincount(t.text[t.usual(window, literals)[0]], minlength=len(t.sizes)) == 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(t.sizes[lone & (t.sizes > 0)]), pa.int32())], ["n"])
 
     return run
 

@@ -245,6 +245,29 @@ def test_templates_and_slots(spark):
     assert got[3, 0]["n_consistent"] < got[2, 0]["n_consistent"]
 
 
+def test_items_of_few_literals(spark):
+    items = [
+        "What is 12 times 9?",
+        "12 + 9 + 4 7 8 15 16 23 42 is",
+        "given 3 7 12 19 28 39 52 then 67 84 103 124 find the next",
+        "3.1 4.1 5.9 2.6 5.3 5.8 9.7 9.3 2.3 8.4",
+        "seats of Anna Bob Carl Dora Emil Fritz Gerda and Hugo",
+    ]
+    filler = "some other words that come before the question and are of no concern here"
+    anew = [
+        "what is 35 times 8",
+        "1 + 2 + 3 4 5 6 7 8 9 is",
+        "given 1 2 4 8 16 32 64 then 128 256 512 1024 find the next",
+        "1.1 2.1 3.9 4.6 5.3 6.8 7.7 8.3 9.3 1.4",
+        "seats of Ida Jan Karl Lena Mia Nora Otto and Paul",
+    ]
+    texts = [*(f"{filler} {t} {filler}" for t in items), *(f"{filler}. {t} {filler}" for t in anew), f"{filler} 12 times 9 is what", filler]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.leaks(rows, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    # Numbers alone match only as they are.
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(5)} | {(5 + i, i) for i in (0, 1, 2, 4)}
+
+
 def test_whole_windows_by_brute_force(spark):
     docs = pd.read_parquet(f"{DATA}/sf0.01/documents.parquet")
     items = pd.read_parquet(f"{DATA}/sf0.01/benchmark.parquet")
