@@ -2,9 +2,12 @@
 
 Two second-order character models are trained from labelled samples: random
 strings, which the patterns have found as values of secrets, and ordinary
-identifiers, the other long words of the corpus. A run of identifier characters
-is a secret if the random model's likelihood beats the ordinary one's by enough
-per character, and it has a letter. Training sums transition counts in Spark; the driver gets two
+identifiers, the other long words of the corpus. Values that patterns find are
+nearly all hexadecimal, so strings of equally likely characters of each usual
+alphabet are random too; the likeliest of these models counts. A run of
+identifier characters is judged in parts between its separators: a stretch of
+parts is a secret if the random models' likelihood beats the ordinary one's by
+enough per character, and it has a letter. Training sums transition counts in Spark; the driver gets two
 tables of fixed size.
 """
 
@@ -26,10 +29,19 @@ KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | r
 KINDS = ("assign", "access", "hex", "markov")
 SHORTEST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+SEPARATORS = "+/_=-"
+PART = re.compile(rf"[^{SEPARATORS}]+")
+#: Characters of random strings, one part: hexadecimal, base 32, base 36, base 62 (and 64, whose signs separate parts).
+RANDOM = tuple(re.compile(x) for x in ("[0-9a-f]+", "[0-9A-F]+", "[A-Z2-7]+", "[a-z2-7]+", "[0-9a-z]+", "[0-9A-Z]+", "[0-9A-Za-z]+"))
+CHOICES = (16, 16, 32, 32, 36, 36, 62)
 #: Nats per character by which the random model must win, and in all.
 PER_CHAR, IN_ALL = 0.5, 12.0
 #: Classes of a character: itself if it can be in a candidate, and one for the ends.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Identifiers of words that the corpus does not hold: letters of one case or digits, all as likely, that seldom change but from a capital to two small letters.
+CHANGE = 0.002
+KIND = np.array([0 if x.isupper() else 1 if x.islower() else 2 for x in ALPHABET])
+EACH = np.log(np.where(KIND < 2, 26, 10))
 EDGE = len(ALPHABET)
 SIZE = EDGE + 1
 CODE = np.full(128, EDGE)
@@ -61,7 +73,7 @@ def _samples(text: str) -> Iterator[tuple[int, str]]:
         yield from ((1, w) for w in CANDIDATE.findall(own))
     for m in CANDIDATE.finditer(text):
         if not ((taken[:, 0] < m.end()) & (taken[:, 1] > m.start())).any() and not any(c.isdigit() for c in m[0]):
-            yield 0, m[0]
+            yield from ((0, w) for w in PART.findall(m[0]))
 
 
 def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -95,12 +107,46 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(triple / triple.sum(axis=3, keepdims=True))
 
 
-def log_ratio(word: str, logs: np.ndarray) -> float:
-    c = _codes(word)
-    return float((logs[1, c[:-2], c[1:-1], c[2:]] - logs[0, c[:-2], c[1:-1], c[2:]]).sum())
-
-
-def find_spans(text: str, logs: np.ndarray, memory: dict[str, bool]) -> tuple[list, list]:
+def log_ratio(part: str, logs: np.ndarray) -> float:
+    """By how many nats the learned random model beats the ordinary one, or one of equal characters beats both ordinary ones; digits alone tell nothing."""
+    if part.isdigit():
+        return 0.0
+    c = _codes(part)
+    own, ordinary = (logs[k, c[:-2], c[1:-1], c[2:]].sum() for k in (1, 0))
+    kind = KIND[c[2:-1]]
+    opens = (kind[:-1] == 0) & (kind[1:] == 1) & (np.r_[kind[2:], 2][: len(kind) - 1] == 1)
+    changes = np.count_nonzero((kind[1:] != kind[:-1]) & ~opens)
+    unknown = changes * np.log(CHANGE) + (len(part) - 1 - changes) * np.log(1 - 2 * CHANGE) - EACH[c[2:-1]].sum()
+    even = [-len(part) * np.log(n) for x, n in zip(RANDOM, CHOICES, strict=True) if x.fullmatch(part)]
+    return float(max([own - ordinary, *(x - np.log(len(RANDOM)) - max(ordinary, unknown) for x in even)]))
+
+
+def random_stretches(word: str, logs: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run of identifier characters, whole parts each."""
+    found: list[tuple[int, int]] = []
+    total = best = 0.0
+    start = end = 0
+
+    def close() -> None:
+        if end - start >= SHORTEST and best > IN_ALL and best > PER_CHAR * (end - start) and any(map(str.isalpha, word[start:end])):
+            found.append((start, end))
+
+    for m in PART.finditer(word):
+        ratio = log_ratio(m[0], logs)
+        if total <= 0:
+            total, start = 0.0, m.start()
+        total += ratio
+        if total > best:
+            best, end = total, m.end()
+        elif total <= max(0.0, best - IN_ALL):
+            close()
+            total = best = 0.0
+            start = end = m.end()
+    close()
+    return found
+
+
+def find_spans(text: str, logs: np.ndarray, memory: dict[str, list[tuple[int, int]]]) -> tuple[list, list]:
     """(base spans, all spans), each in order of start, then kind."""
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base = sorted(base_spans(text), key=order)
@@ -110,16 +156,14 @@ def find_spans(text: str, logs: np.ndarray, memory: dict[str, bool]) -> tuple[li
         if len(base) and ((taken[:, 0] < m.end()) & (taken[:, 1] > m.start())).any():
             continue
         word = m[0]
-        hit = memory.get(word)
-        if hit is None:
-            ratio = log_ratio(word, logs)
-            hit = ratio > IN_ALL and ratio > PER_CHAR * len(word) and any(map(str.isalpha, word))
+        hits = memory.get(word)
+        if hits is None:
+            hits = random_stretches(word, logs)
             if len(word) <= 64:
                 if len(memory) > 200_000:
                     memory.clear()
-                memory[word] = hit
-        if hit:
-            more.append((m.start(), m.end(), "markov"))
+                memory[word] = hits
+        more += [(m.start() + s, m.start() + e, "markov") for s, e in hits]
     return base, sorted(base + more, key=order)
 
 
@@ -139,7 +183,7 @@ def secrets(docs: DataFrame, logs: np.ndarray, text_col: str = "text") -> DataFr
     fields = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_markov", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, bool] = {}
+        memory: dict[str, list[tuple[int, int]]] = {}
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():

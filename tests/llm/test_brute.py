@@ -311,6 +311,26 @@ def test_markov_models_tell_keys_from_words(spark):
     assert not any(secrets.find_spans(f"see {word()} now", logs, {})[1] for _ in range(50))
 
 
+def test_random_strings_of_every_alphabet(spark):
+    """By the models that the production query learns."""
+    logs = secrets.train(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"))
+    rng = random.Random(6)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [upper + lower + digits, lower + digits, upper + digits, upper + "234567", digits + "ABCDEF", upper + lower + digits + "+/", upper + lower + digits + "-_"]
+    for letters in alphabets:
+        for around in ("{}", "sessionid={}", "/srv/deploy/config/{}"):
+            found = 0
+            for _ in range(200):
+                own = "".join(rng.choice(letters) for _ in range(rng.randint(20, 40)))
+                text = around.format(own)
+                got = [s for s in secrets.find_spans(f"see {text} now", logs, {})[1] if s[2] != "hex"]
+                found += sum(e - s for s, e, _ in got) >= 0.7 * len(own)
+            assert found >= 180, (letters, around, found)
+    assert secrets.find_spans("see sessionid=Zk9xQ2mT7vLp4RbW8sYd now", logs, {})[1] == [(14, 34, "markov")]
+    plain = ["/home/anna/projects/station/reports", "content-management-section", "internationalisation", "2024-05-17-12-30-00", "4785380592391139", "nichteinungeinkeit", "getElementsByTagName", "acknowledgements", "org/apache/spark/sql", "----------------------"]
+    assert not any(secrets.find_spans(f"see {w} now", logs, {})[1] for w in plain)
+
+
 def test_models_do_not_see_the_held_out(spark):
     docs = spark.createDataFrame([(i, f"word{'abcdefgh'[i % 8]}x other", "en") for i in range(40)], "doc_id long, text string, lang string")
     langs, logs = langid.train(docs, queries.PIECE_VOCAB)
