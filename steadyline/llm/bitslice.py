@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 
 CHECK_EVERY = 8
-SHORT_RUN = 64
+#: Runs up to this length are compared together.
+SHORT_RUN = 512
 WORDS_AT_ONCE = 8192
 
 
@@ -120,28 +121,28 @@ def _shared_before(x: np.ndarray, y: np.ndarray, masks: np.ndarray) -> np.ndarra
     return out
 
 
-def _forest(prints: np.ndarray, ends: np.ndarray, radius: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the radius that span all such pairs. Rows of one label count as linked from the start."""
-    root = np.arange(len(ends))
-    if label is not None:
-        _, first, same = np.unique(label, return_index=True, return_inverse=True)
-        root = first[same]
+def _hook(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joins the roots of pairs, in place. Those of the pairs that did it."""
     links = [(np.zeros(0, np.int64),) * 2]
-    for i, j in _near(prints, ends, radius):
-        while len(i):
-            ri, rj = root[i], root[j]
-            differ = ri != rj
-            i, j, ri, rj = i[differ], j[differ], ri[differ], rj[differ]
-            low, high = np.minimum(ri, rj), np.maximum(ri, rj)
-            order = np.lexsort((low, high))
-            chosen = order[np.diff(high[order], prepend=-1) > 0]
-            root[high[chosen]] = low[chosen]
-            links.append((i[chosen], j[chosen]))
-            while not np.array_equal(up := root[root], root):
-                root = up
+    while len(i):
+        ri, rj = root[i], root[j]
+        differ = ri != rj
+        i, j, ri, rj = i[differ], j[differ], ri[differ], rj[differ]
+        low, high = np.minimum(ri, rj), np.maximum(ri, rj)
+        order = np.lexsort((low, high))
+        chosen = order[np.diff(high[order], prepend=-1) > 0]
+        root[high[chosen]] = low[chosen]
+        links.append((i[chosen], j[chosen]))
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
     return tuple(np.concatenate(x) for x in zip(*links, strict=True))
 
 
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of pairs of rows of words."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
 def _runs_at_once(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, end of each row's run): all short runs together, then each long one."""
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
@@ -156,28 +157,32 @@ def _runs_at_once(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, np.repeat(begin + size, size)
 
 
-def link_runs(run: np.ndarray, prints: np.ndarray, radius: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """run: sorted group number of each row. Pairs (row, smaller row) within the radius that span what lies within it in a group.
+def link_runs(run: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """run: sorted group number of each row. Pairs (row, smaller row) within the radius that span what lies within it in a group."""
+    a, b, _ = link_runs_twice(run, prints, radius, -1)
+    return a, b
 
-    With labels, links between labels only, at most one for each label of a group.
-    """
-    links = [(np.zeros(0, np.int64),) * 2]
+
+def link_runs_twice(run: np.ndarray, prints: np.ndarray, radius: int, closer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `link_runs`, and beside it pairs that span what lies within a smaller radius: (row, smaller row, whether of the latter)."""
+    links = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
     for rows, ends in _runs_at_once(run):
-        # A label can be in several runs that are handled together: it counts per run.
-        own = None if label is None else np.unique(np.stack([label[rows], ends]), axis=1, return_inverse=True)[1].ravel()
-        i, j = _forest(prints[rows], ends, radius, own)
-        links.append((rows[np.maximum(i, j)], rows[np.minimum(i, j)]))
+        wide, close = np.arange(len(ends)), np.arange(len(ends))
+        for i, j in _near(prints[rows], ends, radius):
+            near = distance(prints[rows[i]], prints[rows[j]]) <= closer
+            for root, x, y, which in ((close, i[near], j[near], True), (wide, i, j, False)):
+                x, y = _hook(root, x, y)
+                links.append((rows[np.maximum(x, y)], rows[np.minimum(x, y)], np.full(len(x), which)))
     return tuple(np.concatenate(x) for x in zip(*links, strict=True))
 
 
-def pairs_across(run: np.ndarray, prints: np.ndarray, radius: int, label: np.ndarray, earlier: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows of a group within the radius whose labels differ.
+def pairs_across(run: np.ndarray, prints: np.ndarray, radius: int, label: np.ndarray, earlier: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of a group within the radius whose labels differ, some lags at a time, so that few wait in memory.
 
     earlier: for each row, the masks of the keys before its own (one array per
     key, the same for all rows of a group): pairs that share one are left out,
     since the group of that key has them.
     """
-    links = [(np.zeros(0, np.int64),) * 2]
     for rows, ends in _runs_at_once(run):
         for i, j in _near(prints[rows], ends, radius):
             differ = label[rows[i]] != label[rows[j]]
@@ -189,5 +194,5 @@ def pairs_across(run: np.ndarray, prints: np.ndarray, radius: int, label: np.nda
                     own = np.flatnonzero(which == n)
                     seen[own] = _shared_before(prints[i[own]], prints[j[own]], earlier[i[own[0]]])
                 i, j = i[~seen], j[~seen]
-            links.append((i, j))
-    return tuple(np.concatenate(x) for x in zip(*links, strict=True))
+            if len(i):
+                yield i, j

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from steadyline.llm import decontaminate, langid, queries, search, secrets, simhash
-from steadyline.llm.bitslice import link_runs, pairs_across
+from steadyline.llm.bitslice import link_runs, link_runs_twice, pairs_across
 from steadyline.llm.bpe import tables
 from steadyline.llm.components import components
 from steadyline.llm.lattice import pieces
@@ -29,6 +29,11 @@ def words(text):
     return (text or "").encode().lower().split()
 
 
+def shingle_set(text, k):
+    w = text.lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
 def joined(n, pairs):
     up = list(range(n))
 
@@ -60,8 +65,12 @@ def test_bit_planes(k, radius, flips, groups):
     near = [(i, j) for i in range(400) for j in range(i) if run[i] == run[j] and sum(int(x).bit_count() for x in prints[i] ^ prints[j]) <= radius]
     a, b = link_runs(run, prints, radius)
     assert joined(400, near) == joined(400, zip(a.tolist(), b.tolist(), strict=True))
-    a, b = pairs_across(run, prints, radius, label)
-    assert {(max(p), min(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == {(i, j) for i, j in near if label[i] != label[j]}
+    found = [p for a, b in pairs_across(run, prints, radius, label) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert {(max(p), min(p)) for p in found} == {(i, j) for i, j in near if label[i] != label[j]}
+    a, b, close = link_runs_twice(run, prints, radius, radius // 2)
+    closer = [(i, j) for i, j in near if sum(int(x).bit_count() for x in prints[i] ^ prints[j]) <= radius // 2]
+    assert joined(400, closer) == joined(400, zip(a[close].tolist(), b[close].tolist(), strict=True))
+    assert joined(400, near) == joined(400, zip(a[~close].tolist(), b[~close].tolist(), strict=True))
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -90,8 +99,8 @@ def test_simhash(spark, docs):
 def test_hot_groups_are_cut_without_losing_links(spark):
     rows = spark.range(300).select(F.col("id").alias("rep"), (F.col("id") * 2).alias("f0"))
     plan = simhash.exact_plan()
-    whole = components(simhash.link_prints(rows, plan, 2)).collect()
-    cut = components(simhash.link_prints(rows, simhash.Plan(plan.words, 64, 2, plan.keys, split=40), 2)).collect()
+    whole = components(simhash.link_prints(rows, plan, plan.keys)).collect()
+    cut = components(simhash.link_prints(rows, simhash.Plan(plan.words, 2, plan.keys, split=40), plan.keys)).collect()
     assert sorted(whole) == sorted(cut) and len(whole) == 299
 
 
@@ -108,7 +117,7 @@ def test_near_copies_by_similarity(spark):
     texts = base + [edit(t, 2) for t in base] + [edit(t, 12) for t in base]  # 2 edits leave 0.9, 12 leave about 0.55
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r["doc_id"] for r in simhash.drop_near_copies(rows).collect()}
-    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    sets = [shingle_set(t.encode(), 5) for t in texts]
     near = [(i, j) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert kept == set(joined(120, near)) == set(range(40)) | set(range(80, 120))
 
@@ -119,7 +128,7 @@ def test_repeated_passages_count_once(spark):
     shared, whole = some(54), some(300)
     texts = [f"{some(104)} {' '.join([shared] * 30)}" for _ in range(6)]  # sets of similarity 0.2 and less
     texts += [whole, f"{whole} {' '.join(whole.split()[:50] * 30)}"]  # sets that are nearly equal
-    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    sets = [shingle_set(t.encode(), 5) for t in texts]
     near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert near == [(7, 6)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -128,7 +137,7 @@ def test_repeated_passages_count_once(spark):
 
 def test_sure_links_are_held_against_the_texts(spark):
     rows = spark.createDataFrame([(1, "one two three four five six"), (2, "seven eight nine ten eleven twelve"), (3, "one two three four five six")], "doc_id long, text string")
-    plan = simhash.similarity_plan(radius=256, sure=256, likely=256, keys=2, key_bits=0)
+    plan = simhash.similarity_plan(radius=256, likely=256, long_radius=2048, keys=((), ()))
     assert {r["id"]: r["component"] for r in simhash.near_groups(rows, plan).collect()} == {1: 1, 2: 2, 3: 1}
 
 
