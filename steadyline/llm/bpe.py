@@ -219,15 +219,15 @@ def tables(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def tokenized(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """All columns of `docs`, and `tokens`: a struct (n_tokens, ids, decoded_sha256).
+def tokenized(docs: DataFrame, path: str, text_col: str = "text", into: str = "tokens") -> DataFrame:
+    """All columns of `docs`, and `into`: a struct (n_tokens, ids, decoded_sha256).
 
     ids: binary, little-endian unsigned 32-bit integers. decoded_sha256 is of
     the text that the ids decode to. A null or empty text has no tokens and
-    decodes to the empty text. An input column named `tokens` is replaced. Only
+    decodes to the empty text. An input column named `into` is replaced. Only
     texts go to Python, a batch at a time; rows do not move between tasks.
     """
-    kept = [c for c in docs.columns if c != "tokens"]
+    kept = [c for c in docs.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tables(path)
@@ -245,4 +245,4 @@ def tokenized(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"))
     row_type = rows.schema["row"].dataType.simpleString()
     out = rows.mapInArrow(run, f"row {row_type}, tokens struct<n_tokens:bigint,ids:binary,decoded_sha256:string>")
-    return out.select(*(F.col("row").getField(c).alias(c) for c in kept), "tokens")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("tokens").alias(into))

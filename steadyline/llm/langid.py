@@ -82,17 +82,17 @@ def train(docs: DataFrame, vocab: str, lang_col: str = "lang", text_col: str = "
     return langs, np.maximum(expected, -700.0)
 
 
-def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str, text_col: str = "text") -> DataFrame:
-    """All columns of `docs`, and `language`: a struct (lang, score).
+def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str, text_col: str = "text", into: str = "language") -> DataFrame:
+    """All columns of `docs`, and `into`: a struct (lang, score).
 
     lang: the most probable language, of equal ones the first in order; `und`
     with the score 0 if the text is null or has no letter, or if no language was
     learned. score: the language's posterior probability when all are as likely
-    beforehand. An input column named `language` is replaced.
+    beforehand. An input column named `into` is replaced.
     """
     langs, logs = model
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs.T))  # languages x vocabulary
-    kept = [c for c in docs.columns if c != "language"]
+    kept = [c for c in docs.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, logs = pieces(vocab), shared.value
@@ -126,4 +126,4 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str,
     rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"))
     row_type = rows.schema["row"].dataType.simpleString()
     out = rows.mapInArrow(run, f"row {row_type}, language struct<lang:string,score:double>")
-    return out.select(*(F.col("row").getField(c).alias(c) for c in kept), "language")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("language").alias(into))

@@ -171,15 +171,15 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def secrets(docs: DataFrame, logs: np.ndarray, text_col: str = "text") -> DataFrame:
-    """All columns of `docs`, and `secrets`: a struct (n_assign, n_access, n_hex, n_markov, base_sha256, spans).
+def secrets(docs: DataFrame, logs: np.ndarray, text_col: str = "text", into: str = "secrets") -> DataFrame:
+    """All columns of `docs`, and `into`: a struct (n_assign, n_access, n_hex, n_markov, base_sha256, spans).
 
     spans: kind:start:end in code points, the end exclusive, in order of start,
     then kind. The models only judge what no pattern's span touches. A null text
-    counts as empty and has none. An input column named `secrets` is replaced.
+    counts as empty and has none. An input column named `into` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(logs)  # a table of fixed size
-    kept = [c for c in docs.columns if c != "secrets"]
+    kept = [c for c in docs.columns if c != into]
     fields = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_markov", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,4 +197,4 @@ def secrets(docs: DataFrame, logs: np.ndarray, text_col: str = "text") -> DataFr
     rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"))
     row_type = rows.schema["row"].dataType.simpleString()
     out = rows.mapInArrow(run, f"row {row_type}, secrets struct<n_assign:bigint,n_access:bigint,n_hex:bigint,n_markov:bigint,base_sha256:string,spans:string>")
-    return out.select(*(F.col("row").getField(c).alias(c) for c in kept), "secrets")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("secrets").alias(into))

@@ -219,19 +219,63 @@ def test_lm_base_score(spark, docs):
     assert got.n_known.tolist() == [sum(w in counts for w in words(t)) + 1 for t in docs.text]
 
 
-@pytest.mark.parametrize("shard_bytes", [60_000, 24_000_000])
-def test_bm25(spark, docs, shard_bytes, monkeypatch):
+def bm25(bags, query, k=10):
+    """All documents' scores, and the ids of the k best."""
+    n, mean = len(bags), sum(c.total() for c in bags.values()) / len(bags)
+    df = collections.Counter(w for c in bags.values() for w in c)
+    scores = {i: sum(m * math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w, m in sorted(query.items()) if w in c) for i, c in bags.items()}
+    return scores, [i for _, i in sorted((-s, i) for i, s in scores.items() if s > 0)[:k]]
+
+
+@pytest.mark.parametrize(("shard_bytes", "broadcast"), [(60_000, 24_000_000), (6_000_000, 1000)])
+def test_bm25(spark, docs, shard_bytes, broadcast, monkeypatch):
     monkeypatch.setattr(search, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(search, "QUERY_BYTES", 5000)
+    monkeypatch.setattr(search, "BROADCAST_BYTES", broadcast)
     got = queries.op10_bm25_top(spark, SF).toPandas()
     bags = {i: collections.Counter(words(t)) for i, t in docs.text.items()}
-    n, mean = len(bags), sum(c.total() for c in bags.values()) / len(bags)
-    df = collections.Counter(w for c in bags.values() for w in c)
-    for q in [i for i in bags if i % 50 == 0]:
-        scores = {i: sum(m * math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w, m in bags[q].items() if w in c) for i, c in bags.items()}
-        best = sorted((-s, i) for i, s in scores.items() if s > 0)[:10]
+    asked = [i for i in bags if i % 50 == 0]
+    assert set(got.query_id) <= set(asked)
+    for q in asked:
+        scores, best = bm25(bags, bags[q])
         own = got[got.query_id == q].sort_values("rank")
-        assert np.allclose(own.score, [-s for s, _ in best])
-        assert all(np.isclose(scores[i], -s) for i, (s, _) in zip(own.doc_id, best, strict=True))
+        assert own["rank"].tolist() == list(range(1, len(best) + 1))
+        assert np.allclose(own.score, [scores[i] for i in best])
+        assert all(np.isclose(scores[i], scores[j]) for i, j in zip(own.doc_id, best, strict=True))
+
+
+def test_bm25_ties_and_empty_shards(spark, monkeypatch):
+    """Equal documents lie in shards of their own; the smaller ids win."""
+    monkeypatch.setattr(search, "SHARD_BYTES", 40)
+    texts = {i: "red green blue red" for i in range(100, 130)} | {i: None for i in range(200, 210)} | {i: "" for i in range(210, 220)} | {7: "green paint", 8: "red paint in a tin"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = search.bm25_top(rows, F.col("doc_id").isin(7, 105, 205), k=6).collect()
+    found = {q: [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (7, 105, 205)}
+    assert found == {7: [7, 8, 100, 101, 102, 103], 105: [100, 101, 102, 103, 104, 105], 205: []}
+
+
+def test_pivots_skip_postings():
+    """Blocks whose maxima stay under the threshold are not read, and the best are those of all scores."""
+    bags = [collections.Counter(words(t)) for t in pd.read_parquet(f"{DATA}/sf0.01/documents.parquet").text]
+    number = {w: i for i, w in enumerate(sorted({w for c in bags for w in c}))}
+    each = [sorted((number[w], m) for w, m in c.items()) for c in bags]
+    terms, freqs = (np.array([x[k] for e in each for x in e], np.int32) for k in (0, 1))
+    n, sizes, lengths = len(bags), np.array([len(e) for e in each]), np.array([c.total() for c in bags])
+    doc, df = np.repeat(np.arange(n), sizes), np.bincount(terms, minlength=len(number))
+    shard = search.Shard(np.arange(n), sizes, terms, freqs, lengths, df, n, lengths.mean())
+    weight = np.log1p((n - df + 0.5) / (df + 0.5))[terms] * freqs * 2.2 / (freqs + 1.2 * (0.25 + 0.75 * lengths[doc] / lengths.mean()))
+    for q in range(0, n, 20):
+        own, times = terms[doc == q], freqs[doc == q].astype(float)
+        if not len(own):
+            continue
+        scores, ids = shard.top(own, times, 10, np.zeros(0), np.zeros(0, np.int64))
+        query = np.zeros(len(number))
+        query[own] = times
+        every = np.bincount(doc, weight * query[terms], n)
+        want = np.lexsort((np.arange(n), -every))[:10]
+        want = want[every[want] > 0]
+        assert np.allclose(scores, every[want]) and np.allclose(every[ids], every[want])
+    assert shard.read < 0.95 * shard.all
 
 
 def test_templates_and_slots(spark):

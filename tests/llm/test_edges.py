@@ -28,6 +28,14 @@ def test_line_dedup(spark):
     assert by[8, "a\nb\n\na\n"] == (5, 0, "a\nb\n\na\n")
 
 
+def test_repeated_rows_are_one_document(spark):
+    rows = [(i, "shared\nown " + str(i)) for i in range(5)] * 2 + [(7, "often\n" * 12)] * 10 + [(20 + i, f"OFTEN \nkeep {i}\n often\n") for i in range(10)]
+    got = {r["doc_id"]: r["lines"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10).collect()}
+    assert got[3] == (2, 0, "shared\nown 3")
+    # `often` is in 11 documents, at several places of each; the empty key is too short to count.
+    assert got[7] == (13, 12, "") and got[23] == (4, 2, "keep 3\n")
+
+
 def test_bpe(spark):
     got = keeps_rows(lambda d: bpe.tokenized(d, BPE_VOCAB), spark, "tokens")
     assert {r["tokens"]["n_tokens"] for r in got if not (r["text"] or "").strip()} == {0}
@@ -104,9 +112,38 @@ def test_bad_host_is_blocked(spark):
 
 @pytest.mark.parametrize("stage", range(5))
 def test_stages(spark, stage, tmp_path):
+    """Own columns keep their values, whatever they are called."""
     spark.createDataFrame([(1, "plain words of a short text")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     name, f = corpus_pipeline.STAGES[stage]
-    for docs in (awkward(spark), empty(spark)):
-        out = f(spark, docs, str(tmp_path))
-        assert set(docs.columns) <= set(out.columns) if stage == 4 else out.columns == docs.columns
-        assert out.count() <= len(TEXTS)
+    more = [*CLASHING, "n_tokens", "ids", "decoded_sha256", "flagged", "signs", "n", "item_id", "f0"]
+    docs = awkward(spark).withColumns({c: F.lit(f"own {c}") for c in more})
+    for rows in (docs, docs.limit(0)):
+        out = f(spark, rows, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns and len(set(out.columns)) == len(out.columns)
+        assert stage == 4 or len(out.columns) == len(docs.columns)
+        got = out.collect()
+        assert all(r[c] == f"own {c}" for r in got for c in more)
+    whole = f(spark, docs, str(tmp_path)).collect()
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in whole)
+    every = sorted((i or 0, t or "") for i, t in TEXTS)
+    if stage == 0:
+        assert all(t.strip() for _, t in kept)
+    elif stage == 1:
+        assert kept == every  # no line is in ten documents
+    elif stage == 2:
+        # One of those without words, one of equal texts, all without an id, and repeated rows together.
+        assert kept == sorted((i or 0, t or "") for i, t in TEXTS if i not in (2, 3, 5))
+    elif stage == 3:
+        assert kept == sorted((i or 0, t or "") for i, t in TEXTS if i not in (4, 5, 12))
+    else:
+        assert kept == every and {r["n_tokens_"] for r in whole if r["text"] == "one"} == {1}
+
+
+def test_pipeline_drops_what_it_should(spark, tmp_path):
+    item = "a question about seven red boats that cross the river before the bridge is lowered again"
+    plain = {i: " ".join(f"word{i}x{k}" for k in range(60)) for i in range(3)}
+    rows = [(0, plain[0]), (1, plain[1]), (2, f"{plain[1]} and then"), (3, f"{plain[2]}\n{item}"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {0, 1}
