@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadyline.llm import bpe, decontaminate, langid, simhash
-from steadyline.llm.common import table, written
+from steadyline.llm.common import table, unused, written
 from steadyline.llm.line_dedup import dedup_lines
 
 BPE_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -17,34 +17,56 @@ SURE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told, or only with a posterior under SURE, go. Models are learned from all rows with a language."""
-    model = langid.train(docs, PIECE_VOCAB)
-    told = langid.identified(docs, model, PIECE_VOCAB)
-    return told.filter((F.col("language.lang") != langid.UNDETERMINED) & (F.col("language.score") >= SURE)).select(*docs.columns)
+    """Documents whose language cannot be told, or only with a posterior under SURE, go: null and empty texts among them.
+
+    Models are learned from all rows with a language. Repeated rows and null ids
+    fare as their texts do; other columns stay as they are, whatever their names.
+    """
+    model, told = langid.train(docs, PIECE_VOCAB), unused(docs, "language")
+    out = langid.identified(docs, model, PIECE_VOCAB, into=told)
+    return out.filter((F.col(told)["lang"] != langid.UNDETERMINED) & (F.col(told)["score"] >= SURE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that 10 documents hold go; a document that loses all of them goes too, one that had no text stays as it is."""
-    cut = dedup_lines(docs, min_docs=10)
-    lost = (F.col("lines.n_dropped") > 0) & (F.length("lines.kept") == 0)
-    kept = {"text": F.when(F.col("lines.n_dropped") > 0, F.col("lines.kept")).otherwise(F.col("text")), "n_chars": F.when(F.col("lines.n_dropped") > 0, F.length("lines.kept").cast("long")).otherwise(F.col("n_chars"))}
-    return cut.filter(~lost).withColumns(kept).select(*docs.columns)
+    """Lines that 10 documents hold go; a document that loses all of them goes too, one that had no text stays as it is.
+
+    `n_chars` follows the text. Repeated rows are one document; other columns
+    stay as they are, whatever their names.
+    """
+    lines = unused(docs, "lines")
+    cut = dedup_lines(docs, min_docs=10, into=lines)
+    shorter, kept = F.col(lines)["n_dropped"] > 0, F.col(lines)["kept"]
+    new = {"text": F.when(shorter, kept).otherwise(F.col("text")), "n_chars": F.when(shorter, F.length(kept).cast("long")).otherwise(F.col("n_chars"))}
+    return cut.filter(~(shorter & (F.length(kept) == 0))).withColumns(new).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest id."""
+    """One document of each near-duplicate group stays, that with the smallest id.
+
+    Texts without words, null ones too, are copies of each other; rows with a
+    null id all stay, and rows of one id stay or go together. Other columns stay
+    as they are, whatever their names.
+    """
     return simhash.drop_near_copies(docs, simhash.similarity_plan()).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
+    """Documents with a passage of a benchmark item go; null ids and null or empty texts stay.
+
+    Rows of one id go together. Other columns stay as they are, whatever their names.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, as little-endian unsigned 32-bit integers."""
-    out = bpe.tokenized(docs, BPE_VOCAB)
-    return out.select(*docs.columns, "tokens.n_tokens", "tokens.ids", "tokens.decoded_sha256")
+    """All documents with their token ids, as little-endian unsigned 32-bit integers, their number, and the SHA-256 of the text that they decode to.
+
+    A null or empty text has no ids. Where an input column is called `n_tokens`,
+    `ids` or `decoded_sha256`, it stays, and the new one has an underscore more.
+    """
+    tokens = unused(docs, "tokens")
+    out = bpe.tokenized(docs, BPE_VOCAB, into=tokens)
+    return out.select(*docs.columns, *(F.col(tokens)[c].alias(unused(docs, c)) for c in ("n_tokens", "ids", "decoded_sha256")))
 
 
 STAGES = [
