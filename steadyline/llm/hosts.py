@@ -6,7 +6,11 @@ registered domain (`example.com`) towards its suffix, a host towards its
 domain. Each step is a beta-binomial posterior whose prior has the parent's
 posterior mean, and a strength that the method of moments finds from how far
 the rates at that level scatter. A host is blocked when the upper bound of its
-reputation stays under `min_good`.
+reputation (mean and `Z` standard deviations of the posterior) stays under
+`min_good`.
+
+User names and ports do not count for reputation. An IP address is a registered
+domain of its own. Suffixes of two labels are data, see `SUFFIXES`.
 """
 
 from __future__ import annotations
@@ -16,11 +20,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 #: Longest rule wins; each is (rule, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 MIN_GOOD, Z, WEAKEST, STRONGEST = 0.6, 1.645, 2.0, 1000.0
+#: Common suffixes of two labels, as the registries of these countries publish them.
+SUFFIXES = (
+    "ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk sch.uk com.au edu.au gov.au id.au net.au org.au ac.nz co.nz geek.nz govt.nz net.nz org.nz school.nz "
+    "ac.jp ad.jp co.jp ed.jp go.jp gr.jp lg.jp ne.jp or.jp ac.kr co.kr go.kr ne.kr or.kr re.kr ac.cn com.cn edu.cn gov.cn net.cn org.cn com.hk edu.hk gov.hk net.hk org.hk "
+    "com.tw edu.tw gov.tw net.tw org.tw com.sg edu.sg gov.sg net.sg org.sg com.my edu.my gov.my net.my org.my ac.in co.in edu.in gov.in net.in org.in res.in ac.id co.id go.id or.id web.id "
+    "ac.th co.th go.th in.th or.th com.vn edu.vn gov.vn net.vn org.vn com.ph edu.ph gov.ph net.ph org.ph ac.za co.za gov.za net.za org.za web.za com.br edu.br gov.br net.br org.br "
+    "com.ar edu.ar gob.ar net.ar org.ar com.mx edu.mx gob.mx net.mx org.mx com.co edu.co gov.co net.co org.co com.pe edu.pe gob.pe net.pe org.pe com.tr edu.tr gov.tr net.tr org.tr "
+    "ac.il co.il gov.il net.il org.il com.ua edu.ua gov.ua net.ua org.ua com.pl edu.pl gov.pl net.pl org.pl"
+).split()
+#: Words in a URL that make a page an unwanted one.
+UNWANTED = "bet bets betting casino jackpot lottery pharma pills poker porn slots viagra xxx".split()
 
 
 def url_host(url: Column) -> Column:
@@ -43,12 +58,28 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULE
     return found
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def site_of(host: Column) -> Column:
+    """The host without user name and port."""
+    return F.regexp_replace(F.substring_index(host, "@", -1), ":[0-9]*$", "")
+
+
+def _is_address(site: Column) -> Column:
+    return site.rlike(r"^([0-9.]+|\[.*\]?)$")
+
+
+def suffix_of(site: Column) -> Column:
+    two = F.substring_index(site, ".", -2)
+    return F.when(_is_address(site), "").when(two.isin(SUFFIXES), two).otherwise(F.substring_index(site, ".", -1))
+
+
+def domain_of(site: Column) -> Column:
+    two = F.substring_index(site, ".", -2)
+    return F.when(_is_address(site), site).when(two.isin(SUFFIXES), F.substring_index(site, ".", -3)).otherwise(two)
 
 
-def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def wanted(url: Column) -> Column:
+    """1 if no word of the URL is among UNWANTED, else 0. Words lie between characters that are neither letters nor digits."""
+    return 1 - F.coalesce(F.lower(url), F.lit("")).rlike(rf"(^|[^a-z0-9])({'|'.join(UNWANTED)})([^a-z0-9]|$)").cast("long")
 
 
 def _shrunk(level: DataFrame, key: str, parent: str) -> DataFrame:
@@ -71,22 +102,23 @@ def _shrunk(level: DataFrame, key: str, parent: str) -> DataFrame:
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
-    """outcomes: (host, good 0/1/null), a row per page. One row per host: good, n, mean and bound.
+    """outcomes: (site, good 0/1/null), a row per page. One row per site: good, n, mean and bound.
 
-    A null outcome counts for neither side; a host without labelled pages has
+    A null outcome counts for neither side; a site without labelled pages has
     its domain's reputation; a corpus without any has the mean 0.5 everywhere.
+    Each level is a written table, counted once and small beside the pages.
     """
-    hosts = outcomes.groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("good").alias("n"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    sites = outcomes.groupBy("site").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("good").alias("n"))
+    sites = written(sites.withColumns({"domain": domain_of(F.col("site")), "suffix": suffix_of(F.col("site"))}), "sites")
+    domains = written(sites.groupBy("suffix", "domain").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "domains")
+    suffixes = written(domains.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "suffixes")
     overall = suffixes.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean_all"))
-    suffixes = _shrunk(suffixes.crossJoin(F.broadcast(overall)), "suffix", "mean_all")
-    domains = _shrunk(domains.join(suffixes.select("suffix", "mean_suffix"), "suffix"), "domain", "mean_suffix")
-    hosts = _shrunk(hosts.join(domains.select("domain", "mean_domain"), "domain"), "host", "mean_domain")
-    mean = F.col("mean_host")
+    suffixes = written(_shrunk(suffixes.crossJoin(F.broadcast(overall)), "suffix", "mean_all").select("suffix", "mean_suffix"), "suffix-means")
+    domains = written(_shrunk(domains.join(suffixes, "suffix"), "domain", "mean_suffix").select("domain", "mean_domain"), "domain-means")
+    sites = _shrunk(sites.join(domains, "domain"), "site", "mean_domain")
+    mean = F.col("mean_site")
     upper = F.least(F.lit(1.0), mean + Z * F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1)))
-    return hosts.select("host", "good", "n", mean.alias("mean"), upper.alias("bound"))
+    return written(sites.select("site", "good", "n", mean.alias("mean"), upper.alias("bound")), "reputations")
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, min_good: float = MIN_GOOD, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -95,12 +127,13 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     outcomes: (id, good), 1 for a good page and 0 for a bad one; several rows of
     an id count once each. A null url, or one without `://`, has an empty host
     and path, no rule, and the reputation of the empty host. Repeated rows get
-    equal verdicts.
+    equal verdicts. Other columns, whatever their names, are not read. Empty
+    tables give no rows, and no outcomes a mean of 0.5, which blocks nothing.
     """
     parsed = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    labelled = parsed.select("id", "host").join(outcomes.select(F.col(outcomes.columns[0]).alias("id"), F.col(outcomes.columns[1]).alias("good")), "id", "left")
-    known = reputations(labelled.select("host", "good"))
-    fits = rule_for(F.col("host"), F.col("path"), rules)
-    judged = parsed.withColumn("fits", fits).join(known.select("host", "bound"), "host", "left")
+    parsed = parsed.withColumn("site", site_of(F.col("host")))
+    labelled = parsed.select("id", "site").join(outcomes.select(F.col(outcomes.columns[0]).alias("id"), F.col(outcomes.columns[1]).alias("good")), "id", "left")
+    known = reputations(labelled.select("site", "good"))
+    judged = parsed.withColumn("fits", rule_for(F.col("host"), F.col("path"), rules)).join(known.select("site", "bound"), "site", "left")
     verdict = F.coalesce(F.col("fits.verdict"), F.when(F.col("bound") < min_good, "block").otherwise("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("fits.rule").alias("rule"), verdict.alias("verdict"), F.round("bound", 6).alias("reputation"))

@@ -15,9 +15,14 @@ PIECE_VOCAB = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An outcome is the label of the document with the page's id: good if of quality and not toxic."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("long").alias("good"))
-    return hosts.judge_urls(table(spark, sf_dir, "pages"), labels)
+    """Labelled are the pages whose ids `labels` has; a page's outcome is its own: bad where its URL has an unwanted word.
+
+    The label's own columns speak of the document with that id, which has
+    nothing to do with the page.
+    """
+    pages = table(spark, sf_dir, "pages")
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id")).distinct()
+    return hosts.judge_urls(pages, pages.join(labelled, "page_id").select("page_id", hosts.wanted(F.col("url")).alias("good")))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +90,17 @@ def _shrink(level: str, key: str, parent: str) -> str:
 ORACLE_SQL = {
     "op1_url_filter": f"""
 WITH parsed AS (
-  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), {_LOWER}) AS host,
+  SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), {_LOWER}) AS host,
          regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-marked AS (SELECT host, CAST(quality = 1 AND toxic = 0 AS INT) AS good FROM parsed LEFT JOIN labels ON page_id = doc_id),
-h AS (SELECT host, split_part(host, '.', -1) AS suffix,
-             CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain,
-             coalesce(sum(good), 0)::DOUBLE AS good, count(good)::DOUBLE AS n FROM marked GROUP BY host),
+placed AS (SELECT *, regexp_replace(split_part(host, '@', -1), ':[0-9]*$', '') AS site FROM parsed),
+bad AS (SELECT DISTINCT page_id, CAST(NOT regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9])({"|".join(hosts.UNWANTED)})([^a-z0-9]|$)') AS INT) AS good
+        FROM pages WHERE page_id IN (SELECT doc_id FROM labels)),
+marked AS (SELECT site, good FROM placed LEFT JOIN bad USING (page_id)),
+counted AS (SELECT site, coalesce(sum(good), 0)::DOUBLE AS good, count(good)::DOUBLE AS n FROM marked GROUP BY site),
+cut AS (SELECT *, regexp_matches(site, '^([0-9.]+|\\[.*\\]?)$') AS address, string_split(site, '.') AS parts, array_to_string(list_slice(string_split(site, '.'), -2, -1), '.') AS two FROM counted),
+h AS (SELECT site, good, n,
+        CASE WHEN address THEN '' WHEN list_contains({hosts.SUFFIXES!r}, two) THEN two ELSE parts[-1] END AS suffix,
+        CASE WHEN address THEN site WHEN list_contains({hosts.SUFFIXES!r}, two) THEN array_to_string(list_slice(parts, -3, -1), '.') ELSE two END AS domain FROM cut),
 d AS (SELECT suffix, domain, sum(good) AS good, sum(n) AS n FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(good) AS good, sum(n) AS n, (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM h) AS mean_all FROM d GROUP BY suffix),
 {_shrink("s", "suffix", "mean_all")},
@@ -98,7 +108,7 @@ d2 AS (SELECT d.*, mean_suffix FROM d JOIN suffix_p USING (suffix)),
 {_shrink("d2", "domain", "mean_suffix")},
 h2 AS (SELECT h.*, mean_domain FROM h JOIN domain_p USING (suffix, domain)),
 {_shrink("h2", "host", "mean_domain")},
-known AS (SELECT host, least(1.0, mean_host + {hosts.Z} * sqrt(mean_host * (1 - mean_host) / (a + b + 1))) AS bound FROM host_p),
+known AS (SELECT site, least(1.0, mean_host + {hosts.Z} * sqrt(mean_host * (1 - mean_host) / (a + b + 1))) AS bound FROM host_p),
 ruled AS (
   SELECT p.*, bound, CASE
     WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
@@ -106,7 +116,7 @@ ruled AS (
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
-  FROM parsed p JOIN known USING (host))
+  FROM placed p JOIN known USING (site))
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound < {hosts.MIN_GOOD} THEN 'block' ELSE 'allow' END AS verdict,
   round(bound, 6) AS reputation

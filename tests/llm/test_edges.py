@@ -1,11 +1,15 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from steadyline.llm import bpe, decontaminate, hosts, langid, lm, search, secrets, sharding, simhash
+from steadyline.llm import bpe, decontaminate, hosts, langid, lm, queries, search, secrets, sharding, simhash
 from steadyline.llm.line_dedup import dedup_lines
 from steadyline.llm.queries import BPE_VOCAB, PIECE_VOCAB
 
+from tests.oracle import DATA
+
 from .cases import CLASHING, TEXTS, awkward, empty
 
 
@@ -110,6 +114,25 @@ def test_bad_host_is_blocked(spark):
     assert {h for h, v in got if v == "block"} == {"bad.site.org"}
 
 
+def test_reputation_decides_in_the_query(spark):
+    """Unlabelled pages of the three unwanted sites are blocked for their hosts, and no others but by rule."""
+    got = queries.op1_url_filter(spark, f"{DATA}/check_s").filter("rule is null").toPandas()
+    blocked = set(got[got.verdict == "block"].host)
+    assert len(blocked) >= 1 and all(re.search("casino|bets|pills", h) for h in blocked)
+    unwanted = got[got.host.str.contains("casino|bets|pills")]
+    few = unwanted.groupby("host").size()
+    assert blocked >= set(few[few >= 12].index)
+
+
+def test_sites_and_domains(spark):
+    urls = ["u:p@Shop.A.co.uk:8080", "other.co.uk", "10.0.0.1:80", "a.b.example.org", "localhost", "", "[::1]:9", "co.uk"]
+    got = spark.createDataFrame([(u,) for u in urls], "host string").select(hosts.site_of(hosts.ascii_lower(F.col("host"))).alias("s")).select("s", hosts.domain_of(F.col("s")), hosts.suffix_of(F.col("s"))).collect()
+    assert list(map(tuple, got)) == [
+        ("shop.a.co.uk", "a.co.uk", "co.uk"), ("other.co.uk", "other.co.uk", "co.uk"), ("10.0.0.1", "10.0.0.1", ""), ("a.b.example.org", "example.org", "org"),
+        ("localhost", "localhost", "localhost"), ("", "", ""), ("[::1]", "[::1]", ""), ("co.uk", "co.uk", "co.uk"),
+    ]
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages(spark, stage, tmp_path):
     """Own columns keep their values, whatever they are called."""
