@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +48,20 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def sized(df: DataFrame, row_bytes: Column | int = 16, most: int = 32_000_000) -> DataFrame:
+    """`df`, a written table, to be broadcast in a join if its rows have been summed up to `most` bytes or fewer; else as it is, for a shuffle."""
+    total = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
+def release() -> None:
+    """Gives freed memory back at the end of a task, since Python workers outlast it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write `df` to a new table in the shared folder and read it back.
 

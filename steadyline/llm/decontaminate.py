@@ -3,12 +3,15 @@
 Texts and benchmark items become templates: numbers, names and units turn into
 typed placeholders, everything else is lower-cased without punctuation. Windows
 of template words are hashed and joined. Placeholders match any value of their
-type, so a re-parameterised question matches too; its slots are then checked:
-within one copy of the item, each of its values must stand for one value only.
+type, so a re-parameterised question matches too. Matches that lie equally far
+from their places in the item are one copy of it, and a copy is judged as a
+whole: it counts if it has a share of the item's windows and each value of the
+item stands for one value only in it.
 
-A window is 8 words, or more until 4 of them are no placeholders. Where 8 words
-have fewer, their actual words are a window too, which only an equal passage
-matches. An item without a window of the first kind is one window as a whole.
+A window is 8 words, or more until 4 of them are no placeholders. The actual
+words of 8-word windows with placeholders are windows too: they match a passage
+word for word, in whatever case, and need no check. An item without a window of
+the first kind is one window as a whole.
 
 The hashes of all windows of a text come from a few passes over its bytes. Only
 windows whose hash may be a benchmark's (a bit set of fixed size) leave the
@@ -24,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, written
 
 WINDOW = 8
 #: Words of a window that are no placeholders, at least; a window with fewer is widened.
 LITERALS = 4
+#: Share of an item's windows that a re-parameterised copy must have.
+SHARE = 0.5
 #: Bytes whose words are hashed at once.
 PIECE = 1_000_000
 #: The bit set has 2 to this power of bits.
@@ -167,7 +172,7 @@ def _windows(window: int, literals: int, lengths: list[int], bits: np.ndarray |
         yield place, end, False
         short = t.of_length(window)
         if bits is None:
-            yield (short := short[t.literals(short, short + window) < literals]), short + window, True
+            yield (short := short[t.literals(short, short + window) < window]), short + window, True
             lone = np.flatnonzero((t.sizes > 0) & (np.bincount(t.text[place], minlength=len(t.sizes)) == 0))
             place, end = t.begin[lone], t.begin[lone + 1]
             some = t.literals(place, end) > 0
@@ -199,7 +204,8 @@ def _windows(window: int, literals: int, lengths: list[int], bits: np.ndarray |
                     slots = [[] if exact else t.word[p:e][t.slot[p:e]].view(np.int64) for p, e in zip(place.tolist(), end.tolist(), strict=True)]
                     text = t.text[place]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(text + first)), pa.array(value.view(np.int64)), pa.array(place - t.begin[text], pa.int64()), pa.array(slots, pa.list_(pa.int64()))], ["id", "hash", "place", "slots"]
+                        [ids.take(pa.array(text + first)), pa.array(value.view(np.int64)), pa.array(place - t.begin[text], pa.int64()), pa.array(slots, pa.list_(pa.int64())), pa.array(np.full(len(place), exact))],
+                        ["id", "hash", "place", "slots", "exact"],
                     )
                 first = last
 
@@ -208,46 +214,50 @@ def _windows(window: int, literals: int, lengths: list[int], bits: np.ndarray |
 
 def _id_rows(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    return rows, f"id {rows.schema['id'].dataType.simpleString()}, hash long, place long, slots array<long>"
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each document and item that share a template window: id, item_id, n_windows, n_literal, n_consistent, first_place.
-
-    n_windows: windows of the document that match; n_literal: of these without
-    placeholders, or matched by their actual words; n_consistent: of these with placeholders whose values agree
-    with all matches of that copy of the item. Only pairs with a literal or consistent window
-    are returned. An item shorter than the window, or without `literals`
-    words that are no placeholders in any, is one window of its own length, if
-    it has a word that is no placeholder. Null ids and null texts
-    match nothing, empty texts neither. Repeated rows count as one document
-    whose windows recur. Empty tables give no rows.
+    return rows, f"id {rows.schema['id'].dataType.simpleString()}, hash long, place long, slots array<long>, exact boolean"
+
+
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """One row for each document and item that share a passage: id, item_id, n_windows, n_literal, n_consistent, first_place.
+
+    n_windows: windows of the document that match; n_literal: of these word for
+    word; n_consistent: of these those of copies that have `share` of the item's
+    template windows and in which each value of the item stands for one value
+    only. Only pairs with a literal or consistent window are returned. An item
+    shorter than the window, or without `literals` words that are no
+    placeholders in any, is one window of its own length, if it has a word that
+    is no placeholder. Null ids and null texts match nothing, empty texts
+    neither. Repeated rows count as one document whose windows recur. Other
+    columns, whatever their names, are not read. Empty tables give no rows.
     """
     items, schema = _id_rows(benchmark, item_id, item_text)
     known = items.mapInArrow(_windows(window, literals, [], None), schema)
-    known = written(known.select(F.col("id").alias(item_id), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")).distinct(), "templates")
+    known = known.select(F.col("id").alias("item"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "exact").distinct()
+    known = written(known, "templates")
     short = sorted(r[0] for r in items.mapInArrow(_lengths(window, literals), "n int").distinct().collect())  # lengths of items without a usual window
     cells = known.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("cell")).distinct().toArrow()["cell"].to_numpy()  # at most the bits of the set
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[cells] = True
     rows, schema = _id_rows(docs, id_col, text_col)
-    found = rows.mapInArrow(_windows(window, literals, short, bits), schema).withColumnRenamed("id", id_col)
-    # Windows of one copy of the item lie equally far from their places in it; each copy is judged by itself.
+    found = rows.mapInArrow(_windows(window, literals, short, bits), schema).drop("exact")
     matched = written(found.join(known, "hash").withColumn("shift", F.col("place") - F.col("item_place")), "template-matches")
-    key = [id_col, item_id, "shift"]
-    slots = matched.select(*key, F.explode(F.arrays_zip("item_slots", "slots")).alias("slot"))
-    values = slots.groupBy(*key, F.col("slot.item_slots").alias("value")).agg(F.min("slot.slots").alias("low"), F.max("slot.slots").alias("high"))
-    broken = values.filter("low != high").groupBy(*key).agg(F.collect_set("value").alias("broken"))
-    judged = matched.join(broken, key, "left")
-    slotless = F.size("slots") == 0
-    agrees = ~slotless & ~F.coalesce(F.arrays_overlap("item_slots", "broken"), F.lit(False))
-    out = judged.groupBy(id_col, item_id).agg(
+    copy = ["id", "item", "shift"]
+    slots = matched.select(*copy, F.explode(F.arrays_zip("item_slots", "slots")).alias("slot"))
+    values = slots.groupBy(*copy, F.col("slot.item_slots").alias("value")).agg(F.min("slot.slots").alias("low"), F.max("slot.slots").alias("high"))
+    broken = values.filter("low != high").select(*copy).distinct().withColumn("broken", F.lit(True))
+    literal = F.col("exact") | (F.size("slots") == 0)
+    sizes = known.filter("not exact").groupBy("item").agg(F.count_distinct("item_place").alias("of"))
+    copies = matched.groupBy(*copy).agg(F.count_distinct(F.when(~F.col("exact"), F.col("place"))).alias("n")).join(sizes, "item", "left").join(broken, copy, "left")
+    good = copies.select(*copy, F.coalesce(F.col("broken").isNull() & (F.col("n") >= share * F.col("of")), F.lit(False)).alias("good"))
+    out = matched.join(good, copy).groupBy("id", "item").agg(
         F.count_distinct("place").alias("n_windows"),
-        F.count_distinct(F.when(slotless, F.col("place"))).alias("n_literal"),
-        F.count_distinct(F.when(agrees, F.col("place"))).alias("n_consistent"),
+        F.count_distinct(F.when(literal, F.col("place"))).alias("n_literal"),
+        F.count_distinct(F.when(F.col("good") & ~F.col("exact"), F.col("place"))).alias("n_consistent"),
         F.min("place").alias("first_place"),
     )
-    return out.filter("n_literal + n_consistent > 0")
+    return out.filter("n_literal + n_consistent > 0").withColumnsRenamed({"id": id_col, "item": item_id})
 
 
 def _lengths(window: int, literals: int):
@@ -264,4 +274,5 @@ def _lengths(window: int, literals: int):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """`docs` without those that share a passage with an item; rows with a null id stay."""
-    return docs.join(leaks(docs, benchmark, id_col=id_col, text_col=text_col, **kwargs).select(id_col).distinct(), id_col, "left_anti")
+    gone = written(leaks(docs, benchmark, id_col=id_col, text_col=text_col, **kwargs).select(id_col).distinct(), "leaks")
+    return docs.join(sized(gone, F.octet_length(F.col(id_col).cast("string")) + 16), id_col, "left_anti")

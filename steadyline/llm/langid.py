@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
 from .lattice import START, pieces, smoothed
 
 UNDETERMINED = "und"
@@ -66,6 +67,7 @@ def train(docs: DataFrame, vocab: str, lang_col: str = "lang", text_col: str = "
         for lang, uses in total.items():
             used = np.flatnonzero(uses > 0)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(uses[used])], ["lang", "piece", "uses"])
+        release()
 
     uses = word_counts(docs, lang_col, text_col).mapInArrow(run, "lang string, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses"))
     rows = uses.orderBy("lang", "piece").toArrow()  # languages x vocabulary at most
@@ -122,6 +124,8 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str,
                     sure.append(float(1 / np.exp(total - total[best]).sum()))
             language = pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(sure, pa.float64())], ["lang", "score"])
             yield pa.RecordBatch.from_arrays([batch.column(0), language], ["row", "language"])
+        del seen, scores
+        release()
 
     rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"))
     row_type = rows.schema["row"].dataType.simpleString()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import distance, link_runs, link_runs_twice, pairs_across
-from .common import written
+from .common import release, sized, written
 from .components import components
 
 #: Bytes of hash bits that are summed at once; bounds memory for texts of any length.
@@ -161,6 +161,7 @@ def fingerprints(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col:
             for at, text in enumerate(texts):
                 prints[at] = set_fingerprint(text, words, n) if once else fingerprint(text, words)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, k].view(np.int64)) for k in range(n))], ["id", *names])
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, " + ", ".join(f"{f} long" for f in names))
@@ -304,8 +305,8 @@ def _close_up(docs: DataFrame, nodes: DataFrame, plan: Plan, id_col: str, text_c
 def _similar_roots(docs: DataFrame, reps: DataFrame, plan: Plan, keys: tuple[tuple[int, ...], ...], id_col: str, text_col: str) -> DataFrame:
     """(node, root) of the links whose texts have been held against each other."""
     links = written(link_prints(reps, plan, keys), "print-links")
-    nodes = links.select(F.col("a").alias("rep")).union(links.select("b")).distinct()
-    near = written(_close_up(docs, nodes, plan, id_col, text_col), "print-texts")
+    nodes = written(links.select(F.col("a").alias("rep")).union(links.select("b")).distinct(), "print-nodes")
+    near = written(_close_up(docs, sized(nodes), plan, id_col, text_col), "print-texts")
     sets, prints = near.select("rep", "shingles"), near.drop("shingles")
     held = written(similar(links.filter("close").select("a", "b").distinct(), sets, plan.similarity), "print-held")
     roots = components(held)
@@ -348,5 +349,5 @@ def drop_near_copies(docs: DataFrame, plan: Plan | None = None, id_col: str = "d
     any name stay as they are. An empty table gives an empty one.
     """
     groups = near_groups(docs, plan or similarity_plan(), id_col, text_col)
-    gone = groups.filter("id > component").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = written(groups.filter("id > component").select(F.col("id").alias(id_col)).distinct(), "near-copies")
+    return docs.join(sized(gone), id_col, "left_anti")
