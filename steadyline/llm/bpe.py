@@ -29,17 +29,28 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 END = "</w>"
-#: Words, and chunks between blanks, whose ids a worker remembers; a memory is emptied when it is full.
-REMEMBERED = 200_000
-#: Pairs of tokens whose compatibility it remembers, in the same way.
-PAIRS_REMEMBERED = 400_000
+#: Words, and chunks between blanks, in each half of a worker's memory of their ids.
+REMEMBERED = 100_000
+#: Pairs of tokens in each half of its memory of compatible pairs.
+PAIRS_REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
 #: Ids decoded at once.
 DECODED_AT_ONCE = 1 << 18
-#: Fixed values of the tokenizer files: what its patterns mean by a blank, and its word pattern.
+#: Fixed values of the tokenizer files: what their patterns mean by a blank.
 BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{BLANKS}\p{{L}}\p{{N}}]+"
+
+
+#: Fixed values, found by encoding every code point: letters and numbers to the `regex` module that are none in the library's
+#: older Unicode tables, and capitals that the library lower-cases and Python 3.13 does not.
+NEWER = (
+    "558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a "
+    "11db0-11ddb 11de0-11de9 11df1-11df1 1246f-1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 "
+    "1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+)
+SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0x3A3: 0x3C3, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 
 
 def byte_signs() -> list[str]:
@@ -49,6 +60,43 @@ def byte_signs() -> list[str]:
     return [chr(b if b in plain else next(free)) for b in range(256)]
 
 
+def _ranges(points: list[int]) -> str:
+    """A character class of code points in rising order."""
+    cuts = np.flatnonzero(np.diff(points) > 1)
+    firsts, lasts = [points[0], *(points[i + 1] for i in cuts)], [*(points[i] for i in cuts), points[-1]]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(firsts, lasts, strict=True))
+
+
+@lru_cache(maxsize=1)
+def word_patterns() -> tuple[regex.Pattern, frozenset[str], regex.Pattern]:
+    """(the words of the tokenizer files, letters and numbers newer than the library's Unicode, the words where there are such)."""
+    usual = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{BLANKS}\p{{L}}\p{{N}}]+")
+    points = [c for a, b in (x.split("-") for x in NEWER.split()) for c in range(int(a, 16), int(b, 16) + 1)]
+    own = _ranges(points)
+    letters, numbers = rf"(?![{own}])\p{{L}}", rf"(?![{own}])\p{{N}}"
+    return usual, frozenset(map(chr, points)), regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|(?:{letters})+|{numbers}|(?:[^{BLANKS}\p{{L}}\p{{N}}]|[{own}])+")
+
+
+class Memory(dict):
+    """A dict of two halves: when the younger is full it becomes the older one, and what is used of that stays."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def recall(self, key):
+        """The value of a key that the younger half lacks, or None."""
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class WordBpe:
     """The tables of one vocabulary file. Symbols are signs; one at a word's end is moved up by 0x1000."""
 
@@ -60,7 +108,7 @@ class WordBpe:
             raise ValueError(f"{path} has no BPE vocabulary with word ends")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = regex.compile(WORDS)
+        self.words, self.newer, self.words_beside_newer = word_patterns()
         self.signs = byte_signs()
         texts = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for text, i in [*vocab.items(), *self.special.items()]:
@@ -78,7 +126,7 @@ class WordBpe:
             self.parts[whole], self.made[whole] = (vocab[a], vocab[b]), r
             if max(self.made.get(vocab[a], -1), self.made.get(vocab[b], -1)) >= r:
                 raise ValueError("a merge uses a token that a later merge makes")
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known = Memory(PAIRS_REMEMBERED)
         self.length: dict[int, int] = {}
         spelled = {i: self._symbols(t) for t, i in vocab.items()}
         by_symbols = {s: i for i, s in spelled.items() if self._arises(i)}
@@ -89,8 +137,7 @@ class WordBpe:
             self.length[i] = len(s)
             self.shorter[i] = next((by_symbols[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in by_symbols), -1)
         self.automaton.make_automaton()
-        self.words_seen: dict[str, bytes] = {}
-        self.chunks_seen: dict[bytes, bytes] = {}
+        self.words_seen, self.chunks_seen = Memory(REMEMBERED), Memory(REMEMBERED)
 
     @staticmethod
     def _symbols(text: str) -> str:
@@ -123,11 +170,10 @@ class WordBpe:
         return False
 
     def compatible(self, left: int, right: int) -> bool:
-        found = self.known.get((left, right))
+        found = self.known.recall((left, right))
         if found is None:
-            if len(self.known) >= PAIRS_REMEMBERED:
-                self.known.clear()
-            found = self.known[left, right] = self._untouched(left, right, len(self.rank))
+            found = self._untouched(left, right, len(self.rank))
+            self.known.keep((left, right), found)
         return found
 
     def word(self, symbols: str) -> list[int]:
@@ -161,13 +207,13 @@ class WordBpe:
 
     def word_ids(self, word: str) -> bytes:
         ids = self.words_seen.get(word)
+        if ids is None:
+            ids = self.words_seen.recall(word)
         if ids is None:
             signs = word if word.isascii() and word.isprintable() else "".join([self.signs[b] for b in word.encode()])
             ids = struct.pack(f"<{len(found)}I", *found) if (found := self.word(signs[:-1] + chr(ord(signs[-1]) + 0x1000))) else b""
             if len(word) <= LONGEST_REMEMBERED:
-                if len(self.words_seen) >= REMEMBERED:
-                    self.words_seen.clear()
-                self.words_seen[word] = ids
+                self.words_seen.keep(word, ids)
         return ids
 
     def chunk(self, chunk: bytes) -> bytes:
@@ -183,8 +229,9 @@ class WordBpe:
             if at % 2:
                 out.append(struct.pack("<I", self.special[piece]))
             else:
-                piece = unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3").lower()
-                out += [self.word_ids(w) for w in self.words.findall(piece)]
+                piece = unicodedata.normalize("NFC", piece).translate(SMALL).lower()
+                words = self.words if self.newer.isdisjoint(piece) else self.words_beside_newer
+                out += [self.word_ids(w) for w in words.findall(piece)]
         return b"".join(out)
 
     def encode(self, text: bytes) -> bytes:
@@ -192,12 +239,12 @@ class WordBpe:
         seen, out = self.chunks_seen, []
         for chunk in text.split():
             ids = seen.get(chunk)
+            if ids is None:
+                ids = seen.recall(chunk)
             if ids is None:
                 ids = self.chunk(chunk)
                 if len(chunk) <= LONGEST_REMEMBERED:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[chunk] = ids
+                    seen.keep(chunk, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -241,6 +288,7 @@ def tokenized(docs: DataFrame, path: str, text_col: str = "text", into: str = "t
                 digests.append(digest.hexdigest())
             tokens = pa.StructArray.from_arrays([pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(digests)], ["n_tokens", "ids", "decoded_sha256"])
             yield pa.RecordBatch.from_arrays([batch.column(0), tokens], ["row", "tokens"])
+        release()
 
     rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"))
     row_type = rows.schema["row"].dataType.simpleString()

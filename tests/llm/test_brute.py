@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import math
 import random
 import zlib
@@ -10,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from steadyline.llm import bpe as bpe_module
 from steadyline.llm import decontaminate, langid, queries, search, secrets, simhash
 from steadyline.llm.bitslice import link_runs, link_runs_twice, pairs_across
 from steadyline.llm.bpe import tables
@@ -170,10 +172,40 @@ def test_tokens_are_those_of_the_library():
         assert b"".join(bpe.decode(ids)).decode() == library.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_is_encoded_as_by_the_library():
+    """Each beside letters, digits and signs, in texts of 500; of large blocks of one kind, some."""
+    bpe, library = tables(queries.BPE_VOCAB), Tokenizer.from_file(queries.BPE_VOCAB)
+    alike = ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0xD800, 0xE000), (0xE000, 0xF900), (0x17000, 0x187F8), (0x20000, 0x2B700), (0x30000, 0x32300), (0x40000, 0x110000))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c % 101 == 0 or not any(a <= c < b for a, b in alike))]
+    texts = ["".join(f"a{chr(c)}b {chr(c)}1 .{chr(c)} " for c in points[first : first + 500]) for first in range(0, len(points), 500)]
+    differ = [i for i, (text, want) in enumerate(zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True)) if np.frombuffer(bpe.encode(text.encode()), "<u4").tolist() != want.ids]
+    assert differ == []
+
+
 def test_token_digests(spark, docs):
     library = Tokenizer.from_file(queries.BPE_VOCAB)
     got = queries.op6_bpe(spark, SF).toPandas().set_index("doc_id")
-    assert got.n_tokens.to_dict() == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in docs.text.items()}
+    for i, text in docs.text.items():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        assert tuple(got.loc[i, ["n_tokens", "ids_sha256", "decoded_sha256"]]) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids, skip_special_tokens=False).encode()))
+
+
+def test_long_texts_are_decoded_in_pieces(monkeypatch):
+    monkeypatch.setattr(bpe_module, "DECODED_AT_ONCE", 1000)
+    bpe, library = tables(queries.BPE_VOCAB), Tokenizer.from_file(queries.BPE_VOCAB)
+    text = "some words, and more of them: " * 60_000
+    ids = bpe.encode(text.encode())
+    want = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ids, "<u4").tolist() == want and b"".join(bpe.decode(ids)).decode() == library.decode(want, skip_special_tokens=False)
+
+
+def test_memory_keeps_what_is_used():
+    memory = bpe_module.Memory(10)
+    for i in range(1000):
+        memory.keep(i, i)
+        assert memory.get(0) is not None or memory.recall(0) is not None
+        assert len(memory) <= 10 and len(memory.old) <= 10
 
 
 def every_way(own, word, logs):
