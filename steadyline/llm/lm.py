@@ -21,57 +21,60 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .lattice import START, pieces, smoothed
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES = 16_000_000
 STRENGTH = 1000.0
 LN10 = np.log(10.0)
 
-PACKED = "chunk long, ids array<long>, held array<boolean>, sizes array<long>, tokens binary, rare binary, words array<string>, train array<long>"
+PACKED = "chunk long, ids array<long>, held array<boolean>, sizes binary, tokens binary, rare binary, words string, train array<int>"
 #: Token numbers from here on are kept apart.
 WIDE = 0xFFFF
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, serial = TaskContext.get().partitionId(), count()
+    ids, learns, sizes = [], [], []
+    number, tokens, text_bytes = defaultdict(count().__next__), array("i"), 0
+
+    def chunk() -> pa.RecordBatch:
+        learn = np.repeat(np.array(learns, bool), sizes)
+        numbers = np.frombuffer(tokens, np.int32) if len(tokens) else np.zeros(0, np.int32)
+        # Frequent words get small numbers, and most tokens fit in two bytes.
+        order = np.argsort(-np.bincount(numbers, minlength=len(number)), kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        numbers = place[numbers]
+        names = list(number)
+        row = [
+            pa.array([(task << 32) + next(serial)]),
+            pa.array([ids], pa.list_(pa.int64())),
+            pa.array([[not x for x in learns]], pa.list_(pa.bool_())),
+            *(pa.array([x.tobytes()], pa.binary()) for x in (np.array(sizes, np.int64), np.minimum(numbers, WIDE).astype(np.uint16), numbers[numbers >= WIDE])),
+            pa.array([b"\n".join([names[i] for i in order.tolist()]).decode()]),  # words hold no line ends
+            pa.array([np.bincount(numbers[learn], minlength=len(number)).astype(np.int32)], pa.list_(pa.int32())),
+        ]
+        return pa.RecordBatch.from_arrays(row, ["chunk", "ids", "held", "sizes", "tokens", "rare", "words", "train"])
+
     for batch in batches:
-        texts = batch.column(2).cast(pa.binary()).to_pylist()
-        first = 0
-        while first < len(texts):
-            last, size = first, 0
-            while last < len(texts) and (last == first or size + len(texts[last] or b"") <= CHUNK_BYTES):
-                size, last = size + len(texts[last] or b""), last + 1
-            number = defaultdict(count().__next__)
-            tokens, sizes = array("i"), []
-            for text in texts[first:last]:
-                before = len(tokens)
-                tokens.extend(map(number.__getitem__, (text or b"").lower().split()))
-                sizes.append(len(tokens) - before)
-            held = batch.column(1).slice(first, last - first)
-            learn = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), sizes)
-            numbers = np.frombuffer(tokens, np.int32) if len(tokens) else np.zeros(0, np.int32)
-            # Frequent words get small numbers, and most tokens fit in two bytes.
-            order = np.argsort(-np.bincount(numbers, minlength=len(number)), kind="stable")
-            place = np.empty(len(order), np.int32)
-            place[order] = np.arange(len(order), dtype=np.int32)
-            numbers = place[numbers]
-            used = np.bincount(numbers[learn], minlength=len(number))
-            names = list(number)
-            row = {
-                "chunk": [(task << 32) + next(serial)],
-                "ids": [batch.column(0).slice(first, last - first).to_pylist()],
-                "held": [held.to_pylist()],
-                "sizes": [sizes],
-                "tokens": [np.minimum(numbers, WIDE).astype(np.uint16).tobytes()],
-                "rare": [numbers[numbers >= WIDE].tobytes()],
-                "words": [[names[i].decode() for i in order.tolist()]],
-                "train": [used],
-            }
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
-            first = last
+        for id_, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+            text = text.as_py() or b""
+            if ids and text_bytes + len(text) > CHUNK_BYTES:
+                yield chunk()
+                ids, learns, sizes = [], [], []
+                number, tokens, text_bytes = defaultdict(count().__next__), array("i"), 0
+            before = len(tokens)
+            tokens.extend(map(number.__getitem__, text.lower().split()))
+            ids.append(id_)
+            learns.append(not held)
+            sizes.append(len(tokens) - before)
+            text_bytes += len(text)
+    if ids:
+        yield chunk()
+    del number, tokens
+    release()
 
 
 def _expected(vocab: str):
@@ -82,6 +85,7 @@ def _expected(vocab: str):
             total += own.expected([START + w for w in batch.column(0).to_pylist()], batch.column(1).to_numpy(zero_copy_only=False).astype(float), start)
         used = np.flatnonzero(total > 0)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["piece", "uses"])
+        release()
 
     return run
 
@@ -92,6 +96,7 @@ def _scored(vocab: str, logs):
         for batch in batches:
             values = own.forward([START + w for w in batch.column(0).to_pylist()], logs.value[:, None])[:, 0] / LN10
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], ["word", "seen", "log"])
+        release()
 
     return run
 
@@ -103,13 +108,14 @@ def scored(docs: DataFrame, held_out: Column, vocab: str, id_col: str = "doc_id"
     the text. base_score: log10 probability under add-one word counts. score:
     log10 probability under the subword model. Rows for which `held_out` is true
     teach neither; null counts as false. A null or empty text is an end alone.
-    Ids are integers or null. Rows that repeat are scored alike and count each
+    Ids are integers, as Spark casts them, or null; other columns, whatever
+    their names, are not read. An empty table gives no rows. Rows that repeat are scored alike and count each
     time. With no row to learn from, the words' counts are zero and the subword
     model has the vocabulary's own scores.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
     packed = written(rows.mapInArrow(_pack, PACKED), "lm-chunks")
-    entries = packed.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("at", "entry")).select("chunk", "at", F.col("entry.words").alias("word"), F.col("entry.train").alias("train"))
+    entries = packed.filter("words != ''").select("chunk", F.posexplode(F.arrays_zip(F.split("words", "\n").alias("word"), "train")).alias("at", "entry")).select("chunk", "at", "entry.word", "entry.train")
     table = written(entries.groupBy("word").agg(F.sum("train").alias("seen")), "lm-words")
     sums = table.agg(F.sum("seen"), F.count_if(F.col("seen") > 0)).first()
     ends = packed.select(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
@@ -136,7 +142,7 @@ def scored(docs: DataFrame, held_out: Column, vocab: str, id_col: str = "doc_id"
         for row in packed.select(["ids", "held", "sizes", "tokens", "rare"]).to_pylist():
             tokens = np.frombuffer(row["tokens"], np.uint16).astype(np.int32)
             tokens[tokens == WIDE] = np.frombuffer(row["rare"], np.int32)
-            sizes = np.array(row["sizes"])
+            sizes = np.frombuffer(row["sizes"], np.int64)
             filled = sizes > 0
             starts = (np.cumsum(sizes) - sizes)[filled]
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from steadyline.llm import bpe as bpe_module
-from steadyline.llm import decontaminate, langid, queries, search, secrets, simhash
+from steadyline.llm import decontaminate, langid, lm, queries, search, secrets, simhash
 from steadyline.llm.bitslice import link_runs, link_runs_twice, pairs_across
 from steadyline.llm.bpe import tables
 from steadyline.llm.components import components
@@ -239,6 +239,68 @@ def test_language_of_held_out_documents(spark, docs):
     assert (held.lang_pred == lang[held.index]).mean() > 0.98
 
 
+def lattice(own, word, logs):
+    """(log of the sum over all segmentations, expected uses of the pieces) of one word, place by place."""
+    ways = [(i, j, [own.ids[word[i:j]]]) for i in range(len(word)) for j in range(i + 1, len(word) + 1) if word[i:j] in own.ids]
+    single = {i for i, j, _ in ways if j == i + 1}
+    ways += [(i, i + 1, own.byte_ids[list(word[i].encode())].tolist()) for i in range(len(word)) if i not in single]
+    before, after = [0.0] + [-math.inf] * len(word), [-math.inf] * len(word) + [0.0]
+    for i, j, ids in sorted(ways, key=lambda x: x[1]):
+        before[j] = np.logaddexp(before[j], before[i] + sum(logs[k] for k in ids))
+    for i, j, ids in sorted(ways, key=lambda x: -x[0]):
+        after[i] = np.logaddexp(after[i], after[j] + sum(logs[k] for k in ids))
+    uses = collections.Counter()
+    for i, j, ids in ways:
+        for k in ids:
+            uses[k] += math.exp(before[i] + sum(logs[k] for k in ids) + after[j] - before[-1])
+    return before[-1], uses
+
+
+def test_lm_score_of_each_document(spark):
+    """One expectation step over the words of documents that are not held out, then the sum over all segmentations."""
+    texts = ["the river bends", "THE river is wide, and the boats are old", "", None, "an unseen wörd ☃", "boats bend the river"] * 2
+    held = [i % 4 == 1 for i in range(len(texts))]
+    rows = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, h boolean")
+    got = {r["doc_id"]: r for r in lm.scored(rows, F.col("h"), queries.PIECE_VOCAB).collect()}
+    own = pieces(queries.PIECE_VOCAB)
+    start = np.log(np.maximum(own.prior, 1e-300))
+    counts = collections.Counter(w.decode() for t, h in zip(texts, held, strict=True) if not h for w in words(t))
+    expected = np.zeros(own.size)
+    for w, n in counts.items():
+        for k, u in lattice(own, "▁" + w, start)[1].items():
+            expected[k] += n * u
+    ends = held.count(False)
+    total = expected.sum() + lm.STRENGTH + ends + 1
+    logs = np.log(np.maximum((expected + lm.STRENGTH * own.prior) / total, 1e-300))
+    for i, t in enumerate(texts):
+        want = sum(lattice(own, "▁" + w.decode(), logs)[0] for w in words(t)) / math.log(10) + math.log10((ends + 1) / total)
+        assert got[i]["score"] == pytest.approx(want, rel=1e-9), t
+
+
+def test_language_scores(spark):
+    """The posterior of equal priors over the sums of all segmentations."""
+    texts = {"en": "the old river bends in the wide land", "de": "der alte fluss biegt sich im weiten land"}
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts.items())] * 3, "doc_id long, text string, lang string")
+    langs, logs = langid.train(docs, queries.PIECE_VOCAB)
+    asked = ["the land", "der fluss", "land", "land land", "THE LAND 12", "... 12"]
+    found = langid.identified(spark.createDataFrame([(t,) for t in asked], "text string"), (langs, logs), queries.PIECE_VOCAB).collect()
+    own = pieces(queries.PIECE_VOCAB)
+    for r in found:
+        each = [sum(lattice(own, "▁" + w, x)[0] for w in langid._words(r["text"])) for x in logs]
+        if not langid._words(r["text"]):
+            assert r["language"] == ("und", 0.0)
+            continue
+        best = int(np.argmax(each))
+        assert r["language"]["lang"] == langs[best] and r["language"]["score"] == pytest.approx(1 / sum(math.exp(x - each[best]) for x in each))
+    assert langid.train(docs, queries.PIECE_VOCAB)[0] == ["de", "en"]
+
+
+def test_equal_languages_go_to_the_first(spark):
+    docs = spark.createDataFrame([(i, "same words here", lang) for i, lang in enumerate(["nl", "af"] * 2)], "doc_id long, text string, lang string")
+    found = langid.identified(docs, langid.train(docs, queries.PIECE_VOCAB), queries.PIECE_VOCAB).collect()
+    assert {tuple(r["language"]) for r in found} == {("af", 0.5)}
+
+
 def test_lm_base_score(spark, docs):
     got = queries.op9_lm_score(spark, SF).toPandas().set_index("doc_id").loc[docs.index]
     held = np.array([zlib.crc32(str(i).encode()) % 7 == 2 for i in docs.index])
