@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from steadyline.functions.numeric import chi2_ppf, d2, f_ppf, f_sf, grubbs_critical, t_ppf
+from steadyline.functions.numeric import chi2_cdf, chi2_ppf, d2, f_ppf, f_sf, grubbs_critical, t_ppf
 
 
 # -- States and combinations ---------------------------------------------------
@@ -54,6 +54,19 @@ def judged(test: DataFrame, alpha: float = 0.05) -> DataFrame:
     return test.select("*", F.lit(f_ppf(1 - alpha, a, b)).alias("critical"), F.lit(f_sf(row["f"], a, b)).alias("p"))
 
 
+def state_tests(states: DataFrame) -> DataFrame:
+    """Equal variances (Bartlett) and equal means (analysis of variance) of the states of over two values that vary: (test, statistic, df, p), two rows.
+
+    The statistics are one row each, so they come to the driver.
+    """
+    s = states.filter("n > 2 and var > 0")
+    b, a = bartlett(s).first(), anova(s).first()
+    rows = [] if b is None else [("variances", b["statistic"], float(b["df"]), 1 - chi2_cdf(b["statistic"], b["df"]))]
+    if a is not None and a["f"] is not None:
+        rows.append(("means", a["f"], float(a["df_between"]), f_sf(a["f"], a["df_between"], a["df_within"])))
+    return states.sparkSession.createDataFrame(rows, "test string, statistic double, df double, p double")
+
+
 def two_states(states: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """Two states by name: variance ratio, pooled t and Welch's t with its degrees of freedom."""
     x = states.filter(F.col(key) == a).select(F.col("n").alias("n1"), F.col("mean").alias("m1"), F.col("var").alias("v1"))
