@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadyline.functions.numeric import ALPHA, CN, binom_ppf, c4, chi2_ppf, d2, d3, poisson_ppf, upper_u, w_quantile
 
+from .lineage import cut
 from .measurements import chunked, within_chunk
 
 D2 = d2(2)
@@ -125,26 +128,31 @@ def attribute_chart(df: DataFrame, kind: str, alpha: float = ALPHA) -> DataFrame
     """p, np, c and u charts with exact binomial or Poisson limits.
 
     df: (series, pos, x, n); np and c need an n that does not vary. Limits depend
-    on the size of a sample alone: they are found once per distinct pair of
-    centre and size on the driver, and joined. The number of such pairs is that
-    of distinct sample sizes, not of samples.
+    on a series' centre and the size of a sample alone: each task finds them once
+    for every distinct pair of series and size among its own, and they are joined
+    on these two. No pair comes to the driver.
     """
     total = df.groupBy("series").agg((F.sum("x") / F.sum("n")).alias("rate"), F.avg("x").alias("mean_x"))
-    rows = df.join(total, "series")
+    # Sums of doubles depend on the order of rows, so there must be one result of them.
+    total = cut(total)
     size = F.lit(1.0) if kind == "c" else F.col("n").cast("double")
-    rows = rows.withColumns({"base": F.col("mean_x") if kind == "c" else F.col("rate"), "size": size})
-    pairs = rows.select("base", "size").distinct()
-
-    def limits(base: float, n: float) -> tuple[float, float]:
-        if kind in ("p", "np"):
-            low, high = (binom_ppf(q, int(n), base) for q in (alpha / 2, 1 - alpha / 2))
-        else:
-            low, high = (poisson_ppf(q, base * n) for q in (alpha / 2, 1 - alpha / 2))
-        return (low / n, high / n) if kind in ("p", "u") else (float(low), float(high))
-
-    table = [(r["base"], r["size"], *map(float, limits(r["base"], r["size"]))) for r in pairs.collect()]
-    known = df.sparkSession.createDataFrame(table, "base double, size double, lcl_ double, ucl_ double")
-    rows = rows.join(known, ["base", "size"])
+    base = F.col("mean_x") if kind == "c" else F.col("rate")
+    pairs = df.select("series", size.alias("size")).distinct().join(total, "series").select("series", "size", base.alias("base"))
+
+    def limits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for center, n in zip(batch["base"], batch["size"], strict=True):
+                if kind in ("p", "np"):
+                    low, high = (binom_ppf(q, int(n), center) for q in (alpha / 2, 1 - alpha / 2))
+                else:
+                    low, high = (poisson_ppf(q, center * n) for q in (alpha / 2, 1 - alpha / 2))
+                found.append((low / n, high / n) if kind in ("p", "u") else (float(low), float(high)))
+            yield batch[["series", "size"]].assign(lcl_=[x[0] for x in found], ucl_=[x[1] for x in found])
+
+    kind_of_series = df.select("series").schema["series"].dataType.simpleString()
+    known = pairs.mapInPandas(limits, f"series {kind_of_series}, size double, lcl_ double, ucl_ double")
+    rows = df.join(total, "series").withColumns({"base": base, "size": size}).join(known, ["series", "size"])
     value = F.col("x") / F.col("n") if kind in ("p", "u") else F.col("x").cast("double")
     center = F.col("rate") * F.col("n") if kind == "np" else F.col("base")
     return rows.select("series", "pos", *point(value, center, F.col("lcl_"), F.col("ucl_")))

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def shared_folder(df: DataFrame) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Only in local mode, where all are one machine, may it be unset."""
     context = df.sparkSession.sparkContext
     found = context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not found and context.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="steadyline-"))
     return context.getCheckpointDir()

@@ -339,7 +339,10 @@ def mewma_chart(spark, sf_dir):
     return rounded(S.mewma(rows, mean, cov))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_V}, z AS (SELECT i, pos, x * f AS sx, y * f AS sy, sqrt(x * x + y * y) * f AS q FROM (SELECT *, CASE WHEN x * x + y * y > 0.25 THEN 1 - 0.5 / sqrt(x * x + y * y) ELSE 0 END AS f FROM w WHERE i = 1)
+  UNION ALL SELECT i, pos, vx * f, vy * f, sqrt(vx * vx + vy * vy) * f FROM (SELECT *, CASE WHEN vx * vx + vy * vy > 0.25 THEN 1 - 0.5 / sqrt(vx * vx + vy * vy) ELSE 0 END AS f
+    FROM (SELECT w.i, w.pos, w.x + CASE WHEN q > 5.5 THEN 0 ELSE sx END AS vx, w.y + CASE WHEN q > 5.5 THEN 0 ELSE sy END AS vy FROM z JOIN w ON w.i = z.i + 1)))
+SELECT 'all' AS series, pos, {r("q", "statistic")}, q > 5.5 AS signal FROM z""")
 def mcusum_chart(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
     _, mean, cov = S.vector_moments(rows, 2)

@@ -24,9 +24,16 @@ def time_model_evidence(spark, sf_dir):
     return rounded(V.time_model_evidence(groups(spark, sf_dir), measurements(spark, sf_dir), 5))
 
 
-@query()
+@query(f"""WITH s AS (SELECT event_type AS series, count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY 1 HAVING count(*) >= 20),
+g AS (SELECT s.series, max(n) AS n, avg(((value - m) / sqrt(v)) ^ 3) AS g1, avg(((value - m) / sqrt(v)) ^ 4) AS b2 FROM events JOIN s ON s.series = event_type GROUP BY 1),
+a AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2,
+  (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ^ 2 * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS root FROM g),
+b AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2) AS z1, 6 + 8 / root * (2 / root + sqrt(1 + 4 / root ^ 2)) AS a FROM a),
+c AS (SELECT *, (1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))) AS ratio FROM b), d AS (SELECT series, z1, (1 - 2 / (9 * a) - sign(ratio) * abs(ratio) ^ (1.0 / 3)) / sqrt(2 / (9 * a)) AS z2 FROM c)
+SELECT series, {r("z1", "z_skewness", 5)}, {r("z2", "z_kurtosis", 5)}, {r("z1 * z1 + z2 * z2", "k2", 3)}, {r("exp(-(z1 * z1 + z2 * z2) / 2)", "p")} FROM d""")
 def normality_test(spark, sf_dir):
-    return rounded(V.normality(measurements(spark, sf_dir)))
+    out = V.normality(measurements(spark, sf_dir))
+    return out.select("series", *((F.round(c, k) + 0.0).alias(c) for c, k in (("z_skewness", 5), ("z_kurtosis", 5), ("k2", 3), ("p", 6))))
 
 
 @query(f"""WITH s AS (SELECT event_type AS series, count(*) AS n, avg(value) - 49 AS b, stddev_samp(value) / sqrt(count(*)) AS se FROM events GROUP BY 1)

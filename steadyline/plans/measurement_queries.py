@@ -9,6 +9,7 @@ from steadyline.operators import estimators as E
 from steadyline.operators import measurements as X
 
 from .inputs import LOG, G, M, groups, mark_log, measurements, query, r, rounded, table
+from .tail_sql import f_tail, solved
 
 LSL, USL = 5.0, 150.0
 
@@ -81,7 +82,10 @@ def outliers_tukey(spark, sf_dir):
     return rounded(X.suspects_tukey(measurements(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {M}, s AS (SELECT series, avg(value) AS mean, stddev_samp(value) AS sd, count(*) AS n FROM m GROUP BY 1 HAVING count(*) > 2 AND stddev_samp(value) > 0),
+g AS (SELECT m.series, pos, value, abs(value - mean) / sd AS g, n FROM m JOIN s USING (series) QUALIFY row_number() OVER (PARTITION BY m.series ORDER BY abs(value - mean) / sd DESC, pos) = 1),
+c AS (SELECT DISTINCT n, 0.05 / n AS target FROM g), {solved("c", "n", f_tail("(x * x)", "1", "(n - 2)"), 0.5, 40.0, 50)},
+k AS (SELECT g.*, (g.n - 1) / sqrt(g.n) * sqrt(x * x / (g.n - 2 + x * x)) AS critical FROM g JOIN solved USING (n)) SELECT series, pos, {r("value")}, {r("g")}, {r("critical")} FROM k WHERE g > critical""")
 def outliers_grubbs(spark, sf_dir):
     return rounded(X.suspects_grubbs(measurements(spark, sf_dir)))
 

@@ -8,6 +8,7 @@ from steadyline.functions.numeric import d2
 from steadyline.operators import studies as T
 
 from .inputs import query, r, rounded, table
+from .tail_sql import f_tail, solved
 
 _STATES = "s AS (SELECT l_returnflag || l_linestatus AS state, count(*) AS n, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sd, var_samp(l_quantity) AS var FROM lineitem GROUP BY 1)"
 
@@ -41,9 +42,11 @@ def one_way_anova(spark, sf_dir):
     return out.select(*(F.round(c, 4 if c != "eta2" else 6).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ANOVA}, c AS (SELECT dfb, dfw, 0.05 AS target FROM t), {solved("c", "dfb, dfw", f_tail("x", "dfb", "dfw"), 1e-6, 60.0, 50)}, f AS (SELECT *, (b / dfb) / (w / dfw) AS f FROM t)
+SELECT {r('b', 'ss_between', 4)}, {r('w', 'ss_within', 4)}, f.dfb AS df_between, f.dfw AS df_within, {r('f', 'f', 4)}, {r('b / (b + w)', 'eta2', 5)}, {r('x', 'critical', 5)}, {r(f_tail("f", "f.dfb", "f.dfw"), 'p', 5)} FROM f, solved""")
 def equal_means_test(spark, sf_dir):
-    return rounded(T.judged(T.anova(_states(spark, sf_dir))), 5)
+    out = T.judged(T.anova(_states(spark, sf_dir)))
+    return rounded(out.withColumns({c: F.round(c, 4) for c in ("ss_between", "ss_within", "f")}), 5)
 
 
 @query(f"""WITH {_STATES}, p AS (SELECT a.n AS n1, b.n AS n2, a.mean AS m1, b.mean AS m2, a.var AS v1, b.var AS v2 FROM s a, s b WHERE a.state = 'AF' AND b.state = 'NO')
@@ -53,7 +56,10 @@ def two_state_tests(spark, sf_dir):
     return rounded(T.two_states(_states(spark, sf_dir), "AF", "NO", "state"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_STATES}, d AS (SELECT s.state, max(abs(l_quantity - mean) / sd) AS g, max(n) AS n FROM lineitem JOIN s ON s.state = l_returnflag || l_linestatus WHERE n > 2 AND sd > 0 GROUP BY 1),
+c AS (SELECT DISTINCT n, 0.05 / n AS target FROM d), {solved("c", "n", f_tail("(x * x)", "1", "(n - 2)"), 0.5, 40.0, 50)},
+k AS (SELECT d.state, g, d.n, (d.n - 1) / sqrt(d.n) * sqrt(x * x / (d.n - 2 + x * x)) AS critical FROM d JOIN solved USING (n))
+SELECT state, {r("g")}, n, {r("critical")}, g > critical AS outlier FROM k""")
 def state_outliers(spark, sf_dir):
     return rounded(T.state_extremes(_lines(spark, sf_dir), "state"))
 
@@ -99,9 +105,15 @@ def nested_anova(spark, sf_dir):
     return rounded(T.nested_anova(_nested_rows(spark, sf_dir), "region", "nation").select("level", "ss", "df"), 2)
 
 
-@query()
+@query(f"""WITH m AS (SELECT n_regionkey AS region, n_nationkey AS nation, c_acctbal::DOUBLE AS v FROM customer JOIN nation ON c_nationkey = n_nationkey),
+f AS (SELECT region, nation, count(*)::DOUBLE AS n, sum(v) AS s, sum(v * v) AS q FROM m GROUP BY ALL), g AS (SELECT region, sum(n) AS n, sum(s) AS s, sum(n * n) AS w FROM f GROUP BY 1),
+t AS (SELECT sum(s) ^ 2 / sum(n) AS t0, sum(n) AS n, sum(n * n) / sum(n) AS q01, (SELECT sum(w) FROM g) / sum(n) AS q02 FROM g), u AS (SELECT sum(s * s / n) AS t1, count(*) AS a, sum(w / n) AS q12 FROM g), x AS (SELECT sum(s * s / n) AS t2, count(*) AS b, sum(q) AS q FROM f),
+y AS (SELECT t1 - t0 AS s1, t2 - t1 AS s2, q - t2 AS s3, a - 1 AS d1, b - a AS d2, n - b AS d3, (n - q01) / (a - 1) AS k11, (q12 - q02) / (a - 1) AS k12, (n - q12) / (b - a) AS k22 FROM t, u, x),
+z AS (SELECT *, s3 / d3 AS v3, greatest(0, (s2 / d2 - s3 / d3) / k22) AS v2 FROM y), w AS (SELECT *, greatest(0, (s1 / d1 - v3 - k12 * v2) / k11) AS v1 FROM z)
+SELECT 'region' AS level, {r("s1", "ss", 2)}, CAST(d1 AS BIGINT) AS df, {r("s1 / d1", "ms", 2)}, {r("v1", "variance", 2)} FROM w UNION ALL SELECT 'nation', {r("s2", "ss", 2)}, CAST(d2 AS BIGINT), {r("s2 / d2", "ms", 2)}, {r("v2", "variance", 2)} FROM w
+UNION ALL SELECT 'error', {r("s3", "ss", 2)}, CAST(d3 AS BIGINT), {r("s3 / d3", "ms", 2)}, {r("v3", "variance", 2)} FROM w""")
 def nested_variance_components(spark, sf_dir):
-    return rounded(T.nested_anova(_nested_rows(spark, sf_dir), "region", "nation"), 4)
+    return rounded(T.nested_anova(_nested_rows(spark, sf_dir), "region", "nation"), 2)
 
 
 # -- Measurement systems -------------------------------------------------------
@@ -225,9 +237,28 @@ def simple_regression(spark, sf_dir):
     return rounded(T.regression(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"]).select("term", "estimate", "se"), 4)
 
 
-@query()
+_FACTORS = ("l_quantity", "l_discount", "l_tax")
+
+
+def _covered(i: int, j: int) -> str:
+    """SQL of an element of the inverse of the 3 x 3 matrix of centred products s11 ... s33, times its determinant."""
+    a, b = [k for k in range(3) if k != j], [k for k in range(3) if k != i]
+    at = lambda x, y: f"s{min(x, y)}{max(x, y)}"
+    return f"({'-' if (i + j) % 2 else ''}({at(a[0], b[0])} * {at(a[1], b[1])} - {at(a[0], b[1])} * {at(a[1], b[0])}))"
+
+
+_NORMAL = f"""x AS (SELECT l_extendedprice::DOUBLE AS y, {", ".join(f"{c}::DOUBLE AS x{i}" for i, c in enumerate(_FACTORS))} FROM lineitem),
+a AS (SELECT count(*)::DOUBLE AS n, avg(y) AS my, var_pop(y) * count(*) AS syy, {", ".join(f"avg(x{i}) AS m{i}, covar_pop(y, x{i}) * count(*) AS y{i}" for i in range(3))}, {", ".join(f"covar_pop(x{i}, x{j}) * count(*) AS s{i}{j}" for i in range(3) for j in range(i, 3))} FROM x),
+d AS (SELECT *, s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02) AS det FROM a),
+i AS (SELECT *, {", ".join(f"{_covered(i, j)} / det AS i{i}{j}" for i in range(3) for j in range(3))} FROM d), b AS (SELECT *, {", ".join(f"{' + '.join(f'i{i}{j} * y{j}' for j in range(3))} AS b{i}" for i in range(3))} FROM i),
+e AS (SELECT *, (syy - {" - ".join(f"b{i} * y{i}" for i in range(3))}) / (n - 4) AS s2, my - {" - ".join(f"b{i} * m{i}" for i in range(3))} AS b, 1 / n + {" + ".join(f"m{i} * m{j} * i{i}{j}" for i in range(3) for j in range(3))} AS i FROM b),
+c AS (SELECT n, 0.05 AS target FROM a), t AS (SELECT 'constant' AS term, b AS estimate, sqrt(s2 * i) AS se, n, NULL AS vif FROM e {" ".join(f"UNION ALL SELECT '{c}', b{i}, sqrt(s2 * i{i}{i}), n, i{i}{i} * s{i}{i} FROM e" for i, c in enumerate(_FACTORS))})"""
+
+
+@query(f"""WITH RECURSIVE {_NORMAL}, {solved("c", "n", f_tail("(x * x)", "1", "(n - 4)"), 0.5, 20.0, 50)}
+SELECT term, {r("estimate", "estimate", 3)}, {r("se", "se", 3)}, {r("estimate / se", "t", 3)}, {r("estimate - x * se", "low", 3)}, {r("estimate + x * se", "high", 3)}, {r("vif", "vif", 3)} FROM t, solved""")
 def multiple_regression(spark, sf_dir):
-    return rounded(T.regression(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]), 4)
+    return rounded(T.regression(table(spark, sf_dir, "lineitem"), "l_extendedprice", list(_FACTORS)), 3)
 
 
 def _design(spark, sf_dir):
