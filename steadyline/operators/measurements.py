@@ -85,20 +85,27 @@ def restarts(log: DataFrame) -> DataFrame:
 def with_segments(df: DataFrame, starts: DataFrame) -> DataFrame:
     """`df` with `segment` and `phase`: how many restarts, and new phases, lie at or before the row.
 
-    starts: (series, pos, new_phase), as `restarts` gives. Restarts are few; their
-    ranges are built first and rows meet them by an equi-join on the chunk.
+    starts: (series, pos, new_phase), as `restarts` gives; one need not have a row
+    of its own. Rows and starts are counted through together, chunk by chunk.
     """
-    after = Window.partitionBy("series").orderBy("pos")
-    numbered = starts.filter("pos > 0").select(
-        "series", F.col("pos").alias("from_pos"), F.row_number().over(after).alias("segment"), F.sum(F.col("new_phase").cast("int")).over(after).alias("phase"), F.lead("pos").over(after).alias("to_pos")
-    )
-    if_none = df.groupBy("series").agg(F.max("pos").alias("last_pos"))
-    spans = numbered.join(if_none, "series").select("series", "from_pos", F.coalesce(F.col("to_pos") - 1, F.col("last_pos")).alias("to_pos"), "segment", "phase")
-    spans = spans.filter("from_pos <= to_pos").withColumn("chunk", F.explode(F.expr(f"sequence(floor(from_pos / {CHUNK}), floor(to_pos / {CHUNK}))")))
-    rows = df.withColumn("chunk", F.floor(F.col("pos") / CHUNK)).alias("r")
-    on = (F.col("r.series") == F.col("s.series")) & (F.col("r.chunk") == F.col("s.chunk")) & F.col("r.pos").between(F.col("s.from_pos"), F.col("s.to_pos"))
-    joined = rows.join(spans.alias("s"), on, "left")
-    return joined.select(*(f"r.{c}" for c in df.columns), F.coalesce("s.segment", F.lit(0)).alias("segment"), F.coalesce("s.phase", F.lit(0)).alias("phase"))
+    marks = starts.filter("pos > 0").select("series", "pos", F.lit(1).alias("segment"), F.col("new_phase").cast("int").alias("phase"), F.lit(0).alias("kind"))
+    both = df.withColumns({"segment": F.lit(0), "phase": F.lit(0), "kind": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    return counted(both, "segment", "phase").filter("kind = 1").select(*df.columns, F.col("segment").cast("int").alias("segment"), F.col("phase").cast("int").alias("phase"))
+
+
+def counted(events: DataFrame, *numbers: str) -> DataFrame:
+    """`events` (series, pos, kind, ...) with each of `numbers` summed up to and with the row, in order of pos and kind.
+
+    Sums run within chunks; the chunks before count by their totals, of which
+    there is one row each. No task holds a series.
+    """
+    rows = events.withColumn("chunk", F.floor(F.col("pos") / CHUNK))
+    before = Window.partitionBy("series").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("series", "chunk").agg(*(F.sum(c).alias(c) for c in numbers))
+    carried = totals.select("series", "chunk", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in numbers))
+    upto = Window.partitionBy("series", "chunk").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumns({c: F.sum(c).over(upto) for c in numbers}).join(carried, ["series", "chunk"])
+    return summed.withColumns({c: F.col(c) + F.col(f"{c}_before") for c in numbers}).drop("chunk", *(f"{c}_before" for c in numbers))
 
 
 def summary(df: DataFrame, log: DataFrame) -> DataFrame:

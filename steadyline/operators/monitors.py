@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from steadyline.functions.numeric import ALPHA, NORMAL, d2, upper_u
 
 from .charts import point
-from .measurements import CHUNK, moving
+from .measurements import CHUNK, counted, moving
 
 
 def fixed_chart(points: DataFrame, limits: DataFrame) -> DataFrame:
@@ -155,12 +155,14 @@ def recovered(incidents: DataFrame, events: DataFrame, points: DataFrame) -> Dat
 def lot_evidence(lots: DataFrame, points: DataFrame) -> DataFrame:
     """lots: (series, lot, seq_from, seq_to); points: (series, pos, alarm). Points and alarms of each lot.
 
-    A range join on chunks of positions: a lot meets only the points of the chunks it touches.
+    Lots may overlap, and one without a point is there too.
     """
-    spans = lots.withColumn("chunk", F.explode(F.expr(f"sequence(floor(seq_from / {CHUNK}), floor(seq_to / {CHUNK}))")))
-    rows = points.withColumn("chunk", F.floor(F.col("pos") / CHUNK))
-    joined = spans.join(rows, ["series", "chunk"]).filter("pos between seq_from and seq_to")
-    found = joined.groupBy("series", "lot").agg(F.count("*").alias("points"), F.count_if("alarm").alias("alarms"))
+    # Points and alarms are counted up to each lot's ends, so a lot costs two rows, however long it is.
+    ends = lots.select("series", "lot", F.explode(F.array(F.struct((F.col("seq_from") - 1).alias("pos"), F.lit(-1).alias("side")), F.struct(F.col("seq_to").alias("pos"), F.lit(1).alias("side")))).alias("end")).select("series", "lot", "end.pos", "end.side")
+    events = points.select("series", "pos", F.lit(1).alias("points"), F.col("alarm").cast("int").alias("alarms"), F.lit(0).alias("kind"))
+    events = events.unionByName(ends.withColumns({"points": F.lit(0), "alarms": F.lit(0), "kind": F.lit(1)}), allowMissingColumns=True)
+    sums = counted(events, "points", "alarms").filter("kind = 1")
+    found = sums.groupBy("series", "lot").agg(F.sum(F.col("points") * F.col("side")).alias("points"), F.sum(F.col("alarms") * F.col("side")).alias("alarms"))
     out = lots.join(found, ["series", "lot"], "left").na.fill(0, ["points", "alarms"])
     return out.select("series", "lot", "points", "alarms", F.when(F.col("points") == 0, "no_points").when(F.col("alarms") > 0, "blocked").otherwise("free").alias("state"))
 

@@ -143,10 +143,10 @@ def audit_trail(spark, sf_dir):
 # -- Streams -------------------------------------------------------------------------
 
 
-def _event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return events.select(F.col("event_type").alias("series"), F.col("event_id").alias("pos"), "value")
+def _arriving(spark, sf_dir, monitor):
+    """The rows of a monitor over all events, which arrive in three batches."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.col("event_id").alias("pos"), "value")
+    return V.in_slices(events, "pos", 3, monitor, f"{shared_folder(spark.range(0))}/stream-{uuid.uuid4().hex}")
 
 
 @query(f"""WITH RECURSIVE {M}, x AS (SELECT series, pos, event_id, (value - 50.0) / 50.0 AS z FROM m), c AS (SELECT series, pos, event_id, greatest(0, z - 0.5) AS h, least(0, z + 0.5) AS l FROM x WHERE pos = 0
@@ -154,18 +154,15 @@ def _event_stream(spark, sf_dir):
   FROM c JOIN x ON x.series = c.series AND x.pos = c.pos + 1)
 SELECT series, event_id AS pos, {r("h", "high")}, {r("l", "low")}, CASE WHEN h > 4.774897046326059 THEN 'shift_up' WHEN -l > 4.774897046326059 THEN 'shift_down' END AS signal FROM c""")
 def cusum_monitor_stream(spark, sf_dir):
-    samples = _event_stream(spark, sf_dir).withColumns({"mu": F.lit(50.0), "sigma": F.lit(50.0)})
-    folder = shared_folder(spark.range(0))
-    return rounded(V.drained(V.cusum_stream(samples), f"{folder}/stream-{uuid.uuid4().hex}"))
+    return rounded(_arriving(spark, sf_dir, lambda x: V.cusum_stream(x.withColumns({"mu": F.lit(50.0), "sigma": F.lit(50.0)}))))
 
 
 @query(f"""WITH {M}, z AS (SELECT series, pos, event_id, value AS v, sign(value - 50) AS side, sign(value - lag(value) OVER (PARTITION BY series ORDER BY pos)) AS step FROM m),
 f AS (SELECT series, event_id AS pos, v > 200 OR v < 0 AS beyond_limits, abs(sum(side) OVER (PARTITION BY series ORDER BY pos ROWS 6 PRECEDING)) = 7 AS run, abs(sum(step) OVER (PARTITION BY series ORDER BY pos ROWS 5 PRECEDING)) = 6 AS trend FROM z)
 SELECT series, pos, rule FROM (UNPIVOT f ON beyond_limits, run, trend INTO NAME rule VALUE hit) WHERE hit""")
 def limits_monitor_stream(spark, sf_dir):
-    samples = _event_stream(spark, sf_dir).withColumns({"revision": F.lit(1).cast("long"), "center": F.lit(50.0), "lcl": F.lit(0.0), "ucl": F.lit(200.0)})
-    folder = shared_folder(spark.range(0))
-    return V.drained(V.limits_stream(samples), f"{folder}/stream-{uuid.uuid4().hex}")
+    limits = {"revision": F.lit(1).cast("long"), "center": F.lit(50.0), "lcl": F.lit(0.0), "ucl": F.lit(200.0)}
+    return _arriving(spark, sf_dir, lambda x: V.limits_stream(x.withColumns(limits)))
 
 
 # -- Health check and fits --------------------------------------------------------------

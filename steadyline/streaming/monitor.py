@@ -9,12 +9,13 @@ function that the batch twin folds, so both give the same signals.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Latest points that the criteria of a monitor look at.
@@ -57,10 +58,10 @@ class CusumMonitor(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("pos")  # a monitor's samples of one micro-batch
         state = self.sums.get() if self.sums.exists() else (0.0, 0.0)
         out = []
-        for row in batch.itertuples(index=False):
-            high, low, signal = cusum_step(state, (row.value - row.mu) / row.sigma, self.k, self.h)
+        for pos, z in zip(batch["pos"].tolist(), ((batch["value"] - batch["mu"]) / batch["sigma"]).tolist(), strict=True):
+            high, low, signal = cusum_step(state, z, self.k, self.h)
             state = (0.0, 0.0) if signal else (high, low)
-            out.append((key[0], row.pos, high, low, signal))
+            out.append((key[0], pos, high, low, signal))
         self.sums.update(state)
         yield pd.DataFrame(out, columns=["series", "pos", "high", "low", "signal"])
 
@@ -78,11 +79,11 @@ class LimitsMonitor(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("pos")
         revision, points = self.points.get() if self.points.exists() else (None, [])
         points, out = list(points), []
-        for row in batch.itertuples(index=False):
-            if row.revision != revision:
-                revision, points = row.revision, []
-            points = [*points, row.value][-CONTEXT:]
-            out += [(key[0], row.pos, rule) for rule in completed(points, row.center, row.lcl, row.ucl)]
+        for pos, value, now, center, lcl, ucl in zip(*(batch[c].tolist() for c in ("pos", "value", "revision", "center", "lcl", "ucl")), strict=True):
+            if now != revision:
+                revision, points = now, []
+            points = [*points, value][-CONTEXT:]
+            out += [(key[0], pos, rule) for rule in completed(points, center, lcl, ucl)]
         self.points.update((int(revision), [float(p) for p in points]))
         yield pd.DataFrame(out, columns=["series", "pos", "rule"])
 
@@ -114,3 +115,20 @@ def drained(stream: DataFrame, folder: str) -> DataFrame:
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def in_slices(df: DataFrame, order: str, slices: int, monitor: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """What `monitor`, a stream of samples to a stream of rows, gives for `df` arriving in slices of rising `order`.
+
+    Each slice is a micro-batch of its own; the query ends after it and starts
+    again from its checkpoint, so state crosses batches and restarts. A monitor's
+    samples of one batch are held in memory at once: slices bound them.
+    """
+    spark = df.sparkSession
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    result = None
+    for k in range(slices):
+        first, last = (low + (high + 1 - low) * i // slices for i in (k, k + 1)) if low is not None else (0, 0)
+        df.filter((F.col(order) >= first) & (F.col(order) < last)).write.mode("append").parquet(f"{folder}/samples")
+        result = drained(monitor(spark.readStream.schema(df.schema).parquet(f"{folder}/samples")), folder)
+    return result
