@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from steadyline.functions.numeric import ALPHA, binom_ppf, chi2_ppf, upper_u
 
+from .counts import by_count
 from . import charts
 from .estimators import capability, index_intervals, verdict
 from .measurements import whole_subgroups, with_position
@@ -99,8 +100,7 @@ def analyse(df: DataFrame, n: int, lsl: float, usl: float, rules: RuleSet = Rule
 
     found = alarmed("location", rules).join(alarmed("variation", plain), "series")
     checked = F.col("location_points") + F.col("variation_points")
-    sizes = [r[0] for r in found.select(checked).distinct().collect()]  # distinct numbers of points
-    threshold = F.create_map(*(x for k in sizes for x in (F.lit(k), F.lit(alarm_threshold(k, alpha, len(enabled))))))[checked] if sizes else F.lit(None).cast("int")
+    threshold = by_count(checked, lambda k: alarm_threshold(k, alpha, len(enabled))).cast("int")
     found = found.withColumn("threshold", threshold).withColumn("stable", F.col("location_alarms") + F.col("variation_alarms") <= F.col("threshold"))
 
     whole = groups.select("series", F.col("label").alias("own_label"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from steadyline.functions.numeric import ALPHA, NORMAL, c4, chi2_ppf, d2, upper_u
 
+from .counts import by_count
+
 
 def location(groups: DataFrame) -> DataFrame:
     """groups: whole subgroups. l3: mean of means; l4: mean of medians."""
@@ -96,14 +98,12 @@ def out_of_spec(df: DataFrame, lsl: float | None, usl: float | None) -> DataFram
 def index_intervals(indices: DataFrame, confidence: float = 0.95) -> DataFrame:
     """indices: (series, n, p, pk). Confidence limits of both.
 
-    The limits of p need a quantile per distinct n; there are as many as series lengths.
+    The limits of p need a quantile for each n; tasks find them.
     """
-    sizes = [r["n"] for r in indices.select("n").distinct().collect()]
-    low, high = ({n: math.sqrt(chi2_ppf(q, n - 1) / (n - 1)) for n in sizes if n > 1} for q in ((1 - confidence) / 2, (1 + confidence) / 2))
-    table = lambda m: F.create_map(*(x for n, v in m.items() for x in (F.lit(n), F.lit(v))))[F.col("n")] if m else F.lit(None).cast("double")
+    low, high = (by_count(F.col("n"), lambda n, q=q: math.sqrt(chi2_ppf(q, n - 1) / (n - 1)) if n > 1 else None) for q in ((1 - confidence) / 2, (1 + confidence) / 2))
     u = NORMAL.inv_cdf((1 + confidence) / 2)
     half = u * F.sqrt(1 / (9 * F.col("n")) + F.pow("pk", F.lit(2)) / (2 * (F.col("n") - 1)))
-    return indices.select("series", "n", "p", (F.col("p") * table(low)).alias("p_low"), (F.col("p") * table(high)).alias("p_high"), "pk", (F.col("pk") - half).alias("pk_low"), (F.col("pk") + half).alias("pk_high"))
+    return indices.select("series", "n", "p", (F.col("p") * low).alias("p_low"), (F.col("p") * high).alias("p_high"), "pk", (F.col("pk") - half).alias("pk_low"), (F.col("pk") + half).alias("pk_high"))
 
 
 def spread(sigma: float, alpha: float = ALPHA) -> float:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from steadyline.functions.numeric import t_ppf
 
+from .counts import by_count
 from .sequential import quadratic, vector_moments
 
 
@@ -70,8 +71,7 @@ def normality(df: DataFrame) -> DataFrame:
 def bias_study(df: DataFrame, reference: float, alpha: float = 0.05) -> DataFrame:
     """Readings of one reference: bias, its standard error, t and confidence limits. A t quantile per distinct count of readings."""
     s = df.groupBy("series").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("s")).filter("n > 1")
-    sizes = [r["n"] for r in s.select("n").distinct().collect()]
-    table = F.create_map(*(x for n in sizes for x in (F.lit(n), F.lit(t_ppf(1 - alpha / 2, n - 1)))))[F.col("n")] if sizes else F.lit(None).cast("double")
+    table = by_count(F.col("n"), lambda n: t_ppf(1 - alpha / 2, n - 1))
     bias, se = F.col("mean") - reference, F.col("s") / F.sqrt("n")
     out = s.select("series", "n", bias.alias("bias"), se.alias("se"), (bias / se).alias("t"), table.alias("t_critical"))
     half = F.col("t_critical") * F.col("se")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from steadyline.functions.numeric import ALPHA, f_ppf, upper_u
 
+from .counts import by_count
 from .estimators import best_split
 from .measurements import longest_run, resolution
 
@@ -26,9 +27,7 @@ def facts(df: DataFrame, groups: DataFrame, n: int, limits: DataFrame) -> DataFr
     # F of the analysis of variance is the ratio squared. After the split's levels are taken out, their sum of squares leaves the means'.
     rest = F.greatest(F.lit(0.0), F.col("var_means") * (F.col("k") - 1) - F.col("score")) / (F.col("k") - 1)
     rows = rows.withColumn("ratio_split", F.sqrt(rest) * n**0.5 / F.col("sigma_in"))
-    counts = [r["k"] for r in inner.select("k").distinct().collect()]  # distinct numbers of subgroups
-    critical = F.create_map(*(x for k in counts if k > 1 for x in (F.lit(k), F.lit(f_ppf(0.999, k - 1, k * (n - 1)))))) if any(k > 1 for k in counts) else None
-    return rows.withColumn("f_critical", critical[F.col("k")] if critical is not None else F.lit(None).cast("double"))
+    return rows.withColumn("f_critical", by_count(F.col("k"), lambda k: f_ppf(0.999, k - 1, k * (n - 1)) if k > 1 else None))
 
 
 def findings(rows: DataFrame, min_subgroups: int = 20) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from steadyline.functions.numeric import grubbs_critical
 
+from .counts import by_count
 from .lineage import cut
 
 #: Rows of a series that one window holds.
@@ -186,11 +187,7 @@ def suspects_grubbs(df: DataFrame, alpha: float = 0.05) -> DataFrame:
     stats = df.groupBy("series").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n"))
     far = df.join(stats.filter("sd > 0 and n > 2"), "series").withColumn("g", F.abs(F.col("value") - F.col("mean")) / F.col("sd"))
     top = far.groupBy("series").agg(F.max_by(F.struct("pos", "value"), F.struct("g", -F.col("pos"))).alias("top"), F.max("g").alias("g"), F.first("n").alias("n"))
-    sizes = sorted({r["n"] for r in stats.filter("n > 2").select("n").distinct().collect()})  # one number per distinct series length
-    if not sizes:
-        return top.filter("false").select("series", "top.pos", "top.value", "g", F.lit(0.0).alias("critical"))
-    critical = F.create_map(*(x for n in sizes for x in (F.lit(n), F.lit(grubbs_critical(n, alpha)))))
-    return top.withColumn("critical", critical[F.col("n")]).filter("g > critical").select("series", "top.pos", "top.value", "g", "critical")
+    return top.withColumn("critical", by_count(F.col("n"), lambda n: grubbs_critical(n, alpha))).filter("g > critical").select("series", "top.pos", "top.value", "g", "critical")
 
 
 def longest_run(df: DataFrame) -> DataFrame:

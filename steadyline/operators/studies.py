@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from steadyline.functions.numeric import chi2_cdf, chi2_ppf, d2, f_ppf, f_sf, grubbs_critical, t_ppf
 
+from .counts import by_count
+
 
 # -- States and combinations ---------------------------------------------------
 
@@ -84,9 +86,7 @@ def state_extremes(df: DataFrame, key: str, alpha: float = 0.05) -> DataFrame:
     """The most extreme value of each state with Grubbs' statistic and critical value."""
     s = state_stats(df, key).filter("n > 2 and sd > 0")
     g = df.join(s.select(key, "mean", "sd", "n"), key).groupBy(key).agg(F.max(F.abs(F.col("value") - F.col("mean")) / F.col("sd")).alias("g"), F.first("n").alias("n"))
-    sizes = [r["n"] for r in s.select("n").distinct().collect()]  # distinct state sizes
-    table = F.create_map(*(x for n in sizes for x in (F.lit(n), F.lit(grubbs_critical(n, alpha))))) if sizes else F.lit(None)
-    return g.withColumn("critical", table[F.col("n")] if sizes else F.lit(None).cast("double")).withColumn("outlier", F.col("g") > F.col("critical"))
+    return g.withColumn("critical", by_count(F.col("n"), lambda n: grubbs_critical(n, alpha))).withColumn("outlier", F.col("g") > F.col("critical"))
 
 
 def pooled_capability(states: DataFrame, lsl: float, usl: float) -> DataFrame:

@@ -15,6 +15,7 @@ from steadyline.operators import rules as R
 from steadyline.operators import sequential as S
 
 from .inputs import LOG, D, G, M, daily_errors, groups, mark_log, measurements, query, r, rounded, table
+from .tail_sql import f_tail, solved
 
 U = upper_u(ALPHA)
 
@@ -261,13 +262,14 @@ def ewma_chart(spark, sf_dir):
     return rounded(S.ewma(_standard(spark, sf_dir), "mu", "sd"))
 
 
-@query(f"""WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
+@query(f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
 e AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS vab FROM v),
-t AS (SELECT vec_id, (vb * (a - ma) ^ 2 - 2 * vab * (a - ma) * (b - mb) + va * (b - mb) ^ 2) / (va * vb - vab ^ 2) AS t2, (b - mb) ^ 2 / vb AS wa, (a - ma) ^ 2 / va AS wb FROM v, e)
-SELECT vec_id, {r("t2")}, {r("t2 - wa", "d1")}, {r("t2 - wb", "d2")} FROM t""")
+t AS (SELECT vec_id, (vb * (a - ma) ^ 2 - 2 * vab * (a - ma) * (b - mb) + va * (b - mb) ^ 2) / (va * vb - vab ^ 2) AS t2, (b - mb) ^ 2 / vb AS wa, (a - ma) ^ 2 / va AS wb FROM v, e),
+q AS (SELECT n, {ALPHA!r} AS target FROM e), {solved("q", "n", f_tail("x", "2", "(n - 2)"), 1e-6, 60.0, 60)}
+SELECT vec_id, {r("t2")}, {r("t2 - wa", "d1")}, {r("t2 - wb", "d2")}, t2 > 2.0 * (n + 1) * (n - 1) / (n * (n - 2)) * x AS alarm FROM t, solved""")
 def hotelling_t2(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    return rounded(S.t2_chart(rows, 2).select("vec_id", "t2", "d1", "d2"))
+    return rounded(S.t2_chart(rows, 2).drop("vec"))
 
 
 _L = f"{M}, d AS (SELECT series, pos, value - avg(value) OVER (PARTITION BY series) AS d FROM m)"

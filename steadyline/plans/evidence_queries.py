@@ -11,6 +11,8 @@ from steadyline.operators import studies as T
 from steadyline.sources import text as S
 
 from .inputs import G, M, groups, measurements, query, r, rounded, table
+from .monitor_queries import FOUND, SHOWN, health_findings
+from .tail_sql import f_tail, solved
 
 _TRIGAMMA = V.trigamma(2.0)
 
@@ -36,10 +38,11 @@ def normality_test(spark, sf_dir):
     return out.select("series", *((F.round(c, k) + 0.0).alias(c) for c, k in (("z_skewness", 5), ("z_kurtosis", 5), ("k2", 3), ("p", 6))))
 
 
-@query(f"""WITH s AS (SELECT event_type AS series, count(*) AS n, avg(value) - 49 AS b, stddev_samp(value) / sqrt(count(*)) AS se FROM events GROUP BY 1)
-SELECT series, n, {r("b", "bias")}, {r("se")}, {r("b / se", "t")} FROM s""")
+@query(f"""WITH RECURSIVE s AS (SELECT event_type AS series, count(*) AS n, avg(value) - 49 AS b, stddev_samp(value) / sqrt(count(*)) AS se FROM events GROUP BY 1), c AS (SELECT DISTINCT n, 0.05 AS target FROM s),
+{solved("c", "n", f_tail("(x * x)", "1", "(n - 1)"), 0.5, 60.0, 50)}
+SELECT series, s.n, {r("b", "bias")}, {r("se")}, {r("b / se", "t")}, {r("x", "t_critical")}, {r("b - x * se", "low")}, {r("b + x * se", "high")} FROM s JOIN solved ON solved.n = s.n""")
 def bias_study(spark, sf_dir):
-    return rounded(V.bias_study(measurements(spark, sf_dir), 49.0).select("series", "n", "bias", "se", "t"))
+    return rounded(V.bias_study(measurements(spark, sf_dir), 49.0))
 
 
 @query(f"""WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, 10 + embedding[3]::DOUBLE AS s FROM embeddings)
@@ -69,10 +72,8 @@ def mean_range_sigma(spark, sf_dir):
     return rounded(Q.mean_range_sigma(groups(spark, sf_dir), 5), 4)
 
 
-@query()
+@query(f"WITH RECURSIVE {SHOWN}, found AS ({FOUND}) SELECT severity, count(*) AS findings, count(DISTINCT series) AS series FROM found GROUP BY 1")
 def health_overview(spark, sf_dir):
-    from .monitor_queries import health_findings
-
     return H.health_summary(health_findings(spark, sf_dir))
 
 

@@ -15,6 +15,7 @@ from steadyline.operators.lineage import shared_folder
 from steadyline.streaming import monitor as V
 
 from .inputs import G, M, groups, measurements, query, r, rounded, table
+from .tail_sql import f_tail, solved
 
 U = upper_u(ALPHA)
 
@@ -183,7 +184,32 @@ def health_facts(spark, sf_dir):
     return rounded(_health(spark, sf_dir).select("series", "n_values", "mean", "sd_total", "k", "sigma_in", "ratio"))
 
 
-@query()
+SHOWN = f"""{G}, lim(series, lsl, usl, lcl, ucl) AS (VALUES ('click', 0.0, 300.0, 10.0, 90.0), ('error', 0.0, 200.0, 0.0, 200.0), ('view', NULL, NULL, -100.0, 250.0), ('purchase', 0.0, 120.0, NULL, NULL), ('signup', 0.0, 500.0, NULL, 110.0)),
+o AS (SELECT series, avg(value) AS mean, stddev_samp(value) AS sd FROM m GROUP BY 1),
+inr AS (SELECT g.series, count(*) AS k, avg(mean) AS centre, sqrt(avg(var)) AS sigma, var_samp(mean) AS vm, count(*) FILTER (WHERE mean < lcl OR mean > ucl) AS used FROM g LEFT JOIN lim USING (series) GROUP BY 1),
+pre AS (SELECT series, row_number() OVER w AS i, sum(mean) OVER w AS lft, sum(mean) OVER (PARTITION BY series) AS al, count(*) OVER (PARTITION BY series) AS n FROM g WINDOW w AS (PARTITION BY series ORDER BY ord)),
+spl AS (SELECT series, max((lft / i - (al - lft) / (n - i)) ^ 2 * i * (n - i) / n) AS score FROM pre WHERE i >= 5 AND n - i >= 5 GROUP BY 1),
+isl AS (SELECT series, pos - row_number() OVER (PARTITION BY series, value ORDER BY pos) AS island, value AS v FROM m), lng AS (SELECT series, max(n) AS longest FROM (SELECT series, v, island, count(*) AS n FROM isl GROUP BY ALL) GROUP BY 1),
+fit AS (SELECT series, k FROM m, range(7) t(k) GROUP BY 1, 2 HAVING bool_and(abs(value * 10 ^ k - round(value * 10 ^ k)) <= 1e-9 * greatest(1, abs(value * 10 ^ k)))), plc AS (SELECT series, min(k) AS k FROM fit GROUP BY 1),
+stp AS (SELECT series, k, CAST(round(value * 10 ^ k) AS BIGINT) - min(CAST(round(value * 10 ^ k) AS BIGINT)) OVER (PARTITION BY series) AS step FROM m JOIN plc USING (series)),
+res AS (SELECT series, list_reduce(list(DISTINCT step) FILTER (WHERE step > 0), lambda a, b: gcd(a, b)) / 10 ^ max(k) AS resolution FROM stp GROUP BY 1),
+cnt AS (SELECT DISTINCT k, 0.001 AS target FROM inr WHERE k > 1), {solved("cnt", "k", f_tail("x", "(k - 1)", "(4 * k)"), 0.5, 60.0, 60)},
+f1 AS (SELECT inr.*, lsl, usl, lcl, ucl, mean, sd, resolution, longest, sqrt(vm * 5) / sigma AS ratio, sqrt(greatest(0, vm * (inr.k - 1) - score) / (inr.k - 1) * 5) / sigma AS rest, x AS fc, {upper_u(ALPHA)!r} * sigma / sqrt(5) AS half
+  FROM inr JOIN o USING (series) LEFT JOIN lim USING (series) LEFT JOIN spl USING (series) LEFT JOIN res USING (series) LEFT JOIN lng USING (series) LEFT JOIN solved ON solved.k = inr.k),
+f2 AS (SELECT *, resolution / sd > 1 AS coarse, k >= 20 AS enough, k >= 20 AND ratio >= 1.5 AND ratio * ratio > fc AS unsteady, rest >= 1.5 AND rest * rest > fc AS still, lcl IS NOT NULL AND ucl IS NOT NULL AS has, (ucl - lcl) / (2 * half) AS width, abs((lcl + ucl) / 2 - centre) / (half / {upper_u(ALPHA)!r}) AS off,
+  coalesce(abs(ucl - usl) <= 0.02 * (usl - lsl) AND abs(lcl - lsl) <= 0.02 * (usl - lsl), false) AS copied, used / k AS share, CASE WHEN lsl IS NULL AND usl IS NULL THEN NULL ELSE least((mean - lsl) / (3 * sd), (usl - mean) / (3 * sd)) END AS pk FROM f1),
+f3 AS (SELECT *, unsteady AND NOT still AS shift, unsteady AND still AS betw, has AND enough AND width <= 0.67 AND NOT (unsteady AND still) AS narrow FROM f2)"""
+_CHECKS = (
+    ("resolution_vs_tolerance", "'high'", "resolution / (usl - lsl) > 0.05"), ("resolution_vs_variation", "'medium'", "coarse"), ("repeated_values", "'medium'", "longest >= 8 AND NOT coalesce(coarse, false)"), ("level_shift", "'medium'", "shift"),
+    ("between_subgroups", "CASE WHEN share >= 0.05 THEN 'high' ELSE 'medium' END", "betw"), ("too_few_data", "'info'", "NOT enough"), ("limits_are_spec", "'high'", "has AND copied"),
+    ("limits_too_wide", "CASE WHEN width >= 2 THEN 'high' ELSE 'medium' END", "has AND enough AND NOT copied AND width >= 1.5"), ("limits_too_narrow", "'medium'", "narrow"), ("limits_off_centre", "'medium'", "has AND enough AND NOT copied AND off >= 1.5"),
+    ("too_many_alarms", "'high'", "has AND share >= 0.05 AND NOT unsteady AND NOT narrow"), ("limits_incomplete", "'low'", "(lcl IS NULL) <> (ucl IS NULL)"), ("no_limits_in_file", "'info'", "lcl IS NULL AND ucl IS NULL"),
+    ("index_from_unstable_process", "'medium'", "enough AND unsteady AND pk IS NOT NULL"), ("capability_poor", "'high'", "enough AND pk < 1.0"), ("capability_below_target", "'medium'", "enough AND pk >= 1.0 AND pk < 1.33"), ("no_specification", "'info'", "lsl IS NULL AND usl IS NULL"),
+)
+FOUND = " UNION ALL ".join(f"SELECT series, '{code}' AS code, {severity} AS severity, {i} AS place FROM f3 WHERE {when}" for i, (code, severity, when) in enumerate(_CHECKS))
+
+
+@query(f"WITH RECURSIVE {SHOWN} {FOUND}")
 def health_findings(spark, sf_dir):
     return H.findings(_health(spark, sf_dir))
 

@@ -230,11 +230,12 @@ def measurement_gate(spark, sf_dir):
 # -- Designed experiments ------------------------------------------------------
 
 
-@query(f"""WITH x AS (SELECT l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS x FROM lineitem), a AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_syy(y, x) AS syy, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, count(*) AS n, avg(x) AS xm FROM x),
-s AS (SELECT *, sqrt((syy - b * sxy) / (n - 2)) AS s FROM a)
-SELECT 'constant' AS term, {r("a", "estimate", 4)}, {r("s * sqrt(1 / n + xm * xm / sxx)", "se", 4)} FROM s UNION ALL SELECT 'l_quantity', {r("b", "estimate", 4)}, {r("s / sqrt(sxx)", "se", 4)} FROM s""")
+@query(f"""WITH RECURSIVE x AS (SELECT l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS x FROM lineitem), a AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_syy(y, x) AS syy, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, count(*)::DOUBLE AS n, avg(x) AS xm FROM x),
+s AS (SELECT *, sqrt((syy - b * sxy) / (n - 2)) AS s FROM a), c AS (SELECT n, 0.05 AS target FROM a), {solved("c", "n", f_tail("(x * x)", "1", "(n - 2)"), 0.5, 20.0, 50)},
+t AS (SELECT 'constant' AS term, a AS estimate, s * sqrt(1 / n + xm * xm / sxx) AS se, NULL::DOUBLE AS vif FROM s UNION ALL SELECT 'l_quantity', b, s / sqrt(sxx), 1::DOUBLE FROM s)
+SELECT term, {r("estimate", "estimate", 3)}, {r("se", "se", 3)}, {r("estimate / se", "t", 3)}, {r("estimate - x * se", "low", 3)}, {r("estimate + x * se", "high", 3)}, {r("vif", "vif", 3)} FROM t, solved""")
 def simple_regression(spark, sf_dir):
-    return rounded(T.regression(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"]).select("term", "estimate", "se"), 4)
+    return rounded(T.regression(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"]), 3)
 
 
 _FACTORS = ("l_quantity", "l_discount", "l_tax")
@@ -282,8 +283,7 @@ def factorial_effects(spark, sf_dir):
     return rounded(T.factorial_effects(_design(spark, sf_dir), "y", ["a", "b", "c"]), 4)
 
 
-@query(f"""WITH {_DESIGN}, e AS ({_EFFECTS}), s AS (SELECT 1.5 * median(abs(effect)) AS s0 FROM e) SELECT {r("1.5 * median(abs(effect))", "pse", 3)} FROM e, s WHERE abs(effect) < 2.5 * s0""")
+@query(f"""WITH RECURSIVE {_DESIGN}, e AS ({_EFFECTS}), s AS (SELECT 1.5 * median(abs(effect)) AS s0, count(*) / 3.0 AS df FROM e), k AS (SELECT 1.5 * median(abs(effect)) AS pse, max(df) AS df FROM e, s WHERE abs(effect) < 2.5 * s0),
+c AS (SELECT df, 0.05 AS target FROM k), {solved("c", "df", f_tail("(x * x)", "1", "df"), 0.5, 60.0, 50)} SELECT {r("pse", "pse", 2)}, {r("x * pse", "margin", 2)} FROM k, solved""")
 def lenth_error(spark, sf_dir):
-    return rounded(T.lenth(T.factorial_effects(_design(spark, sf_dir), "y", ["a", "b", "c"])).select("pse"), 3)
-
-
+    return rounded(T.lenth(T.factorial_effects(_design(spark, sf_dir), "y", ["a", "b", "c"])), 2)
