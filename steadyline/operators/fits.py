@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from steadyline.functions.numeric import solve
+from steadyline.functions.numeric import ALPHA, d2, solve, upper_u
 
+from .charts import point
 from .lineage import cut
+from .measurements import moving
 
 LOG_2PI = math.log(2 * math.pi)
 
@@ -112,3 +114,45 @@ def box_cox(df: DataFrame, grid: int = 41, low: float = -2.0, high: float = 2.0,
         best = cut(best)
         half = step
     return best.select("series", F.col("lam").alias("lambda"), "loglik")
+
+
+def _at_least(df: DataFrame, least: int) -> DataFrame:
+    return df.groupBy("series").agg(F.count("*").alias("of"), F.min("value").alias("low")).filter((F.col("of") >= least) & (F.col("low") > 0)).select("series")
+
+
+def t_chart(df: DataFrame, alpha: float = ALPHA, reference_n: int | None = None, least: int = 20) -> DataFrame:
+    """Times between events within quantiles of the fitted Weibull distribution, its median in the middle.
+
+    The first `reference_n` times are fitted, or all. Series of fewer than
+    `least` times, or with one that is not positive, have no chart.
+    """
+    fitted = df if reference_n is None else df.filter(F.col("pos") < reference_n)
+    fit = weibull_fit(fitted.join(_at_least(df, least), "series", "left_semi")).select("series", "a", "b")
+    at = lambda q: F.col("b") * F.pow(F.lit(-math.log(1 - q)), 1 / F.col("a"))
+    return df.join(fit, "series").select("series", "pos", *point(F.col("value"), at(0.5), at(alpha / 2), at(1 - alpha / 2)))
+
+
+def box_cox_chart(df: DataFrame, alpha: float = ALPHA, reference_n: int | None = None, least: int = 20) -> DataFrame:
+    """Individuals chart of values that a power brings near to a normal distribution; limits on the scale of the values.
+
+    Centre and deviation (mean moving range over d2) are those of the first
+    `reference_n` transformed values, or of all. A limit beyond the range of the
+    transformation is null and never alarms.
+    """
+    kept = df.join(_at_least(df, least), "series", "left_semi")
+    fitted = kept if reference_n is None else kept.filter(F.col("pos") < reference_n)
+    lam = box_cox(fitted).select("series", "lambda")
+    power = F.col("lambda")
+    rows = kept.join(lam, "series").withColumn("y", F.when(F.abs(power) < 1e-9, F.log("value")).otherwise((F.pow("value", power) - 1) / power))
+    own = rows if reference_n is None else rows.filter(F.col("pos") < reference_n)
+    ranges = moving(own, lambda w: F.abs(F.col("y") - F.lag("y").over(w)), "range")
+    centre = ranges.groupBy("series").agg(F.avg("y").alias("centre"), (F.avg("range") / d2(2)).alias("sigma"))
+
+    def back(y):
+        base = power * y + 1
+        return F.when(F.abs(power) < 1e-9, F.exp(y)).when(base > 0, F.pow(base, 1 / power))
+
+    u = upper_u(alpha)
+    middle, low, high = (back(F.col("centre") + k * u * F.col("sigma")) for k in (0, -1, 1))
+    alarm = F.coalesce(F.col("value") > high, F.lit(False)) | F.coalesce(F.col("value") < low, F.lit(False))
+    return rows.join(centre, "series").select("series", "pos", "y", F.col("value").alias("point"), middle.alias("center"), low.alias("lcl"), high.alias("ucl"), alarm.alias("alarm"))

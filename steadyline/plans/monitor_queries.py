@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from steadyline.functions.numeric import ALPHA, upper_u
+from steadyline.functions.numeric import ALPHA, d2, upper_u
 from steadyline.operators import fits as Y
 from steadyline.operators import health as H
 from steadyline.operators import monitors as Q
@@ -224,12 +224,52 @@ def closed_form_fits(spark, sf_dir):
     return f.select("series", "family", (F.round("a", 4) + 0.0).alias("a"), (F.round("b", 4) + 0.0).alias("b"), (F.round("loglik", 3) + 0.0).alias("loglik"))
 
 
-@query()
+_DIGAMMA = "(ln(exp(x) + 10) - 1 / (2 * (exp(x) + 10)) - 1 / (12 * (exp(x) + 10) ^ 2) + 1 / (120 * (exp(x) + 10) ^ 4) - 1 / (252 * (exp(x) + 10) ^ 6) - list_sum(list_transform(range(0, 10), lambda j: 1 / (exp(x) + j))))"
+_WEIBULL = f"""{M}, ws AS (SELECT series, count(*) AS n, avg(ln(value)) AS lm, pi() / (sqrt(6) * stddev_pop(ln(value))) AS k FROM m GROUP BY 1 HAVING min(value) > 0),
+wb AS (SELECT series, n, lm, k, 0 AS it, 0::DOUBLE AS b FROM ws UNION ALL SELECT series, n, lm, greatest(k / 5, k - (s1 / s0 - 1 / k - lm) / (s2 / s0 - (s1 / s0) ^ 2 + 1 / k ^ 2)), it + 1, (s0 / n) ^ (1 / k)
+  FROM (SELECT wb.series, n, lm, k, it, sum(value ^ k) AS s0, sum(value ^ k * ln(value)) AS s1, sum(value ^ k * ln(value) ^ 2) AS s2 FROM wb JOIN m ON m.series = wb.series WHERE it < 12 GROUP BY ALL)),
+wf AS (SELECT series, n, lm, k, b FROM wb WHERE it = 12)"""
+
+
+@query(f"""WITH RECURSIVE {_WEIBULL}, s AS (SELECT series, count(*) AS n, avg(value) AS m, var_pop(value) AS v, avg(ln(value)) AS lm, var_pop(ln(value)) AS lv, avg(value * value) AS q FROM m GROUP BY 1),
+gap AS (SELECT series, n, m, lm, ln(m) - lm AS target FROM s), {solved("gap", "series, n, m, lm", f"(x - {_DIGAMMA})", -15.0, 25.0, 80)}, ga AS (SELECT *, exp(x) AS sh, m / exp(x) AS sc FROM solved),
+f AS (SELECT series, 'normal' AS family, m AS a, sqrt(v) AS b, -n / 2 * (ln(2 * pi()) + ln(v) + 1) AS l, 2 AS k FROM s UNION ALL SELECT series, 'lognormal', lm, sqrt(lv), -n / 2 * (ln(2 * pi()) + ln(lv) + 1) - n * lm, 2 FROM s
+  UNION ALL SELECT series, 'exponential', m, NULL, -n * (ln(m) + 1), 1 FROM s UNION ALL SELECT series, 'rayleigh', sqrt(q / 2), NULL, n * (lm - ln(q / 2) - 1), 1 FROM s
+  UNION ALL SELECT series, 'gamma', sh, sc, n * ((sh - 1) * lm - sh - sh * ln(sc) - lgamma(sh)), 2 FROM ga UNION ALL SELECT series, 'weibull', k, b, n * (ln(k) - k * ln(b) + (k - 1) * lm - 1), 2 FROM wf),
+t AS (SELECT *, 2 * k - 2 * l AS aic, min(2 * k - 2 * l) OVER (PARTITION BY series) AS best FROM f)
+SELECT series, family, {r("a", "a", 3)}, {r("b", "b", 3)}, {r("l", "loglik", 2)}, k, {r("aic", "aic", 2)}, CAST(row_number() OVER (PARTITION BY series ORDER BY CASE WHEN family = 'normal' AND aic <= best + 2 THEN 0 ELSE 1 END, aic, family) AS INT) AS rank FROM t""")
 def distribution_ranking(spark, sf_dir):
     m = measurements(spark, sf_dir)
-    return rounded(Y.ranked(Y.closed_fits(m).unionByName(Y.weibull_fit(m))), 4)
+    out = Y.ranked(Y.closed_fits(m).unionByName(Y.weibull_fit(m)))
+    return rounded(out.withColumns({"loglik": F.round("loglik", 2), "aic": F.round("aic", 2)}), 3)
+
+
+@query(f"""WITH RECURSIVE {_WEIBULL}, q AS (SELECT series, b * (-ln(0.5)) ^ (1 / k) AS c, b * (-ln(1 - {ALPHA / 2!r})) ^ (1 / k) AS lo, b * (-ln({ALPHA / 2!r})) ^ (1 / k) AS hi FROM wf WHERE n >= 20)
+SELECT m.series, pos, value AS point, {r("c", "center", 4)}, {r("lo", "lcl", 4)}, {r("hi", "ucl", 4)}, value > hi OR value < lo AS alarm FROM m JOIN q USING (series)""")
+def t_chart(spark, sf_dir):
+    out = Y.t_chart(measurements(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 4) + 0.0 for c in ("center", "lcl", "ucl")})
+
 
+def _pass(n: int, before: str, half: float) -> str:
+    """SQL of one pass of the search for the exponent, on a grid of 41 about that of the table before."""
+    step = 2 * half / 40
+    return f"""v{n} AS (SELECT m.series, i, lam - {half!r} + i * {step!r} AS l, n, lm, var_pop(CASE WHEN abs(lam - {half!r} + i * {step!r}) < 1e-9 THEN ln(value) ELSE (exp((lam - {half!r} + i * {step!r}) * ln(value)) - 1) / (lam - {half!r} + i * {step!r}) END) AS v
+  FROM m JOIN {before} b ON b.series = m.series, range(41) t(i) GROUP BY ALL), w{n} AS (SELECT series, n, lm, l AS lam, -n / 2 * ln(v) + (l - 1) * n * lm AS ll FROM v{n} QUALIFY row_number() OVER (PARTITION BY series ORDER BY -n / 2 * ln(v) + (l - 1) * n * lm DESC) = 1)"""
 
-@query()
+
+_BOX_COX = f"{M}, w0 AS (SELECT series, count(*) AS n, avg(ln(value)) AS lm, 0.0::DOUBLE AS lam FROM m GROUP BY 1 HAVING min(value) > 0), {_pass(1, 'w0', 2.0)}, {_pass(2, 'w1', 0.1)}, {_pass(3, 'w2', 0.005)}"
+
+
+@query(f"WITH {_BOX_COX} SELECT series, {r('lam', 'lambda', 5)}, {r('ll', 'loglik', 2)} FROM w3")
 def box_cox_exponents(spark, sf_dir):
-    return rounded(Y.box_cox(measurements(spark, sf_dir)), 4)
+    return rounded(Y.box_cox(measurements(spark, sf_dir)).withColumn("loglik", F.round("loglik", 2)), 5)
+
+
+@query(f"""WITH {_BOX_COX}, y AS (SELECT m.series, pos, value, lam, CASE WHEN abs(lam) < 1e-9 THEN ln(value) ELSE (value ^ lam - 1) / lam END AS y FROM m JOIN w3 USING (series) WHERE n >= 20),
+c AS (SELECT series, lam, avg(y) AS c, avg(rg) / {d2(2)!r} AS s FROM (SELECT *, abs(y - lag(y) OVER (PARTITION BY series ORDER BY pos)) AS rg FROM y) GROUP BY ALL),
+b AS (SELECT series, {", ".join(f"CASE WHEN abs(lam) < 1e-9 THEN exp(c + {k} * {U!r} * s) WHEN lam * (c + {k} * {U!r} * s) + 1 > 0 THEN (lam * (c + {k} * {U!r} * s) + 1) ^ (1 / lam) END AS {name}" for k, name in ((0, "mid"), (-1, "lo"), (1, "hi")))} FROM c)
+SELECT y.series, pos, {r("y", "y", 4)}, value AS point, {r("mid", "center", 4)}, {r("lo", "lcl", 4)}, {r("hi", "ucl", 4)}, coalesce(value > hi, false) OR coalesce(value < lo, false) AS alarm FROM y JOIN b USING (series)""")
+def box_cox_chart(spark, sf_dir):
+    out = Y.box_cox_chart(measurements(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 4) + 0.0 for c in ("y", "center", "lcl", "ucl")})
