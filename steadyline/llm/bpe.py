@@ -29,13 +29,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import model, release
 
 END = "</w>"
 #: Words, and chunks between blanks, in each half of a worker's memory of their ids.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 #: Pairs of tokens in each half of its memory of compatible pairs.
-PAIRS_REMEMBERED = 200_000
+PAIRS_REMEMBERED = 100_000
 LONGEST_REMEMBERED = 64
 #: Ids decoded at once.
 DECODED_AT_ONCE = 1 << 18
@@ -260,10 +260,9 @@ class WordBpe:
             yield self.buffer[np.arange(sizes.sum()) + np.repeat(shift, sizes)].tobytes()
 
 
-@lru_cache(maxsize=2)
 def tables(path: str) -> WordBpe:
-    """One copy for each worker process."""
-    return WordBpe(path)
+    """One copy for each worker process, while it needs no other model."""
+    return model(WordBpe, path)
 
 
 def tokenized(docs: DataFrame, path: str, text_col: str = "text", into: str = "tokens") -> DataFrame:
@@ -280,8 +279,8 @@ def tokenized(docs: DataFrame, path: str, text_col: str = "text", into: str = "t
         bpe = tables(path)
         for batch in batches:
             ids, digests = [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                ids.append(bpe.encode(text or b""))
+            for text in batch.column(0).field(text_col).cast(pa.binary()):
+                ids.append(bpe.encode(text.as_py() or b""))
                 digest = hashlib.sha256()
                 for piece in bpe.decode(ids[-1]):
                     digest.update(piece)
@@ -290,7 +289,7 @@ def tokenized(docs: DataFrame, path: str, text_col: str = "text", into: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), tokens], ["row", "tokens"])
         release()
 
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*kept).alias("row"))
     row_type = rows.schema["row"].dataType.simpleString()
     out = rows.mapInArrow(run, f"row {row_type}, tokens struct<n_tokens:bigint,ids:binary,decoded_sha256:string>")
     return out.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("tokens").alias(into))

@@ -7,11 +7,14 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+M = TypeVar("M")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,6 +57,20 @@ def sized(df: DataFrame, row_bytes: Column | int = 16, most: int = 32_000_000) -
     return F.broadcast(df) if total <= most else df
 
 
+_model: dict[tuple, object] = {}
+
+
+def model(make: Callable[[str], M], path: str) -> M:
+    """What `make` builds from a vocabulary file, once for a worker process, which holds one such model at a time."""
+    key = (make.__module__, make.__qualname__, path)
+    if key not in _model:
+        _model.clear()
+        release()
+        _model[key] = make(path)
+        release()
+    return _model[key]
+
+
 def release() -> None:
     """Gives freed memory back at the end of a task, since Python workers outlast it."""
     gc.collect()

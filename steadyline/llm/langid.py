@@ -102,9 +102,9 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str,
         scores = np.zeros((0, len(langs)))
         for batch in batches:
             found, sure = [], []
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).field(text_col)
             for first in range(0, len(texts), 256):
-                some = [_words(t or "") for t in texts[first : first + 256]]
+                some = [_words(t.as_py() or "") for t in texts[first : first + 256]]
                 if len(seen) > REMEMBERED:
                     seen, scores = {}, scores[:0]
                 if langs and (new := list({w for ws in some for w in ws if w not in seen})):
@@ -127,7 +127,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str,
         del seen, scores
         release()
 
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*kept).alias("row"))
     row_type = rows.schema["row"].dataType.simpleString()
     out = rows.mapInArrow(run, f"row {row_type}, language struct<lang:string,score:double>")
     return out.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("language").alias(into))

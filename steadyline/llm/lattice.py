@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import sentencepiece
 
+from .common import model
+
 START = "▁"
 #: Words of one length that are handled together; bounds the arrays.
 WORDS_AT_ONCE = 20_000
@@ -114,10 +115,9 @@ def _alphas(spans, words: int, n: int, logs: np.ndarray) -> np.ndarray:
     return alpha
 
 
-@lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
-    """One copy for each worker process."""
-    return Pieces(path)
+    """One copy for each worker process, while it needs no other model."""
+    return model(Pieces, path)
 
 
 def smoothed(expected: np.ndarray, prior: np.ndarray, strength: float, extra: float = 0.0) -> np.ndarray:

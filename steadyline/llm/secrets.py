@@ -186,15 +186,15 @@ def secrets(docs: DataFrame, logs: np.ndarray, text_col: str = "text", into: str
         memory: dict[str, list[tuple[int, int]]] = {}
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                base, spans = find_spans(text or "", shared.value, memory)
+            for text in batch.column(0).field(text_col):
+                base, spans = find_spans(text.as_py() or "", shared.value, memory)
                 kinds = [s[2] for s in spans]
                 rows.append((*map(kinds.count, KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)))
             columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
             found = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["row", "secrets"])
 
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*kept).alias("row"))
     row_type = rows.schema["row"].dataType.simpleString()
     out = rows.mapInArrow(run, f"row {row_type}, secrets struct<n_assign:bigint,n_access:bigint,n_hex:bigint,n_markov:bigint,base_sha256:string,spans:string>")
     return out.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("secrets").alias(into))
