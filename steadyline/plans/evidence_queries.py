@@ -111,16 +111,16 @@ _CELLS = """c AS (SELECT event_type AS file, event_id AS line, CASE WHEN event_i
 @query(f"""WITH {_CELLS} SELECT file, line, 'v' AS "column", 'missing_value' AS code FROM c WHERE v = '' UNION ALL SELECT file, line, 'v', 'bad_number' FROM c WHERE v IN ('12,5', 'n/a')
 UNION ALL SELECT file, line, 'g', 'missing_subgroup' FROM c WHERE no_g UNION ALL SELECT file, line, 'ok', 'invalid_without_reason' FROM c WHERE flag = 'no' AND NOT why UNION ALL SELECT file, line, 'ok', 'bad_flag' FROM c WHERE flag = 'perhaps'""")
 def import_issues(spark, sf_dir):
-    return S.typed(_lines(spark, sf_dir), S.ColumnMap("v", subgroup="g", valid="ok", invalid_reason="why"))[1]
+    return S.typed(_lines(spark, sf_dir), S.reading("v", group="g", ok="ok", why="why"))[1]
 
 
 @query(f"""WITH {_CELLS} SELECT file, line AS source_row, round(e.value, 2) + 0.0 AS value, flag <> 'no' AS valid FROM c JOIN events e ON e.event_id = line WHERE v = 'x'""")
 def imported_rows(spark, sf_dir):
-    rows = S.typed(_lines(spark, sf_dir), S.ColumnMap("v", subgroup="g", valid="ok", invalid_reason="why"))[0]
+    rows = S.typed(_lines(spark, sf_dir), S.reading("v", group="g", ok="ok", why="why"))[0]
     return rounded(rows.select("file", "source_row", "value", "valid"), 2)
 
 
 @query("SELECT DISTINCT event_type AS file, 'subgroup_not_contiguous' AS code FROM events")
 def import_notes(spark, sf_dir):
-    rows = S.typed(_lines(spark, sf_dir), S.ColumnMap("v", subgroup="g"))[0]
+    rows = S.typed(_lines(spark, sf_dir), S.reading("v", group="g"))[0]
     return S.notes(rows)

@@ -66,3 +66,10 @@ def test_critical_machine_study_needs_its_parts():
 
     with pytest.raises(ValueError, match="50 parts"):
         required_targets("machine", "critical", 40)
+
+
+def test_size_of_a_mean():
+    for shift, arl in ((1.0, 2.0), (0.5, 5.0), (2.0, 1.05)):
+        n = N.mean_size(shift, arl)
+        length = lambda k, shift=shift: 1 / N.beyond(shift * k**0.5)
+        assert length(n) <= arl * (1 + 1e-9) and (n == 1 or length(n - 1) > arl)
