@@ -32,9 +32,8 @@ SELECT p AS parts, o AS operators, {r("r", "trials", 4)}, pooled, {r("chance", "
 {r("sqrt(inter)", "interaction", 4)}, {r("sqrt(g)", "grr", 4)}, {r("sqrt(pv)", "pv", 4)}, {r("sqrt(g + pv)", "tv", 4)}, {r("tv_share", "pct_tv", 4)}, {r("tol_share", "pct_tol", 4)}, {r("ndc", "ndc", 4)},
 CASE WHEN tol_share > 30 OR ndc < 2 THEN 'fail' WHEN tol_share > 10 OR ndc < 5 THEN 'conditional' ELSE 'pass' END AS verdict FROM k""")
 def gauge_verdict(spark, sf_dir):
-    out = rounded(U.gauge_verdict(_gauge(spark, sf_dir), "part", "op", tolerance=400.0), 4)
-    exact = U.gauge_verdict(_gauge(spark, sf_dir), "part", "op", tolerance=400.0).select(F.round("interaction_p", 5).alias("p")).first()["p"]
-    return out.withColumn("interaction_p", F.lit(exact) + 0.0)
+    out = U.gauge_verdict(_gauge(spark, sf_dir), "part", "op", tolerance=400.0)
+    return rounded(out.withColumns({c: F.round(c, 4) for c, kind in out.dtypes if kind == "double" and c != "interaction_p"}), 5)
 
 
 _RATED = "j AS (SELECT 'a' || (doc_id % 3) AS who, doc_id // 9 AS part, (doc_id // 3) % 3 AS trial, quality AS d, CAST((doc_id // 9) % 4 > 0 AS INT) AS ref FROM labels)"
@@ -104,7 +103,6 @@ def multistream_points(spark, sf_dir):
 # -- Samples ---------------------------------------------------------------------------
 
 _KINDS = ("xbar-s", "xbar-r", "median-r", "p", "np", "c", "u", "imr")
-_KIND = f"{list(_KINDS)!r}[o % 8 + 1]"
 _SAMPLES = f"""s AS (SELECT l_orderkey AS o, list(l_quantity::DOUBLE - CASE WHEN l_orderkey % 11 = 0 THEN 30 ELSE 0 END ORDER BY l_linenumber, l_quantity) AS v FROM lineitem GROUP BY 1),
 k AS (SELECT o, v, CASE o % 8 {" ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS))} END AS kind, 4 AS n FROM s),
 b AS (SELECT *, len(v) <> CASE WHEN kind IN ('p', 'u') THEN 2 WHEN kind IN ('xbar-s', 'xbar-r', 'median-r') THEN n ELSE 1 END AS wrong,

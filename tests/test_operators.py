@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from steadyline.operators import charts, fits, measurements, monitors, rules, sequential, studies
+from steadyline.operators import charts, fits, gauges, measurements, monitors, rules, sequential, studies
 from steadyline.streaming.monitor import completed
 
 
@@ -140,3 +140,31 @@ def test_lots_without_points(spark):
     lots = spark.createDataFrame([("a", 1, 0, 2), ("a", 2, 50, 60)], "series string, lot long, seq_from long, seq_to long")
     points = frame(spark, [1, 2, 9, 4]).select("series", "pos", (F.col("value") > 8).alias("alarm"))
     assert {(r["lot"], r["points"], r["state"]) for r in monitors.lot_evidence(lots, points).collect()} == {(1, 3, "blocked"), (2, 0, "no_points")}
+
+
+def test_gauge_studies_that_are_refused(spark):
+    rows = spark.range(60).selectExpr("id % 5 as part", "id % 2 as op", "cast(id % 7 as double) as value")
+    assert gauges.gauge_verdict(rows, "part", "op").count() == 1
+    for few in (rows.filter("part < 4"), rows.filter("op = 0"), rows.filter("part > 0 or op > 0"), rows.withColumn("value", rows.part.cast("double"))):
+        with pytest.raises(ValueError):
+            gauges.gauge_verdict(few, "part", "op")
+
+
+def test_samples_that_do_not_fit(spark):
+    rows = [("p", [3.0, 20.0], None), ("p", [3.0], "wrong_value_count"), ("p", [3.5, 20.0], "bad_count"), ("p", [30.0, 20.0], "bad_count"), ("u", [3.0, 2.5], None), ("np", [5.0], "bad_count"), ("c", [-1.0], "bad_count")]
+    rows += [("xbar-s", [1.0, 2.0, 3.0, 4.0], None), ("xbar-s", [1.0, 2.0], "wrong_value_count"), ("imr", [float("nan")], "wrong_value_count"), ("imr", None, "wrong_value_count"), ("imr", [2.5], None)]
+    df = spark.createDataFrame([(i, k, 4, v, w) for i, (k, v, w) in enumerate(rows)], "i int, kind string, n int, values array<double>, want string")
+    got = df.withColumn("got", gauges.sample_check(F.col("kind"), F.col("n"), F.col("values"))).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    stats = {r["kind"]: (r["location"], r["variation"]) for r in gauges.sample_statistics(df.filter("want is null").withColumn("previous", F.lit(2.0))).collect()}
+    assert stats["p"] == (0.15, None) and stats["imr"] == (2.5, 0.5) and stats["xbar-s"][0] == 2.5
+
+
+def test_lots_and_restarts_by_counting(spark):
+    points = spark.range(200_000).selectExpr("'s' as series", "id as pos", "id % 1000 = 7 as alarm", "0.0 as value")
+    lots = spark.createDataFrame([("s", "a", 0, 6), ("s", "b", 7, 70_000), ("s", "c", 199_000, 300_000), ("s", "d", 400_000, 400_001)], "series string, lot string, seq_from long, seq_to long")
+    got = {r["lot"]: (r["points"], r["alarms"], r["state"]) for r in monitors.lot_evidence(lots, points).collect()}
+    assert got == {"a": (7, 0, "free"), "b": (69_994, 70, "blocked"), "c": (1000, 1, "blocked"), "d": (0, 0, "no_points")}
+    starts = spark.createDataFrame([("s", 5, False), ("s", 100_000, True)], "series string, pos long, new_phase boolean")
+    rows = measurements.with_segments(points.select("series", "pos", "value"), starts)
+    assert {(r["segment"], r["phase"]): r["n"] for r in rows.groupBy("segment", "phase").agg(F.count("*").alias("n")).collect()} == {(0, 0): 5, (1, 0): 99_995, (2, 1): 100_000}
