@@ -516,6 +516,17 @@ def test_items_of_few_literals(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(5)} | {(5 + i, i) for i in (0, 1, 2, 4)}
 
 
+def test_passage_late_in_a_very_long_text(spark):
+    """Texts are cut in pieces inside; passages over a cut are found too."""
+    item = "a question about seven red boats that cross the wide river before the old bridge is lowered again"
+    filler = "plain words of no concern to anyone who reads them here " * 18_000  # one million bytes
+    at_cut = filler[: decontaminate.PIECE - 40]
+    texts = [f"{filler}{filler}{item} {filler}", f"{at_cut[: at_cut.rindex(' ')]} {item} {filler}", filler * 3, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == {0, 1}
+
+
 def test_whole_windows_by_brute_force(spark):
     docs = pd.read_parquet(f"{DATA}/sf0.01/documents.parquet")
     items = pd.read_parquet(f"{DATA}/sf0.01/benchmark.parquet")
