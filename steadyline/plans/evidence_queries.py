@@ -10,7 +10,7 @@ from steadyline.operators import monitors as Q
 from steadyline.operators import studies as T
 from steadyline.sources import text as S
 
-from .inputs import G, M, groups, measurements, query, r, rounded, table
+from .inputs import G, groups, measurements, query, r, rounded, table
 from .monitor_queries import FOUND, SHOWN, health_findings
 from .tail_sql import f_tail, solved
 

@@ -12,7 +12,7 @@ from steadyline.operators import sequential as S
 from steadyline.operators import studies as T
 
 from .inputs import M, measurements, query, r, rounded, table
-from .study_queries import _STATES, _gauge, _lines, _states
+from .study_queries import _STATES, _gauge, _states
 from .tail_sql import chi2_tail, f_tail, normal_tail
 
 # -- Measurement systems -----------------------------------------------------------
