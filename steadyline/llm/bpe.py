@@ -33,9 +33,9 @@ from .common import model, release
 
 END = "</w>"
 #: Words, and chunks between blanks, in each half of a worker's memory of their ids.
-REMEMBERED = 60_000
+REMEMBERED = 80_000
 #: Pairs of tokens in each half of its memory of compatible pairs.
-PAIRS_REMEMBERED = 100_000
+PAIRS_REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
 #: Ids decoded at once.
 DECODED_AT_ONCE = 1 << 18
@@ -170,10 +170,11 @@ class WordBpe:
         return False
 
     def compatible(self, left: int, right: int) -> bool:
-        found = self.known.recall((left, right))
+        pair = left << 32 | right
+        found = self.known.recall(pair)
         if found is None:
             found = self._untouched(left, right, len(self.rank))
-            self.known.keep((left, right), found)
+            self.known.keep(pair, found)
         return found
 
     def word(self, symbols: str) -> list[int]:
@@ -190,7 +191,7 @@ class WordBpe:
                 if place + length[token] not in closed:
                     if last < 0:
                         break
-                    fits = known.get((last, token))
+                    fits = known.get(last << 32 | token)
                     if fits or fits is None and self.compatible(last, token):
                         break
                 token = shorter[token]
