@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import release, sized, written
 
 #: Bytes of text that are sorted together; a longer text is cut between terms.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 5_000_000
 SCALE = 1_000_000_000
 #: Terms of a slice, and sources of a block, that are compared at once.
-SLICE, BLOCK = 4096, 256
+SLICE, BLOCK = 256, 256
 #: Bytes of terms that are sorted as numbers.
 DEPTH = 64
 
