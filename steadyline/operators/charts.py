@@ -14,6 +14,7 @@ from steadyline.functions.numeric import ALPHA, CN, binom_ppf, c4, chi2_ppf, d2,
 
 from .lineage import cut
 from .measurements import chunked, within_chunk
+from .order import quantiles
 
 D2 = d2(2)
 
@@ -199,9 +200,9 @@ def g_chart(df: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 def percentile_chart(df: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Limits at the empirical quantiles; series under 5.4 / alpha values have none and are left out."""
-    q = df.groupBy("series").agg(F.percentile("value", F.array(*map(F.lit, (alpha / 2, 0.5, 1 - alpha / 2)))).alias("q"), F.count("*").alias("n"))
+    q = quantiles(df, {"low": alpha / 2, "mid": 0.5, "high": 1 - alpha / 2}, "series")
     q = q.filter(F.col("n") >= round(5.4 / alpha))
-    return df.join(q, "series").select("series", "pos", *point(F.col("value"), F.col("q")[1], F.col("q")[0], F.col("q")[2]))
+    return df.join(q, "series").select("series", "pos", *point(F.col("value"), F.col("mid"), F.col("low"), F.col("high")))
 
 
 def _sigma_mr(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from steadyline.functions.numeric import ALPHA, NORMAL, c4, chi2_ppf, d2, upper_u
 
 from .counts import by_count
+from .order import medians, quantiles
 
 
 def location(groups: DataFrame) -> DataFrame:
@@ -19,7 +20,8 @@ def location(groups: DataFrame) -> DataFrame:
 
 def overall(df: DataFrame) -> DataFrame:
     """l1: mean, l2: median, d5: total standard deviation, range and count of the values."""
-    return df.groupBy("series").agg(F.avg("value").alias("l1"), F.median("value").alias("l2"), F.stddev_samp("value").alias("d5"), (F.max("value") - F.min("value")).alias("total_range"), F.count("*").alias("n"))
+    rest = df.groupBy("series").agg(F.avg("value").alias("l1"), F.stddev_samp("value").alias("d5"), (F.max("value") - F.min("value")).alias("total_range"), F.count("*").alias("n"))
+    return rest.join(medians(df, "series").withColumnRenamed("median", "l2"), "series", "left").select("series", "l1", "l2", "d5", "total_range", "n")
 
 
 def dispersion(groups: DataFrame, n: int) -> DataFrame:
@@ -79,8 +81,8 @@ def within_capability(groups: DataFrame, n: int, lsl: float | None, usl: float |
 
 def quantile_capability(df: DataFrame, lsl: float | None, usl: float | None) -> DataFrame:
     """Indices from the empirical 0.135 %, 50 % and 99.865 % quantiles."""
-    q = df.groupBy("series").agg(F.percentile("value", F.array(F.lit(0.00135), F.lit(0.5), F.lit(0.99865))).alias("q"))
-    low, mid, high = (F.col("q")[i] for i in range(3))
+    q = quantiles(df, {"low": 0.00135, "mid": 0.5, "high": 0.99865}, "series")
+    low, mid, high = (F.col(c) for c in ("low", "mid", "high"))
     none = F.lit(None).cast("double")
     pl = (mid - lsl) / (mid - low) if lsl is not None else none
     pu = (usl - mid) / (high - mid) if usl is not None else none

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from steadyline.functions.numeric import grubbs_critical
 
+from . import order
 from .counts import by_count
 from .lineage import cut
 
@@ -167,18 +168,18 @@ def whole_subgroups(df: DataFrame, size: int) -> DataFrame:
 
 def suspects_mad(df: DataFrame, threshold: float = 3.5) -> DataFrame:
     """Values whose robust z (0.6745 * deviation / median deviation) is over the threshold; none where that deviation is 0."""
-    middle = df.groupBy("series").agg(F.median("value").alias("median"))
+    middle = order.medians(df, "series")
     off = df.join(middle, "series").withColumn("off", F.col("value") - F.col("median"))
-    scale = off.groupBy("series").agg(F.median(F.abs("off")).alias("mad"))
+    scale = order.medians(off.withColumn("far", F.abs("off")), "series", column="far").withColumnRenamed("median", "mad")
     scored = off.join(scale.filter("mad > 0"), "series").withColumn("z", 0.6745 * F.col("off") / F.col("mad"))
     return scored.filter(F.abs("z") > threshold).select("series", "pos", "value", "z")
 
 
 def suspects_tukey(df: DataFrame, k: float = 3.0) -> DataFrame:
     """Values more than k quartile distances outside the quartiles."""
-    cut = df.groupBy("series").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q1, q3 = F.col("q")[0], F.col("q")[1]
-    out = df.join(cut, "series").withColumns({"low": q1 - k * (q3 - q1), "high": q3 + k * (q3 - q1)})
+    quartiles = order.quantiles(df, {"q1": 0.25, "q3": 0.75}, "series")
+    q1, q3 = F.col("q1"), F.col("q3")
+    out = df.join(quartiles, "series").withColumns({"low": q1 - k * (q3 - q1), "high": q3 + k * (q3 - q1)})
     return out.filter("value < low or value > high").select("series", "pos", "value", "low", "high")
 
 

@@ -13,6 +13,7 @@ from steadyline.functions.numeric import ALPHA, NORMAL, d2, upper_u
 
 from .charts import point
 from .measurements import CHUNK, counted, moving
+from .order import medians
 
 
 def fixed_chart(points: DataFrame, limits: DataFrame) -> DataFrame:
@@ -140,9 +141,11 @@ def response_times(incidents: DataFrame, events: DataFrame) -> DataFrame:
     wide = first.groupBy("incident").pivot("kind", ["ack", "action", "close"]).agg(F.first("at"))
     rows = incidents.join(wide, "incident", "left")
     after = lambda k: F.unix_timestamp(k) - F.unix_timestamp("opened")
-    return rows.groupBy("series").agg(
-        F.count("*").alias("incidents"), F.count_if(F.col("close").isNull()).alias("open"), *(c for k in ("ack", "action", "close") for c in (F.median(after(k)).alias(f"median_to_{k}"), F.max(after(k)).alias(f"longest_to_{k}")))
-    )
+    kinds = ("ack", "action", "close")
+    out = rows.groupBy("series").agg(F.count("*").alias("incidents"), F.count_if(F.col("close").isNull()).alias("open"), *(F.max(after(k)).alias(f"longest_to_{k}") for k in kinds))
+    each = rows.select("series", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), after(k).cast("double").alias("value")) for k in kinds))).alias("e")).select("series", "e.*")
+    middle = medians(each, "series", "kind").groupBy("series").agg(*(F.max(F.when(F.col("kind") == k, F.col("median"))).alias(f"median_to_{k}") for k in kinds))
+    return out.join(middle, "series", "left").select("series", "incidents", "open", *(c for k in kinds for c in (f"median_to_{k}", f"longest_to_{k}")))
 
 
 def recovered(incidents: DataFrame, events: DataFrame, points: DataFrame) -> DataFrame:

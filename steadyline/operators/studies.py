@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from steadyline.functions.numeric import chi2_cdf, chi2_ppf, d2, f_ppf, f_sf, grubbs_critical, t_ppf
 
 from .counts import by_count
+from .order import medians
 
 
 # -- States and combinations ---------------------------------------------------
@@ -123,7 +124,7 @@ def missing_combinations(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def brown_forsythe(df: DataFrame, *factors: str) -> DataFrame:
     """Analysis of the distances to each combination's median."""
-    middle = df.groupBy(*factors).agg(F.median("value").alias("middle"))
+    middle = medians(df, *factors).withColumnRenamed("median", "middle")
     return anova(state_stats(df.join(middle, list(factors)).withColumn("value", F.abs(F.col("value") - F.col("middle"))), *factors))
 
 
