@@ -28,10 +28,14 @@ PIECE = 65_536
 NEAR = 1e-12
 
 
-def ordered_values(df: DataFrame, *by: str, column: str = "value") -> DataFrame:
-    """(by..., value, count, before, n): the distinct values of each group; they take the ranks from before + 1 to before + count of n. Nulls are left out."""
+def ordered_values(df: DataFrame, *by: str, column: str = "value", weight: str | None = None) -> DataFrame:
+    """(by..., value, count, before, n): the distinct values of each group; they take the ranks from before + 1 to before + count of n.
+
+    Nulls are left out. A row counts once, or as often as the whole number `weight`.
+    """
     keys = list(by)
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("value")).agg(F.count("*").alias("count"))
+    each = F.count("*") if weight is None else F.sum(weight)
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("value")).agg(each.alias("count"))
     # The ranges depend on a sample, so they are fixed before they are counted.
     ranges = cut(counts.repartitionByRange(*keys, "value").withColumn("range", F.spark_partition_id()))
     sizes = ranges.groupBy(*keys, "range").agg(F.sum("count").alias("rows"))
@@ -47,7 +51,7 @@ def holds(rank: Column) -> Column:
     return (F.col("before") <= rank) & (rank < F.col("before") + F.col("count"))
 
 
-def quantiles(df: DataFrame, probabilities: dict[str, float], *by: str, column: str = "value") -> DataFrame:
+def quantiles(df: DataFrame, probabilities: dict[str, float], *by: str, column: str = "value", weight: str | None = None) -> DataFrame:
     """One row per group: each named quantile, between the two values next to (n - 1) p, and n."""
     ends, out = [], []
     for name, p in probabilities.items():
@@ -55,7 +59,7 @@ def quantiles(df: DataFrame, probabilities: dict[str, float], *by: str, column:
         low = F.floor(place)
         ends += [F.max(F.when(holds(low), F.col("value"))).alias(f"{name}_low"), F.max(F.when(holds(F.ceil(place)), F.col("value"))).alias(f"{name}_high")]
         out.append((F.col(f"{name}_low") + (place - low) * (F.col(f"{name}_high") - F.col(f"{name}_low"))).alias(name))
-    found = ordered_values(df, *by, column=column).groupBy(*by, "n").agg(*ends)
+    found = ordered_values(df, *by, column=column, weight=weight).groupBy(*by, "n").agg(*ends)
     return found.select(*by, "n", *out)
 
 

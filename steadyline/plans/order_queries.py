@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from steadyline.operators import fits as Y
 from steadyline.operators import mixtures as B
 from steadyline.operators import order as O
+from steadyline.operators import states as S
 from steadyline.operators import time_model as T
 from steadyline.operators.evidence import trigamma
 from steadyline.operators.gauges import SPAN
@@ -14,7 +15,7 @@ from steadyline.operators.measurements import whole_subgroups
 
 from .inputs import G, M, groups, measurements, query, r, rounded
 from .monitor_queries import _DIGAMMA, _WEIBULL
-from .tail_sql import chi2_tail, chi2_tail_large, f_tail_large, normal_points, normal_tail, solved
+from .tail_sql import chi2_tail, chi2_tail_large, f_tail, f_tail_large, normal_points, normal_tail, solved
 
 #: The fitted families, as `distribution_ranking` has them.
 FITS = f"""{_WEIBULL}, fs AS (SELECT series, avg(value) AS mu, var_pop(value) AS v, avg(ln(value)) AS lm, var_pop(ln(value)) AS lv, avg(value * value) AS q FROM m GROUP BY 1),
@@ -243,3 +244,55 @@ def bootstrap_normal(spark, sf_dir):
 @query(bootstrap_sql("lognormal", "ln(value)"))
 def bootstrap_lognormal(spark, sf_dir):
     return rounded(B.bootstrap_intervals(measurements(spark, sf_dir), 5.0, 150.0, "lognormal", replicates=REPLICATES, seed=SEED))
+
+
+# -- Several states ------------------------------------------------------------------
+
+
+def _states(spark, sf_dir):
+    """Events as processes of three states (spindles), alike in one process, apart in width, in location, or in both in others."""
+    m = measurements(spark, sf_dir)
+    spindle = F.col("user_id") % 3
+    x = 10 * F.log("value")
+    moved = F.when(F.col("series") == "view", x + 20 * spindle).when(F.col("series") == "signup", x * (1 + spindle / 2)).when(F.col("series") == "error", x * (1 + spindle / 2) + 30 * spindle).otherwise(x)
+    return m.select("series", spindle.cast("string").alias("state"), moved.alias("value"))
+
+
+#: Grubbs' test as a probability: that of t at which n values have so large a greatest distance g.
+_GRUBBS = f"n >= 3 AND ss > 0 AND (n * g * g >= pow(n - 1, 2) OR {f_tail('(g * g * n * (n - 2) / greatest(pow(n - 1, 2) - n * g * g, 1e-12))', '1', '(n - 2)')} < 0.05 / n)"
+PEELED = f"""x AS (SELECT series, CAST(user_id % 3 AS VARCHAR) AS state, CASE series WHEN 'view' THEN 10 * ln(value) + 20 * (user_id % 3) WHEN 'signup' THEN 10 * ln(value) * (1 + (user_id % 3) / 2.0::DOUBLE)
+  WHEN 'error' THEN 10 * ln(value) * (1 + (user_id % 3) / 2.0::DOUBLE) + 30 * (user_id % 3) ELSE 10 * ln(value) END AS value FROM m),
+rk AS (SELECT *, row_number() OVER (PARTITION BY series, state ORDER BY value) AS i, count(*) OVER (PARTITION BY series, state) AS n0 FROM x),
+peel AS (SELECT DISTINCT series, state, n0, 0::BIGINT AS lo, 0::BIGINT AS hi, 0 AS turn, false AS done FROM rk
+UNION ALL SELECT series, state, n0, lo + CASE WHEN hit AND side = 0 THEN 1 ELSE 0 END, hi + CASE WHEN hit AND side = 1 THEN 1 ELSE 0 END, turn + 1, NOT any_hit FROM (
+  SELECT *, bool_or(hit) OVER (PARTITION BY series) AS any_hit FROM (
+  SELECT series, state, n0, lo, hi, turn, CASE WHEN any_own THEN own WHEN everywhere THEN state = first_of ELSE false END AS hit, CASE WHEN any_own THEN own_side ELSE all_side END AS side FROM (
+    SELECT *, CASE WHEN all_side = 1 THEN min(CASE WHEN high = top THEN state END) OVER (PARTITION BY series) ELSE min(CASE WHEN low = bottom THEN state END) OVER (PARTITION BY series) END AS first_of,
+      (SELECT {_GRUBBS} FROM (SELECT all_n AS n, all_ss AS ss, greatest(top - all_mean, all_mean - bottom) / sqrt(all_ss / (all_n - 1)) AS g)) AS everywhere FROM (
+      SELECT *, CASE WHEN top - all_mean > all_mean - bottom THEN 1 ELSE 0 END AS all_side FROM (
+        SELECT *, sum(ss + n * pow(mean - all_mean, 2)) OVER (PARTITION BY series) AS all_ss, bool_or(own) OVER (PARTITION BY series) AS any_own FROM (
+          SELECT *, {_GRUBBS} AS own, CASE WHEN high - mean > mean - low THEN 1 ELSE 0 END AS own_side, sum(n) OVER (PARTITION BY series) AS all_n, sum(n * mean) OVER (PARTITION BY series) / sum(n) OVER (PARTITION BY series) AS all_mean,
+            max(high) OVER (PARTITION BY series) AS top, min(low) OVER (PARTITION BY series) AS bottom FROM (
+            SELECT *, greatest(high - mean, mean - low) / sqrt(ss / (n - 1)) AS g FROM (
+              SELECT p.series, p.state, p.n0, p.lo, p.hi, p.turn, count(*) AS n, avg(value) AS mean, var_pop(value) * count(*) AS ss, min(value) AS low, max(value) AS high
+              FROM peel p JOIN rk ON rk.series = p.series AND rk.state = p.state AND i > p.lo AND i <= p.n0 - p.hi WHERE NOT p.done GROUP BY p.series, p.state, p.n0, p.lo, p.hi, p.turn))))))))),
+st AS (SELECT p.series, p.state, any_value(p.n0) AS planned, count(*) AS n, avg(value) AS mean, var_samp(value) AS var, min(value) AS low, max(value) AS high, any_value(lo) AS low_gone, any_value(hi) AS high_gone
+  FROM peel p JOIN rk ON rk.series = p.series AND rk.state = p.state AND i > p.lo AND i <= p.n0 - p.hi WHERE p.done GROUP BY p.series, p.state)"""
+
+
+@query(f"WITH RECURSIVE {M}, {PEELED} SELECT series, state, planned, n, {r('mean')}, {r('var')}, {r('low')}, {r('high')}, low_gone, high_gone, true AS usable FROM st")
+def screened_states(spark, sf_dir):
+    return rounded(S.screened(_states(spark, sf_dir))[0])
+
+
+@query(f"""WITH RECURSIVE {M}, {PEELED}, t AS (SELECT series, count(*) AS k, max(planned) AS plan, sum(low_gone + high_gone) AS removed, sum(n - 1) AS dof, sum((n - 1) * var) / sum(n - 1) AS pooled,
+  (sum(n - 1) * ln(sum((n - 1) * var) / sum(n - 1)) - sum((n - 1) * ln(var))) / (1 + (sum(1.0::DOUBLE / (n - 1)) - 1.0::DOUBLE / sum(n - 1)) / (3 * (count(*) - 1))) AS b, var_samp(mean) AS vm, min(mean) AS lo, max(mean) AS hi, sum(n * mean) / sum(n) AS mean FROM st GROUP BY series),
+u AS (SELECT *, plan * vm / pooled AS f, {chi2_tail("b", "(k - 1)")} AS wp FROM t), v AS (SELECT *, {f_tail("f", "(k - 1)", "(plan * k - k)")} AS lp FROM u),
+e AS (SELECT st.*, 3 * CASE WHEN wp >= 0.05 THEN sqrt(pooled) ELSE sqrt(var) END AS d FROM st JOIN v USING (series)),
+q AS (SELECT series, max(d) AS d, arg_min(d, mean - d) AS dl, arg_max(d, mean + d) AS dr FROM e GROUP BY series),
+w AS (SELECT *, CASE WHEN wp >= 0.05 AND lp >= 0.05 THEN 0 WHEN wp >= 0.05 THEN 1 WHEN lp >= 0.05 THEN 3 ELSE 4 END AS type FROM v JOIN q USING (series)),
+i AS (SELECT *, (CASE WHEN type IN (0, 3) THEN mean ELSE lo END + 60) / d AS pl, (160 - CASE WHEN type IN (0, 3) THEN mean ELSE hi END) / d AS pu FROM w)
+SELECT series, k AS states, CAST(removed AS BIGINT) AS removed, true AS usable, {r("b", "width_statistic", 4)}, {r("wp", "width_p", 4)}, wp >= 0.05 AS equal_widths, {r("f", "location_statistic", 4)}, {r("lp", "location_p", 4)}, lp >= 0.05 AS equal_locations,
+{r("hi - lo", "delta_m", 4)}, {r("sqrt(pooled)", "sigma", 4)}, CAST(type AS INT) AS type, {r("CASE WHEN type IN (0, 3) THEN 220 / (2 * d) WHEN type = 1 THEN (220 - (hi - lo)) / (2 * d) ELSE (220 - (hi - lo)) / (dl + dr) END", "pm", 4)}, {r("pl", "pmk_l", 4)}, {r("pu", "pmk_u", 4)}, {r("least(pl, pu)", "pmk", 4)} FROM i""")
+def multistate_performance(spark, sf_dir):
+    return rounded(S.multistate_performance(_states(spark, sf_dir), -60.0, 160.0), 4)
