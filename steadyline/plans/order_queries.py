@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from steadyline.operators import ellipsoids as L
 from steadyline.operators import fits as Y
 from steadyline.operators import mixtures as B
 from steadyline.operators import order as O
+from steadyline.operators import pearson as P
 from steadyline.operators import states as S
 from steadyline.operators import time_model as T
+from steadyline.functions.numeric import ALPHA
 from steadyline.operators.evidence import trigamma
 from steadyline.operators.gauges import SPAN
 from steadyline.operators.measurements import whole_subgroups
 
-from .inputs import G, M, groups, measurements, query, r, rounded
+from .inputs import G, M, groups, measurements, query, r, rounded, table
 from .monitor_queries import _DIGAMMA, _WEIBULL
 from .tail_sql import chi2_tail, chi2_tail_large, f_tail, f_tail_large, normal_points, normal_tail, solved
 
@@ -296,3 +299,91 @@ SELECT series, k AS states, CAST(removed AS BIGINT) AS removed, true AS usable,
 {r("hi - lo", "delta_m", 4)}, {r("sqrt(pooled)", "sigma", 4)}, CAST(type AS INT) AS type, {r("CASE WHEN type IN (0, 3) THEN 220 / (2 * d) WHEN type = 1 THEN (220 - (hi - lo)) / (2 * d) ELSE (220 - (hi - lo)) / (dl + dr) END", "pm", 4)}, {r("pl", "pmk_l", 4)}, {r("pu", "pmk_u", 4)}, {r("least(pl, pu)", "pmk", 4)} FROM i""")
 def multistate_performance(spark, sf_dir):
     return rounded(S.multistate_performance(_states(spark, sf_dir), -60.0, 160.0), 4)
+
+
+# -- Several characteristics together ------------------------------------------------
+
+LIMITS = ((-0.55, -0.5, -0.4), (0.45, 0.6, 0.5))
+
+
+def _det(m: dict[str, str], rows: str = "abc", columns: str = "abc") -> str:
+    """Determinant of three columns of numbers, named by row and column."""
+    (p, q, s), (x, y, z) = rows, columns
+    e = lambda i, j: m[i + j]
+    return f"({e(p, x)} * ({e(q, y)} * {e(s, z)} - {e(q, z)} * {e(s, y)}) - {e(p, y)} * ({e(q, x)} * {e(s, z)} - {e(q, z)} * {e(s, x)}) + {e(p, z)} * ({e(q, x)} * {e(s, y)} - {e(q, y)} * {e(s, x)}))"
+
+
+def _ellipsoid_sql() -> str:
+    """Three dimensions without eigenvalues: t is halved between values at which b + t is not positive definite, or its solution too long, and others."""
+    names = [x + y for x in "abc" for y in "abc"]
+    sym = {n: "s" + "".join(sorted(n)) for n in names}
+    minors = {x + y: [(p, q) for p in "abc" if p != x for q in "abc" if q != y] for x in "abc" for y in "abc"}
+    sign = lambda n: -1 if (ord(n[0]) + ord(n[1])) % 2 else 1
+    cof = lambda n: f"{sign(n)} * ({sym[''.join(minors[n][0])]} * {sym[''.join(minors[n][3])]} - {sym[''.join(minors[n][1])]} * {sym[''.join(minors[n][2])]})"
+    lo, hi = (dict(zip("abc", v, strict=True)) for v in LIMITS)
+    mid, half = {x: (lo[x] + hi[x]) / 2 for x in "abc"}, {x: (hi[x] - lo[x]) / 2 for x in "abc"}
+    shifted = {n: f"(b{n} + t)" if n[0] == n[1] else f"b{n}" for n in names}
+    swap = lambda x: _det({n: f"(-g{n[0]})" if n[1] == x else shifted[n] for n in names})
+    quadratic = " + ".join(f"b{n} * y{n[0]} * y{n[1]}" for n in names) + " + " + " + ".join(f"2 * g{x} * y{x}" for x in "abc")
+    return f"""WITH RECURSIVE v AS (SELECT vec_id % 5 AS lot, {", ".join(f"embedding[{i}]::DOUBLE AS {x}" for i, x in enumerate("abc", 1))} FROM embeddings),
+mo AS (SELECT lot, count(*) AS n, {", ".join(f"avg({x}) AS m{x}" for x in "abc")}, {", ".join(f"covar_samp({n[0]}, {n[1]}) AS s{n}" for n in names if n[0] <= n[1])} FROM v GROUP BY lot HAVING count(*) >= 10),
+inv AS (SELECT *, {", ".join(f"({cof(n)}) / {_det(sym)} AS i{n}" for n in names)} FROM mo),
+ca AS (SELECT lot, n, 'k' AS kind, {", ".join(f"{mid[x]!r} - m{x} AS d{x}" for x in "abc")}, {", ".join("i" + n for n in names)} FROM inv UNION ALL SELECT lot, n, 'm', 0, 0, 0, {", ".join("i" + n for n in names)} FROM inv),
+bg AS (SELECT lot, n, kind, {" + ".join(f"d{n[0]} * i{n} * d{n[1]}" for n in names)} AS dd, {" + ".join(f"pow(d{x} / {half[x]!r}, 2)" for x in "abc")} <= 1 AS inside, {", ".join(f"{half[n[0]] * half[n[1]]!r} * i{n} AS b{n}" for n in names)},
+  {", ".join(f"{half[x]!r} * ({' + '.join(f'i{x}{y} * d{y}' for y in 'abc')}) AS g{x}" for x in "abc")} FROM ca),
+hv AS (SELECT *, -(baa + bbb + bcc) AS low, sqrt(ga * ga + gb * gb + gc * gc) + 1e-12 AS high, 0 AS step FROM bg
+  UNION ALL SELECT * EXCLUDE (t, ok) REPLACE (CASE WHEN ok THEN low ELSE t END AS low, CASE WHEN ok THEN t ELSE high END AS high, step + 1 AS step) FROM (
+    SELECT *, CASE WHEN {shifted["aa"]} > 0 AND {shifted["aa"]} * {shifted["bb"]} - bab * bab > 0 AND {_det(shifted)} > 0 THEN (pow({swap("a")}, 2) + pow({swap("b")}, 2) + pow({swap("c")}, 2)) <= pow({_det(shifted)}, 2) ELSE false END AS ok
+    FROM (SELECT *, (low + high) / 2 AS t FROM hv WHERE step < 90))),
+so AS (SELECT *, {", ".join(f"CASE WHEN kind = 'k' THEN {swap(x)} / {_det(shifted)} ELSE 0 END AS y{x}" for x in "abc")} FROM (SELECT *, high AS t FROM hv WHERE step = 90)),
+cc AS (SELECT lot, n, kind, inside, CASE WHEN kind = 'm' THEN sqrt(-t) ELSE sqrt(greatest(0, dd + {quadratic})) END AS c FROM so),
+qq AS (SELECT *, {chi2_tail("(c * c)", "3")} / 2 AS q FROM cc), {normal_points("qq", "lot, n, kind, inside, c", "q")}
+SELECT k.lot, k.n, k.inside AS centre_inside, {r("k.c", "c_pmk", 4)}, {r("CASE WHEN k.inside THEN -k.z ELSE k.z END / 3", "pmk", 4)}, {r("m.c", "c_pm", 4)}, {r("-m.z / 3", "pm", 4)} FROM zs k JOIN zs m ON k.lot = m.lot AND k.kind = 'k' AND m.kind = 'm'"""
+
+
+@query(_ellipsoid_sql())
+def ellipsoid_performance(spark, sf_dir):
+    e = F.col("embedding")
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 5).alias("lot"), *(e[i].alias(f"e{i}") for i in range(3)))
+    return rounded(L.ellipsoid_performance(rows, ["e0", "e1", "e2"], *LIMITS, "lot"), 4)
+
+
+# -- Limits from a shape -------------------------------------------------------------
+
+_NODES = 20_000
+_CLOSED = "((c2 < 0 AND p > 0 AND q > 0) OR (c2 > 0 AND 1 / c2 > 2))"
+#: Density on a grid on either side of the mode, its logarithm summed up from the curve's equation, whatever its type.
+CURVES = f"""mo AS (SELECT series, avg(value) AS mean, stddev_samp(value) AS sd, skewness(value) AS g, kurtosis(value) + 3 AS k FROM y GROUP BY series HAVING count(*) >= {P.LEAST} AND stddev_samp(value) > 0),
+co AS (SELECT *, (4 * k - 3 * g * g) / d AS c0, g * (k + 3) / d AS a, (2 * k - 3 * g * g - 6) / d AS c2 FROM (SELECT *, 10 * k - 12 * g * g - 18 AS d FROM mo) WHERE d > 1e-9 AND k > g * g + 1),
+ro AS (SELECT *, a * a - 4 * c0 * c2 AS gap, -a / (2 * c2) AS u FROM co), rr AS (SELECT *, u - sqrt(greatest(gap, 0)) / abs(2 * c2) AS one, u + sqrt(greatest(gap, 0)) / abs(2 * c2) AS two FROM ro),
+pq AS (SELECT *, -(one + a) / (c2 * (one - two)) AS p, -(two + a) / (c2 * (two - one)) AS q FROM rr),
+en AS (SELECT series, mean, sd, a, c0, c2, CASE WHEN c2 < 0 THEN 'I' WHEN gap < 0 THEN 'IV' ELSE 'VI' END AS kind, CASE WHEN c2 < 0 THEN one WHEN gap > 0 AND -a > two THEN two END AS low, CASE WHEN c2 < 0 THEN two WHEN gap > 0 AND -a < one THEN one END AS high
+  FROM pq WHERE {_CLOSED}),
+gr AS (SELECT series, side, i, a, c0, c2, CASE WHEN e IS NULL THEN -a + side * s / (1 - s) ELSE e - (e + a) * pow(1 - s, 3) END AS x, CASE WHEN e IS NULL THEN side / pow(1 - s, 2) ELSE (e + a) * 3 * pow(1 - s, 2) END AS dx
+  FROM (SELECT *, CASE WHEN side < 0 THEN low ELSE high END AS e, i::DOUBLE / {_NODES} AS s FROM en, (VALUES (-1), (1)) t(side), range({_NODES}) r(i))),
+lo AS (SELECT *, -(x + a) / (c0 + a * x + c2 * x * x) * dx AS f FROM gr),
+ld AS (SELECT series, side, i, x, exp((sum(f) OVER w - f / 2 - first_value(f) OVER w / 2) / {_NODES}) * abs(dx) AS d FROM lo WINDOW w AS (PARTITION BY series, side ORDER BY i)),
+cu AS (SELECT series, side, i, x, (sum(d) OVER w - d / 2 - first_value(d) OVER w / 2) / {_NODES} AS c FROM ld WINDOW w AS (PARTITION BY series, side ORDER BY i)),
+su AS (SELECT series, max(c) FILTER (WHERE side < 0) AS under, max(c) FILTER (WHERE side < 0) + max(c) FILTER (WHERE side > 0) AS total FROM cu GROUP BY series),
+st AS (SELECT series, side, x, c, lead(x) OVER w AS x2, lead(c) OVER w AS c2 FROM cu WINDOW w AS (PARTITION BY series, side ORDER BY i)),
+qn AS (SELECT st.series, v.p, x + (abs(v.p * total - under) - c) / (c2 - c) * (x2 - x) AS z FROM st JOIN su USING (series), (VALUES ({ALPHA / 2!r}), (0.5), ({1 - ALPHA / 2!r})) v(p) WHERE side = sign(v.p * total - under) AND c <= abs(v.p * total - under) AND c2 > abs(v.p * total - under)),
+li AS (SELECT e.series, any_value(kind) AS kind, any_value(mean) AS mean, any_value(mean) + any_value(sd) * min(z) AS low, any_value(mean) + any_value(sd) * max(z) AS high FROM en e JOIN qn USING (series) GROUP BY e.series)"""
+
+
+@query(f"WITH {G}, y AS (SELECT series, ord // 5 AS pos, mean AS value FROM g), {CURVES} SELECT series, pos, kind, {r('value', 'point')}, {r('mean', 'center')}, {r('low', 'lcl', 3)}, {r('high', 'ucl', 3)}, value > high OR value < low AS alarm FROM y JOIN li USING (series)")
+def pearson_chart(spark, sf_dir):
+    out = P.pearson_chart(means_in_order(spark, sf_dir))
+    return rounded(out.withColumns({c: F.round(c, 3) for c in ("lcl", "ucl")}))
+
+
+@query(f"""WITH RECURSIVE {FITS}, ma AS (SELECT series, count(*) AS n, avg(value) AS mean, avg(ln(value)) AS lm, avg(value * value) AS sq, var_pop(value) AS v, var_pop(ln(value)) AS lv FROM m GROUP BY 1 HAVING count(*) >= {P.LEAST}),
+ll AS (SELECT f.*, n, mean, CASE family WHEN 'normal' THEN -n / 2 * (ln(2 * pi()) + ln(v) + 1) WHEN 'lognormal' THEN -n / 2 * (ln(2 * pi()) + ln(lv) + 1) - n * lm WHEN 'exponential' THEN -n * (ln(mean) + 1) WHEN 'rayleigh' THEN n * (lm - ln(sq / 2) - 1)
+  WHEN 'gamma' THEN n * ((a - 1) * lm - a - a * ln(b) - lgamma(a)) ELSE n * (ln(a) - a * ln(b) + (a - 1) * lm - 1) END AS l, CASE WHEN family IN ('exponential', 'rayleigh') THEN 1 ELSE 2 END AS k FROM f JOIN ma USING (series)),
+ai AS (SELECT *, 2 * k - 2 * l AS aic, min(2 * k - 2 * l) OVER (PARTITION BY series) AS best FROM ll),
+be AS (SELECT * FROM ai QUALIFY row_number() OVER (PARTITION BY series ORDER BY CASE WHEN family = 'normal' AND aic <= best + 2 THEN 0 ELSE 1 END, aic, family) = 1),
+ga AS (SELECT series, a, target FROM be, (VALUES ({ALPHA / 2!r}), ({1 - ALPHA / 2!r})) t(target) WHERE family = 'gamma'), {solved("ga", "series, a", "(1 - exp(a * ln(x) - x) * list_sum(list_transform(range(0, 200), lambda n: exp(n * ln(x) - lgamma(a + n + 1)))))", 1e-9, 60.0, 60).replace("halved", "ghalved").replace("solved AS", "gsolved AS")},
+li AS (SELECT series, family, mean, CASE family WHEN 'gamma' THEN b * (SELECT min(x) FROM gsolved g WHERE g.series = be.series) ELSE {{q}} END AS low, CASE family WHEN 'gamma' THEN b * (SELECT max(x) FROM gsolved g WHERE g.series = be.series) ELSE {{p}} END AS high FROM be)
+SELECT series, pos, family, value AS point, {r("mean", "center")}, {r("low", "lcl", 3)}, {r("high", "ucl", 3)}, value > high OR value < low AS alarm FROM m JOIN li USING (series)""".replace("{q}", f"CASE family WHEN 'normal' THEN a - {O.NORMAL.inv_cdf(1 - ALPHA / 2)!r} * b WHEN 'lognormal' THEN exp(a - {O.NORMAL.inv_cdf(1 - ALPHA / 2)!r} * b) WHEN 'exponential' THEN -a * ln(1 - {ALPHA / 2!r}) WHEN 'rayleigh' THEN a * sqrt(-2 * ln(1 - {ALPHA / 2!r})) ELSE b * (-ln(1 - {ALPHA / 2!r})) ^ (1 / a) END").replace("{p}", f"CASE family WHEN 'normal' THEN a + {O.NORMAL.inv_cdf(1 - ALPHA / 2)!r} * b WHEN 'lognormal' THEN exp(a + {O.NORMAL.inv_cdf(1 - ALPHA / 2)!r} * b) WHEN 'exponential' THEN -a * ln({ALPHA / 2!r}) WHEN 'rayleigh' THEN a * sqrt(-2 * ln({ALPHA / 2!r})) ELSE b * (-ln({ALPHA / 2!r})) ^ (1 / a) END"))
+def fitted_chart(spark, sf_dir):
+    out = P.fitted_chart(measurements(spark, sf_dir))
+    return rounded(out.withColumns({c: F.round(c, 3) for c in ("lcl", "ucl")}))
