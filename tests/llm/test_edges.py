@@ -1,5 +1,3 @@
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,8 +6,6 @@ from steadyline.llm import bpe, decontaminate, hosts, langid, lm, queries, searc
 from steadyline.llm.line_dedup import dedup_lines
 from steadyline.llm.queries import BPE_VOCAB, PIECE_VOCAB
 
-from tests.oracle import DATA
-
 from .cases import CLASHING, TEXTS, awkward, empty
 
 
@@ -114,14 +110,15 @@ def test_bad_host_is_blocked(spark):
     assert {h for h, v in got if v == "block"} == {"bad.site.org"}
 
 
-def test_reputation_decides_in_the_query(spark):
-    """Unlabelled pages of the three unwanted sites are blocked for their hosts, and no others but by rule."""
-    got = queries.op1_url_filter(spark, f"{DATA}/check_s").filter("rule is null").toPandas()
-    blocked = set(got[got.verdict == "block"].host)
-    assert len(blocked) >= 1 and all(re.search("casino|bets|pills", h) for h in blocked)
-    unwanted = got[got.host.str.contains("casino|bets|pills")]
-    few = unwanted.groupby("host").size()
-    assert blocked >= set(few[few >= 12].index)
+def test_reputation_decides_in_the_query(spark, tmp_path):
+    """Unlabelled pages of a site with unwanted pages are blocked for their host, and no others but by rule."""
+    i = F.col("id")
+    url = F.when(i < 80, F.concat(F.lit("http://www.lucky-casino.org/p/"), i)).when(i < 110, F.concat(F.lit("http://plain.net/es/"), i)).otherwise(F.concat(F.lit("http://h"), i % 7, F.lit(".fine.org/a/"), i))
+    spark.range(600).select(i.alias("page_id"), url.alias("url"), F.lit("<p>").alias("html")).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.range(0, 600, 2).select(i.alias("doc_id")).write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op1_url_filter(spark, str(tmp_path)).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == set(range(110))
+    assert {r["rule"] for r in got if r["page_id"] < 80} == {None} and any(r["page_id"] % 2 for r in got if r["verdict"] == "block" and r["rule"] is None)
 
 
 def test_sites_and_domains(spark):
