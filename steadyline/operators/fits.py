@@ -65,8 +65,8 @@ def closed_fits(df: DataFrame) -> DataFrame:
     return sums(df).mapInPandas(run, "series string, family string, a double, b double, loglik double, k int")
 
 
-def weibull_fit(df: DataFrame, rounds: int = 12) -> DataFrame:
-    """Shape and scale at location 0, by Newton's method; each round is one aggregate over all series with positive values."""
+def weibull_fit(df: DataFrame, rounds: int = 12, tolerance: float = 1e-11) -> DataFrame:
+    """Shape and scale at location 0, by Newton's method; each round is one aggregate over all series with positive values, until no shape moves by more than `tolerance` of itself."""
     base = sums(df).filter("low > 0 and log_var > 0").select("series", "n", "log_mean", (math.pi / (math.sqrt(6) * F.sqrt("log_var"))).alias("shape"))
     x = F.col("value")
     for _ in range(rounds):
@@ -75,11 +75,13 @@ def weibull_fit(df: DataFrame, rounds: int = 12) -> DataFrame:
         q = F.col("s1") / F.col("s0")
         g = q - 1 / F.col("shape") - F.col("log_mean")
         slope = F.col("s2") / F.col("s0") - q * q + 1 / (F.col("shape") * F.col("shape"))
-        base = s.select("series", "n", "log_mean", F.greatest(F.col("shape") / 5, F.col("shape") - g / slope).alias("shape"), F.pow(F.col("s0") / F.col("n"), 1 / F.col("shape")).alias("scale"))
+        shape = F.greatest(F.col("shape") / 5, F.col("shape") - g / slope)
         # Cut the plan: a series is one small row by now.
-        base = cut(base)
-        kept = base.select("series", "scale")
-        base = base.drop("scale")
+        base = cut(s.select("series", "n", "log_mean", shape.alias("shape"), F.pow(F.col("s0") / F.col("n"), 1 / F.col("shape")).alias("scale"), (F.abs(shape - F.col("shape")) / shape).alias("moved")))
+        kept, moved = base.select("series", "scale"), base.agg(F.max("moved")).first()[0]
+        base = base.drop("scale", "moved")
+        if moved is None or moved < tolerance:
+            break
     k = F.col("shape")
     fit = base.join(kept, "series")
     loglik = F.col("n") * (F.log(k) - k * F.log("scale") + (k - 1) * F.col("log_mean") - 1)

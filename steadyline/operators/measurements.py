@@ -7,6 +7,11 @@ orders by them.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +19,6 @@ from steadyline.functions.numeric import grubbs_critical
 
 from . import order
 from .counts import by_count
-from .lineage import cut
 
 #: Rows of a series that one window holds.
 CHUNK = 65_536
@@ -211,20 +215,25 @@ def with_next(df: DataFrame) -> DataFrame:
 def resolution(df: DataFrame, places: int = 6) -> DataFrame:
     """Step of the decimal grid that the values lie on (0 to `places` decimals): the greatest common divisor of their distances.
 
-    A series whose values lie on no such grid, or do not vary, is left out. The
-    divisor is found by rounds of an aggregate: the smallest distance, then the
-    smallest remainder that any distance leaves, until none is left. A round
-    needs one number per series.
+    A series whose values lie on no such grid, or do not vary, is left out. Each
+    task folds its distances to one number per series, and these are folded again.
     """
     off = [F.max(F.abs(F.col("value") * 10**k - F.round(F.col("value") * 10**k)) / F.greatest(F.lit(1.0), F.abs(F.col("value") * 10**k))).alias(f"off{k}") for k in range(places + 1)]
     grid = df.groupBy("series").agg(*off, F.min("value").alias("low"))
     k = F.coalesce(*(F.when(F.col(f"off{k}") <= 1e-9, k) for k in range(places + 1)))
     grid = grid.select("series", "low", k.alias("k")).filter("k is not null")
     steps = df.join(grid, "series").select("series", "k", F.round((F.col("value") - F.col("low")) * F.pow(F.lit(10), "k")).cast("long").alias("step"))
-    divisor = steps.filter("step > 0").groupBy("series").agg(F.first("k").alias("k"), F.min("step").alias("g"), F.max(F.lit(1)).alias("rest"))
-    while True:
-        left = steps.join(divisor.select("series", "g"), "series").groupBy("series").agg(F.min(F.when(F.col("step") % F.col("g") != 0, F.col("step") % F.col("g"))).alias("rest"))
-        divisor = cut(divisor.drop("rest").join(left, "series"))
-        if divisor.filter("rest is not null").isEmpty():
-            return divisor.select("series", (F.col("g") / F.pow(F.lit(10), "k")).alias("resolution"))
-        divisor = divisor.withColumn("g", F.coalesce("rest", "g"))
+    divisor = steps.filter("step > 0").mapInPandas(_folded, _FOLDED).repartition("series").mapInPandas(_folded, _FOLDED)
+    return divisor.select("series", (F.col("step") / F.pow(F.lit(10), "k")).alias("resolution"))
+
+
+_FOLDED = "series string, k int, step long"
+
+
+def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(series, k, step) -> one row for each series of a task: the greatest common divisor of its steps."""
+    found: dict[tuple[str, int], int] = {}
+    for batch in batches:
+        for key, steps in batch.groupby(["series", "k"])["step"]:
+            found[key] = math.gcd(found.get(key, 0), int(np.gcd.reduce(steps.to_numpy())))
+    yield pd.DataFrame([(s, k, g) for (s, k), g in found.items()], columns=["series", "k", "step"])

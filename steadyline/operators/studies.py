@@ -7,6 +7,7 @@ groups, never rows.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from steadyline.functions.numeric import chi2_cdf, chi2_ppf, d2, f_ppf, f_sf, grubbs_critical, t_ppf
 
 from .counts import by_count
+from .lineage import cut
 from .order import medians
 
 
@@ -133,26 +135,29 @@ def nested_anova(df: DataFrame, *levels: str) -> DataFrame:
 
     Unequal group sizes are allowed: each mean square's expectation has the
     coefficients that group sizes give, and variances are solved from below,
-    negative ones set to 0.
+    negative ones set to 0. One pass over the rows, and one job over the finest
+    groups' sums. An empty table gives no rows.
     """
-    T, Q, counts = [], [], []
     k = len(levels)
-    finest = df.groupBy(*levels).agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    for i in range(k + 1):
-        g = finest.groupBy(*levels[:i]).agg(F.sum("n").alias("N"), F.sum("s").alias("S")) if i else finest.agg(F.sum("n").alias("N"), F.sum("s").alias("S"))
-        row = g.agg(F.sum(F.col("S") * F.col("S") / F.col("N")), F.count("*")).first()
-        T.append(row[0])
-        counts.append(row[1])
-        own = []
-        for j in range(1, k + 1):  # sum over groups at level i of (sum of squared sizes at level j inside) / size
-            inner = finest.groupBy(*levels[:j]).agg(F.sum("n").alias("n_j"))
-            outer = inner.groupBy(*levels[: min(i, j)]) if min(i, j) else inner.groupBy()
-            if j <= i:
-                own.append(float(finest.agg(F.sum("n")).first()[0]))
-            else:
-                own.append(outer.agg(F.sum("n_j").alias("size"), F.sum(F.col("n_j") * F.col("n_j")).alias("squares")).agg(F.sum(F.col("squares") / F.col("size"))).first()[0])
-        Q.append(own)
-    total = finest.agg(F.sum("q"), F.sum("n")).first()
+    # Values about the grand mean, so that no two large squares are subtracted.
+    grand = df.agg(F.avg("value")).first()[0] or 0.0
+    x = F.col("value") - grand
+    finest = cut(df.groupBy(*levels).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q")))
+    at = [finest.groupBy(*levels[:i]).agg(F.sum("n").alias("n"), F.sum("s").alias("s")) for i in range(k + 1)]
+    facts = [g.select(F.lit("t").alias("what"), F.lit(i).alias("i"), F.lit(0).alias("j"), (F.col("s") * F.col("s") / F.col("n")).alias("value")) for i, g in enumerate(at)]
+    # Of each group at a coarse level, the squared sizes of the groups inside it, over its own size.
+    for i in range(k):
+        for j in range(i + 1, k + 1):
+            inside = at[j].groupBy(*levels[:i]).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("value"))
+            facts.append(inside.select(F.lit("q").alias("what"), F.lit(i).alias("i"), F.lit(j).alias("j"), "value"))
+    facts.append(finest.select(F.lit("all").alias("what"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("q").alias("value")))
+    facts.append(finest.select(F.lit("n").alias("what"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("n").cast("double").alias("value")))
+    found = {(r["what"], r["i"], r["j"]): (r["sum"], r["rows"]) for r in reduce(DataFrame.union, facts).groupBy("what", "i", "j").agg(F.sum("value").alias("sum"), F.count("*").alias("rows")).collect()}
+    if ("t", k, 0) not in found:
+        return df.sparkSession.createDataFrame([], "level string, ss double, df long, ms double, variance double")
+    T, counts = [found["t", i, 0][0] for i in range(k + 1)], [found["t", i, 0][1] for i in range(k + 1)]
+    total = found["all", 0, 0][0], int(found["n", 0, 0][0])
+    Q = [[float(total[1]) if j <= i else found["q", i, j][0] for j in range(1, k + 1)] for i in range(k + 1)]
     ss = [T[i] - T[i - 1] for i in range(1, k + 1)] + [total[0] - T[k]]
     dof = [counts[i] - counts[i - 1] for i in range(1, k + 1)] + [total[1] - counts[k]]
     ms = [s / d if d else float("nan") for s, d in zip(ss, dof, strict=True)]

@@ -12,6 +12,7 @@ from steadyline.sources import text as S
 
 from .inputs import G, groups, measurements, query, r, rounded, table
 from .monitor_queries import FOUND, SHOWN, health_findings
+from .study_queries import nested_sql
 from .tail_sql import f_tail, solved
 
 _TRIGAMMA = V.trigamma(2.0)
@@ -83,13 +84,11 @@ def unknown_products(spark, sf_dir):
     return Q.unknown_parts(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("part")), parts)
 
 
-@query(f"""WITH x AS (SELECT user_id AS g, value::DOUBLE AS v, event_type AS op FROM events), c AS (SELECT op, g, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM x GROUP BY ALL),
-t AS (SELECT (SELECT sum(s) ^ 2 / sum(n) FROM c) AS t0, (SELECT sum(y) FROM (SELECT sum(s) ^ 2 / sum(n) AS y FROM c GROUP BY op)) AS t1, (SELECT sum(s * s / n) FROM c) AS t2, (SELECT sum(q) FROM c) AS q, (SELECT sum(n) FROM c) AS n, (SELECT count(DISTINCT op) FROM c) AS a, (SELECT count(*) FROM c) AS b)
-SELECT 'op' AS level, {r("t1 - t0", "ss", 3)}, CAST(a - 1 AS BIGINT) AS df FROM t UNION ALL SELECT 'g', {r("t2 - t1", "ss", 3)}, CAST(b - a AS BIGINT) FROM t UNION ALL SELECT 'error', {r("q - t2", "ss", 3)}, CAST(n - b AS BIGINT) FROM t""")
+@query(nested_sql("SELECT event_type AS op, user_id AS g, value::DOUBLE AS v FROM events", "op", "g", 3))
 def nested_gauge_study(spark, sf_dir):
     """Parts are nested in operators: each operator has parts of its own."""
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("op"), F.col("user_id").alias("g"), "value")
-    return rounded(T.nested_anova(rows, "op", "g").select("level", "ss", "df"), 3)
+    return rounded(T.nested_anova(rows, "op", "g"), 3)
 
 
 # -- Text of measurements --------------------------------------------------------

@@ -97,21 +97,26 @@ def _nested_rows(spark, sf_dir):
     return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), F.col("c_acctbal").cast("double").alias("value"))
 
 
-@query(f"""WITH m AS (SELECT n_regionkey AS region, n_nationkey AS nation, c_acctbal::DOUBLE AS v FROM customer JOIN nation ON c_nationkey = n_nationkey),
-t AS (SELECT (SELECT sum(v) ^ 2 / count(*) FROM m) AS t0, (SELECT sum(x) FROM (SELECT sum(v) ^ 2 / count(*) AS x FROM m GROUP BY region)) AS t1, (SELECT sum(x) FROM (SELECT sum(v) ^ 2 / count(*) AS x FROM m GROUP BY region, nation)) AS t2,
-  (SELECT sum(v * v) FROM m) AS q, (SELECT count(*) FROM m) AS n, (SELECT count(DISTINCT region) FROM m) AS a, (SELECT count(DISTINCT nation) FROM m) AS b)
-SELECT 'region' AS level, {r("t1 - t0", "ss", 2)}, CAST(a - 1 AS BIGINT) AS df FROM t UNION ALL SELECT 'nation', {r("t2 - t1", "ss", 2)}, CAST(b - a AS BIGINT) FROM t UNION ALL SELECT 'error', {r("q - t2", "ss", 2)}, CAST(n - b AS BIGINT) FROM t""")
-def nested_anova(spark, sf_dir):
-    return rounded(T.nested_anova(_nested_rows(spark, sf_dir), "region", "nation").select("level", "ss", "df"), 2)
-
-
-@query(f"""WITH m AS (SELECT n_regionkey AS region, n_nationkey AS nation, c_acctbal::DOUBLE AS v FROM customer JOIN nation ON c_nationkey = n_nationkey),
-f AS (SELECT region, nation, count(*)::DOUBLE AS n, sum(v) AS s, sum(v * v) AS q FROM m GROUP BY ALL), g AS (SELECT region, sum(n) AS n, sum(s) AS s, sum(n * n) AS w FROM f GROUP BY 1),
+def nested_sql(rows: str, a: str, b: str, digits: int = 2) -> str:
+    """Nested analysis of `rows` (a, b, v), b inside a, by sums of squares and the coefficients of unequal sizes."""
+    line = lambda name, i: f"SELECT '{name}' AS level, {r(f's{i}', 'ss', digits)}, CAST(d{i} AS BIGINT) AS df, {r(f's{i} / d{i}', 'ms', digits)}, {r(f'v{i}', 'variance', digits)} FROM w"
+    return f"""WITH m AS ({rows}),
+f AS (SELECT {a}, {b}, count(*)::DOUBLE AS n, sum(v) AS s, sum(v * v) AS q FROM m GROUP BY ALL), g AS (SELECT {a}, sum(n) AS n, sum(s) AS s, sum(n * n) AS w FROM f GROUP BY 1),
 t AS (SELECT sum(s) ^ 2 / sum(n) AS t0, sum(n) AS n, sum(n * n) / sum(n) AS q01, (SELECT sum(w) FROM g) / sum(n) AS q02 FROM g), u AS (SELECT sum(s * s / n) AS t1, count(*) AS a, sum(w / n) AS q12 FROM g), x AS (SELECT sum(s * s / n) AS t2, count(*) AS b, sum(q) AS q FROM f),
 y AS (SELECT t1 - t0 AS s1, t2 - t1 AS s2, q - t2 AS s3, a - 1 AS d1, b - a AS d2, n - b AS d3, (n - q01) / (a - 1) AS k11, (q12 - q02) / (a - 1) AS k12, (n - q12) / (b - a) AS k22 FROM t, u, x),
 z AS (SELECT *, s3 / d3 AS v3, greatest(0, (s2 / d2 - s3 / d3) / k22) AS v2 FROM y), w AS (SELECT *, greatest(0, (s1 / d1 - v3 - k12 * v2) / k11) AS v1 FROM z)
-SELECT 'region' AS level, {r("s1", "ss", 2)}, CAST(d1 AS BIGINT) AS df, {r("s1 / d1", "ms", 2)}, {r("v1", "variance", 2)} FROM w UNION ALL SELECT 'nation', {r("s2", "ss", 2)}, CAST(d2 AS BIGINT), {r("s2 / d2", "ms", 2)}, {r("v2", "variance", 2)} FROM w
-UNION ALL SELECT 'error', {r("s3", "ss", 2)}, CAST(d3 AS BIGINT), {r("s3 / d3", "ms", 2)}, {r("v3", "variance", 2)} FROM w""")
+{line(a, 1)} UNION ALL {line(b, 2)} UNION ALL {line("error", 3)}"""
+
+
+_NESTED = nested_sql("SELECT n_regionkey AS region, n_nationkey AS nation, c_acctbal::DOUBLE AS v FROM customer JOIN nation ON c_nationkey = n_nationkey", "region", "nation")
+
+
+@query(_NESTED)
+def nested_anova(spark, sf_dir):
+    return rounded(T.nested_anova(_nested_rows(spark, sf_dir), "region", "nation"), 2)
+
+
+@query(_NESTED)
 def nested_variance_components(spark, sf_dir):
     return rounded(T.nested_anova(_nested_rows(spark, sf_dir), "region", "nation"), 2)
 

@@ -103,3 +103,33 @@ def test_empty_tables(spark):
     fits = spark.createDataFrame([("a", "normal", 0.0, 1.0)], "series string, family string, a double, b double")
     for out in (O.ordered_values(none, "series"), O.anderson_darling(none, fits), O.plot_correlation(none, fits), O.shapiro_wilk(none), O.rank_trend(none)):
         assert out.count() == 0
+
+
+def test_grid_steps(spark):
+    from steadyline.operators.measurements import resolution
+
+    rows = {"half": [1.5, 3.0, 9.0, 4.5], "cents": [0.07, 0.21, 0.35], "flat": [2.0, 2.0], "none": [0.1, math.pi], "hot": [6.0] * 300 + [10.0, 16.0], "minus": [-8.0, -2.0, 7.0]}
+    for parts in (1, 5):
+        got = {r["series"]: r["resolution"] for r in resolution(frame(spark, **rows).repartition(parts)).collect()}
+        assert got == pytest.approx({"half": 1.5, "cents": 0.14, "hot": 2.0, "minus": 3.0})
+    assert resolution(frame(spark, **rows).limit(0)).count() == 0
+
+
+def test_nested_analysis_of_values_far_from_zero(spark):
+    """Sums of squares keep their digits, three levels of unequal sizes take one pass, and an empty table gives nothing."""
+    from steadyline.operators.studies import nested_anova
+
+    rng = random.Random(12)
+    rows = [(a, b, c, 1e8 + 3 * a + rng.gauss(0, 1)) for a in range(3) for b in range(2 + a) for c in range(2) for _ in range(2 + (a + b + c) % 3)]
+    got = nested_anova(spark.createDataFrame(rows, "a int, b int, c int, value double"), "a", "b", "c").collect()
+    sums = []
+    for depth in range(4):
+        groups = {}
+        for r in rows:
+            groups.setdefault(r[:depth], []).append(r[3] - 1e8)
+        sums.append((sum(sum(v) ** 2 / len(v) for v in groups.values()), len(groups)))
+    total = sum((r[3] - 1e8) ** 2 for r in rows)
+    want = [sums[i][0] - sums[i - 1][0] for i in (1, 2, 3)] + [total - sums[3][0]]
+    assert [r["level"] for r in got] == ["a", "b", "c", "error"] and [r["ss"] for r in got] == pytest.approx(want, rel=1e-6)
+    assert [r["df"] for r in got] == [2, sums[2][1] - 3, sums[3][1] - sums[2][1], len(rows) - sums[3][1]]
+    assert nested_anova(spark.createDataFrame([], "a int, value double"), "a").count() == 0
