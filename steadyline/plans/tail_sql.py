@@ -36,6 +36,12 @@ def f_tail_large(f: str, d1: str, d2: str) -> str:
     return _simpson(inner, f"sqrt(40.0 / {a} + greatest(0, ln({x} / {low})))")
 
 
+def both_tails(t: str, df: str) -> str:
+    """P(|T| > |t|), from the density between: no singular end, so right near 1 too."""
+    front = f"exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi() * ({df}))"
+    return f"greatest(0, 1 - 2 * {front} * {_simpson(f'exp(-(({df}) + 1) / 2.0 * ln(1 + {{s}} * {{s}} / ({df})))', f'least(abs({t}), 40.0)')})"
+
+
 def chi2_tail_large(x: str, df: str) -> str:
     """P(X > x) where the powers in `chi2_tail` would overflow: all in one exponent, over a width of twelve deviations."""
     a = f"(({df}) / 2.0)"
