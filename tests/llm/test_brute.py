@@ -630,9 +630,13 @@ def test_markov_models_tell_keys_from_words(spark):
     assert not any(secrets.find_spans(f"see {word()} now", logs, {})[1] for _ in range(50))
 
 
-def test_random_strings_of_every_alphabet(spark):
-    """By the models that the production query learns."""
-    logs = secrets.train(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"))
+@pytest.fixture(scope="module")
+def models(spark):
+    """What the production query learns."""
+    return secrets.train(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"))
+
+
+def test_random_strings_of_every_alphabet(models):
     rng = random.Random(6)
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     alphabets = [upper + lower + digits, lower + digits, upper + digits, upper + "234567", digits + "ABCDEF", upper + lower + digits + "+/", upper + lower + digits + "-_"]
@@ -642,12 +646,83 @@ def test_random_strings_of_every_alphabet(spark):
             for _ in range(200):
                 own = "".join(rng.choice(letters) for _ in range(rng.randint(20, 40)))
                 text = around.format(own)
-                got = [s for s in secrets.find_spans(f"see {text} now", logs, {})[1] if s[2] != "hex"]
+                got = [s for s in secrets.find_spans(f"see {text} now", models, {})[1] if s[2] != "hex"]
                 found += sum(e - s for s, e, _ in got) >= 0.7 * len(own)
             assert found >= 180, (letters, around, found)
-    assert secrets.find_spans("see sessionid=Zk9xQ2mT7vLp4RbW8sYd now", logs, {})[1] == [(14, 34, "markov")]
+    assert secrets.find_spans("see sessionid=Zk9xQ2mT7vLp4RbW8sYd now", models, {})[1] == [(14, 34, "markov")]
     plain = ["/home/anna/projects/station/reports", "content-management-section", "internationalisation", "2024-05-17-12-30-00", "4785380592391139", "nichteinungeinkeit", "getElementsByTagName", "acknowledgements", "org/apache/spark/sql", "----------------------"]
-    assert not any(secrets.find_spans(f"see {w} now", logs, {})[1] for w in plain)
+    assert not any(secrets.find_spans(f"see {w} now", models, {})[1] for w in plain)
+
+
+def test_ordinary_strings_with_digits_are_no_secrets(models):
+    """Words here are none of the corpus's, and the strings none that the thresholds were set on."""
+    import uuid
+
+    rng = random.Random(77)
+    some = "get user name count total value index config server handler request response process control limit chart sample event stream table column window buffer reader".split()
+    word = lambda: rng.choice(some)
+    number = lambda: str(rng.randint(0, 9999))
+    forms = {
+        "timestamp": lambda: f"{rng.randint(1990, 2030)}{rng.randint(1, 12):02}{rng.randint(1, 28):02}T{rng.randint(0, 23):02}{rng.randint(0, 59):02}{rng.randint(0, 59):02}Z",
+        "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128))),
+        "camel": lambda: word() + "".join(word().title() + (number() if rng.random() < 0.4 else "") for _ in range(3)),
+        "capitals": lambda: "".join(rng.choice("BCDFGHJKLMNPQRSTVWXZ") for _ in range(rng.randint(16, 24))),
+        "snake": lambda: "_".join(word() + (number() if rng.random() < 0.4 else "") for _ in range(4)),
+        "path": lambda: "/".join([word(), word(), f"v{rng.randint(1, 9)}", word() + number()]),
+    }
+    for name, form in forms.items():
+        found = sum(bool(secrets.find_spans(f"see {form()} now", models, {})[1]) for _ in range(300))
+        assert found <= 6, (name, found)
+
+
+def test_spans_by_plain_sums(spark):
+    """Every stretch again, part by part, with probabilities looked up one by one; and each text's spans as the query lists them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    models = secrets.train(docs)
+    kinds, letters, chars = models.kinds.reshape(4, 4, 4, 4), models.letters.reshape(27, 27, 27), models.chars.reshape(7, 62)
+    assert np.allclose(np.exp(kinds).sum(-1), 1) and np.allclose(np.exp(letters).sum(-1), 1) and np.allclose(np.exp(chars).sum(-1), 1)
+
+    def ratio(part):
+        if part.isdigit():
+            return 0.0
+        kind = [3, 3, 3] + [0 if c.isupper() else 1 if c.islower() else 2 for c in part]
+        total = sum(kinds[kind[i], kind[i + 1], kind[i + 2], kind[i + 3]] for i in range(len(part)))
+        i = 0
+        while i < len(part):
+            j = i + 1
+            if part[i].isdigit():
+                while j < len(part) and part[j].isdigit():
+                    j += 1
+                total -= (j - i) * math.log(10)
+            else:
+                while j < len(part) and part[j].isupper() and part[i].isupper() and part[i:j].isupper():
+                    j += 1
+                if part[i].isupper() and j < len(part) and part[j].islower():
+                    j = j - 1 if j - i > 1 else j
+                if part[i].islower() or (j - i == 1 and j < len(part) and part[j].islower()):
+                    while j < len(part) and part[j].islower():
+                        j += 1
+                code = [26, 26] + [ord(c) - 97 for c in part[i:j].lower()]
+                known = sum(letters[code[k], code[k + 1], code[k + 2]] for k in range(j - i))
+                total += math.log(0.9 * math.exp(known) + 0.1 * 26.0 ** -(j - i))
+            i = j
+        order = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        return max(sum(chars[k, order.index(c)] for c in part) for k in range(7) if all(c in secrets.ALPHABETS[k] for c in part)) - math.log(7) - 1.0 - total
+
+    rng = random.Random(3)
+    for _ in range(300):
+        part = "".join(rng.choice(rng.choice(["ABCDEF", "abcdef", "xyz", "0123"])) for _ in range(rng.randint(1, 20)))
+        assert math.isclose(secrets.log_ratio(part, models), ratio(part), rel_tol=1e-9, abs_tol=1e-9), part
+    found = queries.op5_secret_scan(spark, SF).toPandas()
+    texts = docs.toPandas().set_index("doc_id").text
+    for i, spans in zip(found.doc_id, found.spans, strict=True):
+        own = [(int(s), int(e)) for k, s, e in (x.split(":") for x in spans.split(",") if x) if k == "markov"]
+        best = []
+        for start, end, kind in ((s, e, k) for s, e, k in secrets.find_spans(texts[i] or "", models, {})[1] if k == "markov"):
+            total = sum(ratio(p) for p in (texts[i][start:end]).replace("+", "/").replace("_", "/").replace("=", "/").replace("-", "/").split("/") if p)
+            assert total > secrets.IN_ALL and total > secrets.PER_CHAR * (end - start) and any(c.isalpha() for c in texts[i][start:end])
+            best.append((start, end))
+        assert own == best
 
 
 def test_models_do_not_see_the_held_out(spark):
