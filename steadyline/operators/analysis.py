@@ -8,6 +8,8 @@ and of values, for quantiles that depend on them.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,23 +33,37 @@ BASE_SIZE = {"machine": 50, "preliminary": 125, "production": 125}
 CONTROL_MODELS = ("A1", "A2")
 
 
-def adjusted_target(target: float, base: int, n: int, confidence: float = 0.9999, location: bool = False, final: bool = False) -> float:
-    """A target raised for n parts where it is meant for `base`. final: with the bias term of location indices."""
-    if n >= base:
-        return target
-    a = 1 - confidence
-    factor = math.sqrt(chi2_ppf(a, base - 1) / (base - 1) * (n - 1) / chi2_ppf(a, n - 1))
-    if final and location:
-        factor *= (1 + 1 / (2 * n)) / (1 + 1 / (2 * base))
-    return target * factor
+@lru_cache(maxsize=4096)
+def _least_spread(n: int, confidence: float) -> float:
+    """The share of its true deviation that n values show at least, with this confidence."""
+    return math.sqrt(chi2_ppf(1 - confidence, n - 1) / (n - 1))
 
 
-def required_targets(stage: str, cls: str, n: int) -> tuple[float, float]:
-    p, pk = TARGETS[stage][cls]
-    base = BASE_SIZE[stage]
-    if n < base and (stage, cls) == ("machine", "critical"):
-        raise ValueError(f"critical characteristics need {base} parts in a machine study")
-    return adjusted_target(p, base, n), adjusted_target(pk, base, n, location=True)
+def with_targets(studies: DataFrame, confidence: float = 0.9999, bias_term: bool = False, agreed: Mapping[str, Mapping[str, tuple[float, float]]] = TARGETS) -> DataFrame:
+    """studies: any columns with (stage, class, n). Adds p_target, pk_target and target_state.
+
+    Targets are meant for a stage's base size. A smaller sample may show a
+    smaller deviation by luck, so its targets rise by the ratio of what the two
+    sizes show at least. bias_term: the location index's target also rises by
+    the ratio of 1 + 1/(2n). agreed: targets agreed on with a customer, by stage
+    and class. States: `table`, `raised`, `unknown` (no such stage or class, or
+    a null; targets null), `too_few` (under two values, or a critical machine
+    study under its base size: no smaller sample will do; targets null).
+    """
+    rows = [(stage, c, *pair, BASE_SIZE[stage]) for stage, classes in agreed.items() for c, pair in classes.items()]
+    table = studies.sparkSession.createDataFrame(rows, "stage string, class string, p_full double, pk_full double, base int")  # a row per stage and class
+    n, base = F.col("n"), F.col("base")
+    full = n >= base
+    alone = (F.col("stage") == "machine") & (F.col("class") == "critical")
+    state = F.when(base.isNull() | n.isNull(), "unknown").when(full, "table").when(alone | (n < 2), "too_few").otherwise("raised")
+    small = F.when(state == "raised", n)
+    ratio = F.lit(None).cast("double")
+    for size in sorted({r[-1] for r in rows}):
+        ratio = F.when(base == size, _least_spread(size, confidence) / by_count(small, lambda k: _least_spread(k, confidence))).otherwise(ratio)
+    for_location = (1 + 1 / (2 * n)) / (1 + 1 / (2 * base)) if bias_term else F.lit(1.0)
+    raised = lambda target, more: F.when(full, F.col(target)).otherwise(F.col(target) * ratio * more)
+    out = studies.join(F.broadcast(table), ["stage", "class"], "left").withColumns({"target_state": state, "p_target": raised("p_full", F.lit(1.0)), "pk_target": raised("pk_full", for_location)})
+    return out.drop("p_full", "pk_full", "base")
 
 
 def alarm_threshold(k: int, alpha: float, enabled: int, confidence: float = 0.99) -> int:
@@ -78,8 +94,8 @@ def numbered(points: DataFrame) -> DataFrame:
     return with_position(rows, "series", "ord")
 
 
-def analyse(df: DataFrame, n: int, lsl: float, usl: float, rules: RuleSet = RuleSet(), alpha: float = ALPHA, stage: str = "production", cls: str = "major", model: str | None = None) -> DataFrame:
-    """One row per series of subgroups of n: alarms, stability, indices with limits, and the verdict on pk.
+def analyse(df: DataFrame, n: int, lsl: float, usl: float, rules: RuleSet = RuleSet(), alpha: float = ALPHA, stage: str = "production", cls: str = "major", model: str | None = None, bias_term: bool = False) -> DataFrame:
+    """One row per series of subgroups of n: alarms, stability, indices with limits, targets for the number of values, and the verdict on pk.
 
     An X-bar and s chart for five values and more, else X-bar and R. Values of
     incomplete subgroups count nowhere. Criteria that need sigma are for the
@@ -107,8 +123,8 @@ def analyse(df: DataFrame, n: int, lsl: float, usl: float, rules: RuleSet = Rule
     values = df.withColumn("own_label", (F.floor(F.col("pos") / n) + 1).cast("string")).join(whole, ["series", "own_label"], "left_semi")
     indices = index_intervals(capability(values, lsl, usl))
     stability = stability_class(F.col("stable"), model)
-    target = TARGETS[stage][cls][1]
-    joined = found.join(indices, "series").withColumn("stability", stability)
+    joined = with_targets(found.join(indices, "series").withColumns({"stability": stability, "stage": F.lit(stage), "class": F.lit(cls)}), bias_term=bias_term)
+    judged = F.when(F.col("pk_target").isNull(), F.col("target_state")).otherwise(verdict(F.col("pk"), F.col("pk_low"), F.col("pk_target")))
     return joined.select(
-        "series", "location_alarms", "variation_alarms", "threshold", "stable", "stability", index_name(stage, F.col("stability")).alias("index_name"), "n", "p", "pk", "pk_low", "pk_high", verdict(F.col("pk"), F.col("pk_low"), target).alias("verdict")
+        "series", "location_alarms", "variation_alarms", "threshold", "stable", "stability", index_name(stage, F.col("stability")).alias("index_name"), "n", "p", "pk", "pk_low", "pk_high", "p_target", "pk_target", "target_state", judged.alias("verdict")
     )

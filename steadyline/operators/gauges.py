@@ -45,24 +45,31 @@ def gauge_verdict(df: DataFrame, part: str, operator: str, tolerance: float | No
     p, o, r = x["p"], x["o"], x["r"]
     if p < 5 or o < 2 or not x["least"] or x["least"] < 2 or x["cells"] < p * o:
         raise ValueError("a crossed study needs 5 parts, 2 operators and 2 trials in every cell at least")
-    ms_p, ms_o = x["v_p"] * p * o * r / (p - 1), x["v_o"] * p * o * r / (o - 1)
-    df_i, df_e = (p - 1) * (o - 1), x["rows"] - x["cells"]
-    ss_i = max(0.0, (x["v_cell"] - x["v_p"] - x["v_o"]) * p * o * r)
-    ms_i, ms_e = ss_i / df_i, x["sse"] / df_e
-    if not ms_e > 0:
-        raise ValueError("the repeats do not vary: the resolution is too coarse")
-    chance = f_sf(ms_i / ms_e, df_i, df_e)
+    # Layers of the study: sum of squares, degrees of freedom, readings behind one of its levels.
+    layers = {
+        "part": (x["v_p"] * p * o * r, p - 1, o * r),
+        "operator": (x["v_o"] * p * o * r, o - 1, p * r),
+        "interaction": (max(0.0, (x["v_cell"] - x["v_p"] - x["v_o"]) * p * o * r), (p - 1) * (o - 1), r),
+        "repeat": (x["sse"], x["rows"] - x["cells"], 1),
+    }
+    squares = {name: ss / df for name, (ss, df, _) in layers.items()}
+    if not squares["repeat"] > 0:
+        raise ValueError("all trials of every cell agree, so their spread cannot be told")
+    chance = f_sf(squares["interaction"] / squares["repeat"], layers["interaction"][1], layers["repeat"][1])
     pooled = chance > POOLED_ABOVE
-    ev = (ss_i + x["sse"]) / (df_i + df_e) if pooled else ms_e
-    base = ev if pooled else ms_i
-    interaction = 0.0 if pooled else max(0.0, (ms_i - ms_e) / r)
-    av, pv = max(0.0, (ms_o - base) / (p * r)), max(0.0, (ms_p - base) / (o * r))
-    grr = ev + av + interaction
-    of_total, of_tolerance = 100 * math.sqrt(grr / (grr + pv)), 600 * math.sqrt(grr) / tolerance if tolerance else None
-    ndc = 1.41 * math.sqrt(pv / grr)
-    basis = of_total if of_tolerance is None else of_tolerance
-    verdict = "fail" if basis > conditional or ndc < 2 else "conditional" if basis > passes or ndc < classes else "pass"
-    row = (p, o, float(r), pooled, chance, ms_p, ms_o, ms_i, ms_e, *map(math.sqrt, (ev, av, interaction, grr, pv, grr + pv)), of_total, of_tolerance, ndc, verdict)
+    # What lies under parts and operators: the interaction, or with it pooled, all that is left.
+    joint = (layers["interaction"][0] + layers["repeat"][0]) / (layers["interaction"][1] + layers["repeat"][1])
+    under = joint if pooled else squares["interaction"]
+    excess = lambda name, floor: max(0.0, (squares[name] - floor) / layers[name][2])
+    gauge = [joint if pooled else squares["repeat"], excess("operator", under), 0.0 if pooled else excess("interaction", squares["repeat"])]
+    products = excess("part", under)
+    spreads = np.sqrt([*gauge, sum(gauge), products, sum(gauge) + products])
+    own, made, total = map(float, spreads[3:])
+    shares = [100 * own / total, None if tolerance is None else 600 * own / tolerance]
+    told_apart = 1.41 * made / own
+    # Each criterion names a grade; the worst counts.
+    grade = max(sum((shares[0] if tolerance is None else shares[1]) > limit for limit in (passes, conditional)), sum(told_apart < limit for limit in (2, classes)))
+    row = (p, o, float(r), pooled, chance, *squares.values(), *map(float, spreads), *shares, told_apart, ("pass", "conditional", "fail")[grade])
     names = "parts long, operators long, trials double, pooled boolean, interaction_p double, ms_parts double, ms_operators double, ms_interaction double, ms_error double"
     return df.sparkSession.createDataFrame([row], f"{names}, ev double, av double, interaction double, grr double, pv double, tv double, pct_tv double, pct_tol double, ndc double, verdict string")
 

@@ -13,9 +13,10 @@ from steadyline.operators import estimators as E
 from steadyline.operators import measurements as X
 from steadyline.operators import rules as R
 from steadyline.operators import sequential as S
+from steadyline.operators.measurements import with_position
 
 from .inputs import LOG, D, G, M, daily_errors, groups, mark_log, measurements, query, r, rounded, table
-from .tail_sql import f_tail, solved
+from .tail_sql import chi2_tail_large, f_tail, solved
 
 U = upper_u(ALPHA)
 
@@ -307,19 +308,66 @@ def stream_anova(spark, sf_dir):
     return rounded(S.stream_anova(rows, "day", "event_type"))
 
 
-@query(f"""WITH {G}, e AS (SELECT series, avg(mean) AS mu, avg(sd) AS sb, sqrt(avg(var)) AS sr FROM g GROUP BY series),
+def _with_targets_rounded(out):
+    """Four digits of the targets: those of the SQL come from integrals over lists."""
+    return rounded(out.withColumns({c: F.round(c, 4) for c in ("p_target", "pk_target")}))
+
+
+def _raised(rows: str, base: str) -> str:
+    """CTEs `sizes` and `solved` with the chi-square points of the sizes in `rows`, which has n and `base`, and of the base sizes."""
+    return f"""sizes AS (SELECT n, 0.9999 AS target FROM {rows} WHERE n < {base} AND n > 1 UNION SELECT {base}, 0.9999 FROM {rows}),
+{solved("sizes", "n", chi2_tail_large("x", "(n - 1)"))}"""
+
+
+def _study(m: str, lsl: float, usl: float, stage: str, cls: str, name: str) -> str:
+    base, (p, pk) = A.BASE_SIZE[stage], A.TARGETS[stage][cls]
+    width = "1.959963984540054 * sqrt(1 / (9 * n) + pk ^ 2 / (2 * (n - 1)))"
+    return f"""WITH RECURSIVE {m}{G.removeprefix(M)}, e AS (SELECT series, avg(mean) AS mu, avg(sd) AS sb, sqrt(avg(var)) AS sr FROM g GROUP BY series),
 x AS (SELECT g.series, count(*) AS n, count(*) FILTER (WHERE abs(mean - mu) > {_H!r} * sr) AS la, count(*) FILTER (WHERE sd > {_S[1]!r} * sr OR sd < {_S[0]!r} * sr) AS va FROM g JOIN e USING (series) GROUP BY g.series),
 t AS (SELECT k, min(i) FILTER (WHERE cdf >= 0.99) AS threshold FROM (SELECT k, i, sum(exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + i * ln({ALPHA!r}) + (k - i) * ln(1 - {ALPHA!r}))) OVER (PARTITION BY k ORDER BY i) AS cdf
   FROM (SELECT DISTINCT 2 * n AS k FROM x), range(60) r(i) WHERE i <= k) GROUP BY k),
 v AS (SELECT m.series, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS s FROM m JOIN g ON m.series = g.series AND m.pos // 5 = g.ord // 5 GROUP BY m.series),
-i AS (SELECT series, n, 145 / (6 * s) AS p, least((mean - 5) / (3 * s), (150 - mean) / (3 * s)) AS pk FROM v),
-c AS (SELECT *, pk - 1.959963984540054 * sqrt(1 / (9 * n) + pk ^ 2 / (2 * (n - 1))) AS pl, pk + 1.959963984540054 * sqrt(1 / (9 * n) + pk ^ 2 / (2 * (n - 1))) AS ph FROM i)
-SELECT series, la AS location_alarms, va AS variation_alarms, CAST(threshold AS INT) AS threshold, la + va <= threshold AS stable, CASE WHEN la + va <= threshold THEN 'unknown' ELSE 'unstable' END AS stability, 'Ppk' AS index_name,
-c.n, {r("p")}, {r("pk")}, {r("pl", "pk_low")}, {r("ph", "pk_high")}, CASE WHEN pk < 1.33 THEN 'fails' WHEN pl >= 1.33 THEN 'meets' ELSE 'meets_estimate_only' END AS verdict
-FROM x JOIN t ON t.k = 2 * x.n JOIN c USING (series)""")
+i AS (SELECT series, n, {usl - lsl} / (6 * s) AS p, least((mean - {lsl}) / (3 * s), ({usl} - mean) / (3 * s)) AS pk FROM v),
+c AS (SELECT *, pk - {width} AS pl, pk + {width} AS ph, {base} AS base FROM i),
+{_raised("c", "base")},
+w AS (SELECT c.*, CASE WHEN c.n >= base THEN 1 ELSE sqrt(b.x / (base - 1) / (o.x / (c.n - 1))) END AS f FROM c JOIN solved b ON b.n = base LEFT JOIN solved o ON o.n = c.n)
+SELECT series, la AS location_alarms, va AS variation_alarms, CAST(threshold AS INT) AS threshold, la + va <= threshold AS stable, CASE WHEN la + va <= threshold THEN 'unknown' ELSE 'unstable' END AS stability, '{name}' AS index_name,
+w.n, {r("p")}, {r("pk")}, {r("pl", "pk_low")}, {r("ph", "pk_high")}, {r(f"{p} * f", "p_target", 4)}, {r(f"{pk} * f", "pk_target", 4)}, CASE WHEN w.n >= base THEN 'table' ELSE 'raised' END AS target_state,
+CASE WHEN pk < {pk} * f THEN 'fails' WHEN pl >= {pk} * f THEN 'meets' ELSE 'meets_estimate_only' END AS verdict
+FROM x JOIN t ON t.k = 2 * x.n JOIN w USING (series)"""
+
+
+@query(_study(M, 5.0, 150.0, "production", "major", "Ppk"))
 def process_analysis(spark, sf_dir):
-    """The whole study of each series: chart, stability, indices, verdict."""
-    return rounded(A.analyse(measurements(spark, sf_dir), 5, 5.0, 150.0))
+    """The whole study of each series: chart, stability, indices, targets, verdict."""
+    return _with_targets_rounded(A.analyse(measurements(spark, sf_dir), 5, 5.0, 150.0))
+
+
+@query(_study("m AS (SELECT CAST(l_partkey AS VARCHAR) AS series, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS pos, l_quantity::DOUBLE AS value FROM lineitem)", -60.0, 110.0, "machine", "minor", "Pmk"))
+def small_machine_studies(spark, sf_dir):
+    """A study of each part's few values, against targets raised for their number."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("series"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + F.col("l_quantity").cast("long")).alias("line"), F.col("l_quantity").cast("double").alias("value"))
+    return _with_targets_rounded(A.analyse(with_position(rows, "series", "line"), 5, -60.0, 110.0, stage="machine", cls="minor"))
+
+
+_LINE_STUDIES = """s AS (SELECT l_partkey, CASE l_partkey % 3 WHEN 0 THEN 'machine' WHEN 1 THEN 'preliminary' ELSE 'production' END AS stage,
+  CASE l_partkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'major' WHEN 2 THEN 'minor' WHEN 3 THEN 'others' END AS class, count(*) AS n FROM lineitem GROUP BY l_partkey)"""
+_AGREED = ", ".join(f"('{stage}', '{c}', {p}, {pk}, {A.BASE_SIZE[stage]})" for stage, classes in A.TARGETS.items() for c, (p, pk) in classes.items())
+
+
+@query(f"""WITH RECURSIVE {_LINE_STUDIES}, a(stage, class, p, pk, base) AS (VALUES {_AGREED}), j AS (SELECT s.*, p, pk, base FROM s LEFT JOIN a USING (stage, class)), j2 AS (SELECT n, base FROM j WHERE base IS NOT NULL),
+{_raised("j2", "base")},
+w AS (SELECT j.*, CASE WHEN base IS NULL THEN 'unknown' WHEN j.n >= base THEN 'table' WHEN stage = 'machine' AND class = 'critical' OR j.n < 2 THEN 'too_few' ELSE 'raised' END AS target_state,
+  sqrt(b.x / (base - 1) / (o.x / (j.n - 1))) AS f, (1 + 1 / (2.0 * j.n)) / (1 + 1 / (2.0 * base)) AS g FROM j LEFT JOIN solved b ON b.n = base LEFT JOIN solved o ON o.n = j.n)
+SELECT l_partkey AS part, stage, class, n, target_state, round(CASE target_state WHEN 'table' THEN p WHEN 'raised' THEN p * f END, 4) AS p_target, round(CASE target_state WHEN 'table' THEN pk WHEN 'raised' THEN pk * f * g END, 4) AS pk_target FROM w""")
+def targets_by_size(spark, sf_dir):
+    """Targets for the lines of every part, by stage, class and number, with the bias term."""
+    k = F.col("l_partkey")
+    studies = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")).select(
+        k.alias("part"), F.element_at(F.array(*map(F.lit, A.TARGETS)), (k % 3 + 1).cast("int")).alias("stage"),
+        F.when(k % 5 < 4, F.element_at(F.array(*map(F.lit, A.TARGETS["machine"])), F.least(k % 5 + 1, F.lit(4)).cast("int"))).alias("class"), "n",
+    )
+    return rounded(A.with_targets(studies, bias_term=True), 4)
 
 
 def _vectors(spark, sf_dir):

@@ -54,20 +54,6 @@ def test_poisson_quantile_by_adding_up():
             assert N.poisson_ppf(p, mean) == k
 
 
-@pytest.mark.parametrize(("n", "p", "pk"), [(45, 2.06, 1.72), (40, 2.13, 1.78), (35, 2.22, 1.86), (30, 2.35, 1.96)])
-def test_targets_of_small_machine_studies(n, p, pk):
-    from steadyline.operators.analysis import required_targets
-
-    assert [round(x, 2) for x in required_targets("machine", "major", n)] == [p, pk]
-
-
-def test_critical_machine_study_needs_its_parts():
-    from steadyline.operators.analysis import required_targets
-
-    with pytest.raises(ValueError, match="50 parts"):
-        required_targets("machine", "critical", 40)
-
-
 def test_size_of_a_mean():
     for shift, arl in ((1.0, 2.0), (0.5, 5.0), (2.0, 1.05)):
         n = N.mean_size(shift, arl)

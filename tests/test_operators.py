@@ -168,3 +168,46 @@ def test_lots_and_restarts_by_counting(spark):
     starts = spark.createDataFrame([("s", 5, False), ("s", 100_000, True)], "series string, pos long, new_phase boolean")
     rows = measurements.with_segments(points.select("series", "pos", "value"), starts)
     assert {(r["segment"], r["phase"]): r["n"] for r in rows.groupBy("segment", "phase").agg(F.count("*").alias("n")).collect()} == {(0, 0): 5, (1, 0): 99_995, (2, 1): 100_000}
+
+
+@pytest.mark.parametrize(("stage", "cls", "n", "p", "pk"), [("machine", "major", 45, 2.06, 1.72), ("machine", "major", 40, 2.13, 1.78), ("machine", "major", 35, 2.22, 1.86), ("machine", "major", 30, 2.35, 1.96), ("preliminary", "critical", 75, 2.18, 1.82), ("production", "critical", 125, 1.67, 1.67)])
+def test_targets_of_small_studies(spark, stage, cls, n, p, pk):
+    from steadyline.operators.analysis import with_targets
+
+    got = with_targets(spark.createDataFrame([(stage, cls, n)], "stage string, class string, n long")).first()
+    assert abs(got["p_target"] - p) < 0.006 and abs(got["pk_target"] - pk) < 0.006 and got["target_state"] == ("raised" if n < 125 and stage != "production" else "table")
+
+
+def test_targets_that_there_are_not(spark):
+    from steadyline.operators.analysis import with_targets
+
+    rows = [("machine", "critical", 40), ("machine", "critical", 50), ("machine", "major", 1), ("other", "major", 60), (None, "major", 60), ("machine", None, 60), ("machine", "major", None)]
+    studies = spark.createDataFrame(rows, "stage string, class string, n long")
+    got = {(x["stage"], x["class"], x["n"]): (x["target_state"], x["pk_target"]) for x in with_targets(studies).collect()}
+    assert got == {rows[0]: ("too_few", None), rows[1]: ("table", 2.0), rows[2]: ("too_few", None), rows[3]: ("unknown", None), rows[4]: ("unknown", None), rows[5]: ("unknown", None), rows[6]: ("unknown", None)}
+    assert with_targets(studies.limit(0)).count() == 0
+    more = with_targets(studies.filter("n = 50"), agreed={"machine": {"critical": (3.0, 2.5)}}).first()
+    assert (more["p_target"], more["pk_target"]) == (3.0, 2.5)
+
+
+@pytest.mark.parametrize("effect", [0.0, 3.0])
+def test_gauge_components_by_hand(spark, effect):
+    """Balanced cells, once without and once with an interaction, against sums of squares from plain loops."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(p, o, 5.0 * p + o + effect * ((p * o) % 3) + rng.gauss(0, 1)) for p in range(6) for o in range(3) for _ in range(2)]
+    got = gauges.gauge_verdict(spark.createDataFrame(rows, "part int, op int, value double"), "part", "op").first()
+    mean = lambda keep: (lambda v: sum(v) / len(v))([x[2] for x in rows if keep(x)])
+    m, mp, mo = mean(lambda x: True), [mean(lambda x, p=p: x[0] == p) for p in range(6)], [mean(lambda x, o=o: x[1] == o) for o in range(3)]
+    cell = {(p, o): mean(lambda x, p=p, o=o: x[:2] == (p, o)) for p in range(6) for o in range(3)}
+    ss_i = 2 * sum((cell[p, o] - mp[p] - mo[o] + m) ** 2 for p, o in cell)
+    ss_e = sum((x[2] - cell[x[:2]]) ** 2 for x in rows)
+    ms_p, ms_o, ms_i, ms_e = 6 * sum((a - m) ** 2 for a in mp) / 5, 12 * sum((a - m) ** 2 for a in mo) / 2, ss_i / 10, ss_e / 18
+    pooled = effect == 0.0
+    ev2 = (ss_i + ss_e) / 28 if pooled else ms_e
+    low = ev2 if pooled else ms_i
+    grr2 = ev2 + max(0, (ms_o - low) / 12) + (0 if pooled else max(0, (ms_i - ms_e) / 2))
+    assert got["pooled"] == pooled
+    for name, want in {"ms_parts": ms_p, "ms_operators": ms_o, "ms_interaction": ms_i, "ms_error": ms_e, "ev": ev2**0.5, "grr": grr2**0.5, "pv": max(0, (ms_p - low) / 6) ** 0.5}.items():
+        assert abs(got[name] - want) < 1e-9 * max(1, want), name
