@@ -9,6 +9,11 @@ the rates at that level scatter. A host is blocked when the upper bound of its
 reputation (mean and `Z` standard deviations of the posterior) stays under
 `min_good`.
 
+A page's outcome is its content's: a histogram classifier, fitted on labelled
+texts, gives each cell of (share of symbols, share of capitals) its rate of good
+ones, and a page is good if the cell of its visible text is. A word of a stated
+list in the URL makes a page bad whatever it holds.
+
 User names and ports do not count for reputation. An IP address is a registered
 domain of its own. Suffixes of two labels are data, see `SUFFIXES`.
 """
@@ -35,7 +40,7 @@ SUFFIXES = (
     "ac.il co.il gov.il net.il org.il com.ua edu.ua gov.ua net.ua org.ua com.pl edu.pl gov.pl net.pl org.pl"
 ).split()
 #: Words in a URL that make a page an unwanted one.
-UNWANTED = "bet bets betting casino jackpot lottery pharma pills poker porn slots viagra xxx".split()
+UNWANTED = "adult bet bets betting casino jackpot lottery pharma pills poker porn slots spam viagra xxx".split()
 
 
 def url_host(url: Column) -> Column:
@@ -82,6 +87,46 @@ def wanted(url: Column) -> Column:
     return 1 - F.coalesce(F.lower(url), F.lit("")).rlike(rf"(^|[^a-z0-9])({'|'.join(UNWANTED)})([^a-z0-9]|$)").cast("long")
 
 
+#: What is no visible text: scripts, styles, comments, tags.
+MARKUP = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>"
+#: Signs that prose has little of.
+SYMBOLS = r"[#$%&*+<=>@\\^_`{|}~]"
+#: Bounds of the cells, in parts of a thousand of a text's characters (symbols) and of its letters A-Z (capitals).
+SYMBOL_STEPS, CAPITAL_STEPS = (2, 10, 50), (100, 300, 600)
+
+
+def visible(html: Column) -> Column:
+    """The text of a page: markup becomes blanks, `&amp;`, `&lt;` and `&gt;` one sign, other entities one letter."""
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), MARKUP, " ")
+    return F.regexp_replace(F.regexp_replace(text, "&(amp|lt|gt);", "&"), "&#?[A-Za-z0-9]{2,8};", "e")
+
+
+def _cell(text: Column) -> Column:
+    """The cell of a text, by whole numbers alone; null for a text of blanks or none."""
+    gone = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    symbols, capitals, letters, inked = gone(SYMBOLS), gone("[A-Z]"), gone("[A-Za-z]"), gone("[^ \\t\\r\\n]")
+    steps = lambda part, whole, bounds: sum(((1000 * part > b * whole).cast("int") for b in bounds), F.lit(0))
+    return F.when(inked > 0, steps(symbols, inked, SYMBOL_STEPS) * (len(CAPITAL_STEPS) + 1) + steps(capitals, letters, CAPITAL_STEPS))
+
+
+def content_outcomes(pages: DataFrame, texts: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id, good): what each page's content and URL say of it. texts: (text, quality 0/1), labelled.
+
+    A cell is good if at least half of its labelled texts are, counted with one
+    more of either kind; so is one that no labelled text fell into. A page without
+    visible text has a null outcome, unless its URL has an unwanted word. Texts
+    without a label or without a visible character count nothing; repeated rows
+    count each time. The fitted table has a row per cell, 16 at most.
+    """
+    text, quality = (F.col(c) for c in texts.columns[:2])
+    rates = texts.select(_cell(text).alias("cell"), quality.cast("int").alias("quality")).filter("cell is not null and quality is not null")
+    rates = rates.groupBy("cell").agg((2 * (F.sum("quality") + 1) >= F.count("*") + 2).cast("long").alias("cell_good"))
+    judged = pages.select(F.col(id_col).alias("id"), _cell(visible(F.col(html_col))).alias("cell"), wanted(F.col(url_col)).alias("wanted"))
+    joined = judged.join(F.broadcast(rates), "cell", "left")
+    good = F.when(F.col("wanted") == 0, F.lit(0)).when(F.col("cell").isNotNull(), F.coalesce("cell_good", F.lit(1)))
+    return joined.select("id", good.cast("long").alias("good"))
+
+
 def _shrunk(level: DataFrame, key: str, parent: str) -> DataFrame:
     """level: (key, good, n, mean_parent). Adds strength and the posterior's a, b and mean.
 

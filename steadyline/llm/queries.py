@@ -15,14 +15,10 @@ PIECE_VOCAB = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled are the pages whose ids `labels` has; a page's outcome is its own: bad where its URL has an unwanted word.
-
-    The label's own columns speak of the document with that id, which has
-    nothing to do with the page.
-    """
+    """Outcomes are the pages' own: their visible text by a model that `documents` with `labels` fit, and unwanted words of the URL."""
     pages = table(spark, sf_dir, "pages")
-    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id")).distinct()
-    return hosts.judge_urls(pages, pages.join(labelled, "page_id").select("page_id", hosts.wanted(F.col("url")).alias("good")))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return hosts.judge_urls(pages, hosts.content_outcomes(pages, texts.select("text", "quality")).distinct())
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,14 +101,26 @@ def _shrink(level: str, key: str, parent: str) -> str:
     {key}_p AS (SELECT l.*, good + strength * {parent} AS a, n - good + strength * (1 - {parent}) AS b, (good + strength * {parent}) / (n + strength) AS mean_{key} FROM {level} l, {key}_s)"""
 
 
+def _cell(text: str) -> str:
+    """SQL of a text's cell."""
+    gone = lambda pattern: f"(length({text}) - length(regexp_replace({text}, '{pattern}', '', 'g')))"
+    steps = lambda part, whole, bounds: "(" + " + ".join(f"CAST(1000 * {part} > {b} * {whole} AS INT)" for b in bounds) + ")"
+    inked = gone(r"[^ \t\r\n]")
+    cell = f"{steps(gone(hosts.SYMBOLS), inked, hosts.SYMBOL_STEPS)} * {len(hosts.CAPITAL_STEPS) + 1} + {steps(gone('[A-Z]'), gone('[A-Za-z]'), hosts.CAPITAL_STEPS)}"
+    return f"CASE WHEN {inked} > 0 THEN {cell} END"
+
+
 ORACLE_SQL = {
     "op1_url_filter": f"""
 WITH parsed AS (
   SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), {_LOWER}) AS host,
          regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 placed AS (SELECT *, regexp_replace(split_part(host, '@', -1), ':[0-9]*$', '') AS site FROM parsed),
-bad AS (SELECT DISTINCT page_id, CAST(NOT regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9])({"|".join(hosts.UNWANTED)})([^a-z0-9]|$)') AS INT) AS good
-        FROM pages WHERE page_id IN (SELECT doc_id FROM labels)),
+docs AS (SELECT text, quality FROM documents JOIN labels USING (doc_id)),
+shown AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{hosts.MARKUP}', ' ', 'g'), '&(amp|lt|gt);', '&', 'g'), '&#?[A-Za-z0-9]{{2,8}};', 'e', 'g') AS text FROM pages),
+rates AS (SELECT cell, 2 * (sum(quality) + 1) >= count(*) + 2 AS cell_good FROM (SELECT {_cell("text")} AS cell, quality FROM docs) WHERE cell IS NOT NULL AND quality IS NOT NULL GROUP BY cell),
+bad AS (SELECT DISTINCT page_id, CASE WHEN regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9])({"|".join(hosts.UNWANTED)})([^a-z0-9]|$)') THEN 0 WHEN cell IS NOT NULL THEN CAST(coalesce(cell_good, true) AS INT) END AS good
+        FROM (SELECT page_id, url, {_cell("text")} AS cell FROM shown) LEFT JOIN rates USING (cell)),
 marked AS (SELECT site, good FROM placed LEFT JOIN bad USING (page_id)),
 counted AS (SELECT site, coalesce(sum(good), 0)::DOUBLE AS good, count(good)::DOUBLE AS n FROM marked GROUP BY site),
 cut AS (SELECT *, regexp_matches(site, '^([0-9.]+|\\[.*\\]?)$') AS address, string_split(site, '.') AS parts, array_to_string(list_slice(string_split(site, '.'), -2, -1), '.') AS two FROM counted),

@@ -110,12 +110,41 @@ def test_bad_host_is_blocked(spark):
     assert {h for h, v in got if v == "block"} == {"bad.site.org"}
 
 
+JUNK, PROSE = "Of%%% that*** thing### and$$$ the&&& rest", "Of that thing and the rest, as it was."
+
+
+def test_host_of_bad_content_is_blocked(spark):
+    """Its name says nothing; what labelled texts of its kind were worth does."""
+    i = F.col("id")
+    bad = (i < 40) & (i % 10 > 0)
+    url = F.when(i < 40, F.concat(F.lit("http://quiet.place.org/"), i)).otherwise(F.concat(F.lit("http://h"), i % 7, F.lit(".fine.org/"), i))
+    html = F.concat(F.lit("<html><script>var t='%%%%%%%%%%%%';</script><!-- $$$ --><p class='a'>"), F.when(bad, JUNK).otherwise(PROSE), F.lit("</p>"))
+    pages = spark.range(400).select(i.alias("page_id"), url.alias("url"), html.alias("html"), F.lit(1).alias("good"), F.lit(2).alias("cell"))
+    texts = spark.range(60).select(F.when(i % 3 == 0, JUNK).otherwise(PROSE).alias("text"), F.when(i % 20 == 0, None).otherwise((i % 3 > 0).cast("int")).alias("quality"))
+    outcomes = hosts.content_outcomes(pages, texts)
+    assert {(r["id"], r["good"]) for r in outcomes.collect()} == {(k, int(not (k < 40 and k % 10 > 0))) for k in range(400)}
+    judged = hosts.judge_urls(pages, outcomes).collect()
+    assert {r["page_id"] for r in judged if r["verdict"] == "block"} == set(range(40))
+
+
+def test_outcomes_of_odd_pages(spark):
+    rows = [(1, None, None), (2, None, "<p> </p>"), (3, "http://a.org/poker", "<p>"), (4, "http://a.org", PROSE), (4, "http://a.org", PROSE), (5, "http://a.org", "STOP &amp; STOP &amp; STOP"), (6, "http://a.org", "&Uuml;ber " * 200_000), (None, "http://a.org", JUNK)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = spark.createDataFrame([(JUNK, 0), (JUNK, 0), (JUNK, 0), (PROSE, 1), (PROSE, 0), (None, 0), ("", 0), (PROSE, None)], "text string, quality int")
+    got = sorted(((r["id"] or 0, r["good"]) for r in hosts.content_outcomes(pages, texts).collect()), key=str)
+    # A cell with one good text of two is good; the cell of capitals and signs has no text and is good.
+    assert got == sorted([(1, None), (2, None), (3, 0), (4, 1), (4, 1), (5, 1), (6, 1), (0, 0)], key=str)
+    assert [r["good"] for r in hosts.content_outcomes(pages.filter("page_id = 4"), texts.limit(0)).collect()] == [1, 1]
+    assert hosts.content_outcomes(pages.limit(0), texts).count() == 0
+
+
 def test_reputation_decides_in_the_query(spark, tmp_path):
-    """Unlabelled pages of a site with unwanted pages are blocked for their host, and no others but by rule."""
+    """Pages of a site with unwanted pages are blocked for their host, and no others but by rule; a page without visible text has no outcome else."""
     i = F.col("id")
     url = F.when(i < 80, F.concat(F.lit("http://www.lucky-casino.org/p/"), i)).when(i < 110, F.concat(F.lit("http://plain.net/es/"), i)).otherwise(F.concat(F.lit("http://h"), i % 7, F.lit(".fine.org/a/"), i))
     spark.range(600).select(i.alias("page_id"), url.alias("url"), F.lit("<p>").alias("html")).write.parquet(str(tmp_path / "pages.parquet"))
-    spark.range(0, 600, 2).select(i.alias("doc_id")).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.range(0, 600, 2).select(i.alias("doc_id"), F.lit(1).alias("quality")).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.range(600).select(i.alias("doc_id"), F.lit("plain words").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.op1_url_filter(spark, str(tmp_path)).collect()
     assert {r["page_id"] for r in got if r["verdict"] == "block"} == set(range(110))
     assert {r["rule"] for r in got if r["page_id"] < 80} == {None} and any(r["page_id"] % 2 for r in got if r["verdict"] == "block" and r["rule"] is None)
