@@ -101,12 +101,13 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "&(amp|lt|gt);", "&"), "&#?[A-Za-z0-9]{2,8};", "e")
 
 
-def _cell(text: Column) -> Column:
-    """The cell of a text, by whole numbers alone; null for a text of blanks or none."""
-    gone = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-    symbols, capitals, letters, inked = gone(SYMBOLS), gone("[A-Z]"), gone("[A-Za-z]"), gone("[^ \\t\\r\\n]")
-    steps = lambda part, whole, bounds: sum(((1000 * part > b * whole).cast("int") for b in bounds), F.lit(0))
-    return F.when(inked > 0, steps(symbols, inked, SYMBOL_STEPS) * (len(CAPITAL_STEPS) + 1) + steps(capitals, letters, CAPITAL_STEPS))
+def _with_cell(rows: DataFrame) -> DataFrame:
+    """rows: `text` and others. The cell in place of the text, by whole numbers alone; null for a text of blanks or none. Each count is a column, so that it is made once."""
+    gone = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
+    counted = rows.withColumns({"symbols": gone(SYMBOLS), "capitals": gone("[A-Z]"), "letters": gone("[A-Za-z]"), "inked": gone("[^ \\t\\r\\n]")})
+    steps = lambda part, whole, bounds: sum(((1000 * F.col(part) > b * F.col(whole)).cast("int") for b in bounds), F.lit(0))
+    cell = F.when(F.col("inked") > 0, steps("symbols", "inked", SYMBOL_STEPS) * (len(CAPITAL_STEPS) + 1) + steps("capitals", "letters", CAPITAL_STEPS))
+    return counted.withColumn("cell", cell).drop("text", "symbols", "capitals", "letters", "inked")
 
 
 def content_outcomes(pages: DataFrame, texts: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -119,9 +120,9 @@ def content_outcomes(pages: DataFrame, texts: DataFrame, id_col: str = "page_id"
     count each time. The fitted table has a row per cell, 16 at most.
     """
     text, quality = (F.col(c) for c in texts.columns[:2])
-    rates = texts.select(_cell(text).alias("cell"), quality.cast("int").alias("quality")).filter("cell is not null and quality is not null")
+    rates = _with_cell(texts.select(text.alias("text"), quality.cast("int").alias("quality")).filter("quality is not null")).filter("cell is not null")
     rates = rates.groupBy("cell").agg((2 * (F.sum("quality") + 1) >= F.count("*") + 2).cast("long").alias("cell_good"))
-    judged = pages.select(F.col(id_col).alias("id"), _cell(visible(F.col(html_col))).alias("cell"), wanted(F.col(url_col)).alias("wanted"))
+    judged = _with_cell(pages.select(F.col(id_col).alias("id"), visible(F.col(html_col)).alias("text"), wanted(F.col(url_col)).alias("wanted")))
     joined = judged.join(F.broadcast(rates), "cell", "left")
     good = F.when(F.col("wanted") == 0, F.lit(0)).when(F.col("cell").isNotNull(), F.coalesce("cell_good", F.lit(1)))
     return joined.select("id", good.cast("long").alias("good"))
