@@ -88,7 +88,7 @@ def wanted(url: Column) -> Column:
 
 
 #: What is no visible text: scripts, styles, comments, tags.
-MARKUP = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>"
+MARKUP = r"(?is)<(?:script[^>]*>.*?</script|style[^>]*>.*?</style|!--.*?--|[^>]*)>"
 #: Signs that prose has little of.
 SYMBOLS = r"[#$%&*+<=>@\\^_`{|}~]"
 #: Bounds of the cells, in parts of a thousand of a text's characters (symbols) and of its letters A-Z (capitals).
@@ -102,8 +102,8 @@ def visible(html: Column) -> Column:
 
 
 def _with_cell(rows: DataFrame) -> DataFrame:
-    """rows: `text` and others. The cell in place of the text, by whole numbers alone; null for a text of blanks or none. Each count is a column, so that it is made once."""
-    gone = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
+    """rows: `text` and others. The cell in place of the text, by whole numbers alone; null for a text of blanks or none. Each count is a column, so that it is made once, and runs of characters go at once."""
+    gone = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern + "+", ""))
     counted = rows.withColumns({"symbols": gone(SYMBOLS), "capitals": gone("[A-Z]"), "letters": gone("[A-Za-z]"), "inked": gone("[^ \\t\\r\\n]")})
     steps = lambda part, whole, bounds: sum(((1000 * F.col(part) > b * F.col(whole)).cast("int") for b in bounds), F.lit(0))
     cell = F.when(F.col("inked") > 0, steps("symbols", "inked", SYMBOL_STEPS) * (len(CAPITAL_STEPS) + 1) + steps("capitals", "letters", CAPITAL_STEPS))
