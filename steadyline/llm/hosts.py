@@ -110,8 +110,20 @@ def _with_cell(rows: DataFrame) -> DataFrame:
     return counted.withColumn("cell", cell).drop("text", "symbols", "capitals", "letters", "inked")
 
 
+def labelled_cells(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """(cell, quality): a row for each document and label of one id. A task turns its texts into cells before the join, which moves ids and small numbers alone."""
+    cells = _with_cell(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return cells.join(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("quality")), "id").select("cell", "quality")
+
+
 def content_outcomes(pages: DataFrame, texts: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, good): what each page's content and URL say of it. texts: (text, quality 0/1), labelled.
+    """`cell_outcomes` of texts: (text, quality 0/1), labelled."""
+    text, quality = (F.col(c) for c in texts.columns[:2])
+    return cell_outcomes(pages, _with_cell(texts.select(text.alias("text"), quality.cast("int").alias("quality"))), id_col, url_col, html_col)
+
+
+def cell_outcomes(pages: DataFrame, cells: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id, good): what each page's content and URL say of it. cells: (cell, quality 0/1) of labelled texts.
 
     A cell is good if at least half of its labelled texts are, counted with one
     more of either kind; so is one that no labelled text fell into. A page without
@@ -119,8 +131,7 @@ def content_outcomes(pages: DataFrame, texts: DataFrame, id_col: str = "page_id"
     without a label or without a visible character count nothing; repeated rows
     count each time. The fitted table has a row per cell, 16 at most.
     """
-    text, quality = (F.col(c) for c in texts.columns[:2])
-    rates = _with_cell(texts.select(text.alias("text"), quality.cast("int").alias("quality")).filter("quality is not null")).filter("cell is not null")
+    rates = cells.filter("quality is not null and cell is not null")
     rates = rates.groupBy("cell").agg((2 * (F.sum("quality") + 1) >= F.count("*") + 2).cast("long").alias("cell_good"))
     judged = _with_cell(pages.select(F.col(id_col).alias("id"), visible(F.col(html_col)).alias("text"), wanted(F.col(url_col)).alias("wanted")))
     joined = judged.join(F.broadcast(rates), "cell", "left")

@@ -17,8 +17,8 @@ PIECE_VOCAB = public_tokenizers.path("piece_bpe_32k.model")
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are the pages' own: their visible text by a model that `documents` with `labels` fit, and unwanted words of the URL."""
     pages = table(spark, sf_dir, "pages")
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return hosts.judge_urls(pages, hosts.content_outcomes(pages, texts.select("text", "quality")).distinct())
+    cells = hosts.labelled_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return hosts.judge_urls(pages, hosts.cell_outcomes(pages, cells).distinct())
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +152,25 @@ def test_reputation_decides_in_the_query(spark, tmp_path):
     assert {r["rule"] for r in got if r["page_id"] < 80} == {None}
 
 
+def test_labels_meet_cells_not_texts(spark, tmp_path, monkeypatch):
+    """Where labels are too many to broadcast, the shuffle has no text; null texts and labels, repeated and missing ids count as they did."""
+    docs = [(1, JUNK), (1, JUNK), (2, JUNK), (3, PROSE), (4, PROSE), (5, None), (6, ""), (None, JUNK), (8, JUNK)]
+    labels = [(1, 0), (2, 0), (2, 1), (3, 1), (4, 0), (5, 0), (6, 0), (None, 1), (8, None), (9, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None, JUNK), (2, None, PROSE), (3, None, None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(hosts, "judge_urls", lambda pages, outcomes: outcomes)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        outcomes = queries.op1_url_filter(spark, str(tmp_path))
+        plan = outcomes._jdf.queryExecution().explainString(outcomes._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert {(r["id"], r["good"]) for r in outcomes.collect()} == {(1, 0), (2, 1), (3, None)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert len(moved) >= 3 and not [m for m in moved if re.search(r"\b(text|html)#", m)]
+
+
 def test_sites_and_domains(spark):
     urls = ["u:p@Shop.A.co.uk:8080", "other.co.uk", "10.0.0.1:80", "a.b.example.org", "localhost", "", "[::1]:9", "co.uk"]
     got = spark.createDataFrame([(u,) for u in urls], "host string").select(hosts.site_of(hosts.ascii_lower(F.col("host"))).alias("s")).select("s", hosts.domain_of(F.col("s")), hosts.suffix_of(F.col("s"))).collect()
