@@ -372,6 +372,46 @@ def test_pivots_skip_postings():
     assert shard.read < 0.95 * shard.all
 
 
+@pytest.mark.parametrize("group", [1, 40])
+def test_best_of_many_blocks(group, monkeypatch):
+    """One by one or in groups: the best of all scores, though the threshold rises over more blocks than are looked at together."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(search, "PIVOTS", 2)
+    monkeypatch.setattr(search, "MATRIX_WORDS", 30)
+    n, words = 3000, 400
+    each = [np.sort(rng.choice(words, rng.integers(0, 60), replace=False, p=(p := 1 / np.arange(3, words + 3)) / p.sum())).astype(np.int32) for _ in range(n)]
+    terms, sizes = np.concatenate(each), np.array([len(e) for e in each])
+    freqs = rng.integers(1, 5, len(terms)).astype(np.int32)
+    doc, df = np.repeat(np.arange(n), sizes), np.bincount(terms, minlength=words)
+    lengths = np.bincount(doc, freqs, n).astype(np.int64)
+    weight = np.log1p((n - df + 0.5) / (df + 0.5))[terms] * freqs * 2.2 / (freqs + 1.2 * (0.25 + 0.75 * lengths[doc] / lengths.mean()))
+    shard = search.Shard(np.arange(n), sizes, terms, freqs, lengths, df, n, lengths.mean())
+    asked = [(terms[doc == q], freqs[doc == q].astype(float)) for q in range(0, n, 15) if sizes[q]]
+    monkeypatch.setattr(search, "TOGETHER", group)
+    best = [(np.array([30.0, 20.0, 10.0]), np.array([n, n + 1, n + 2]))] * len(asked)
+    found = {}
+    for places in shard.groups([t for t, _ in asked]):
+        assert len(places) <= group
+        some, before = [asked[i] for i in places], [best[i] for i in places]
+        found |= dict(zip(places, shard.together(some, 5, before) if group > 1 else [shard.top(*some[0], 5, *before[0])], strict=True))
+    for (own, times), (scores, ids) in zip(asked, (found[i] for i in range(len(asked))), strict=True):
+        query = np.zeros(words)
+        query[own] = times
+        every = np.r_[np.bincount(doc, weight * query[terms], n), 30.0, 20.0, 10.0]
+        want = np.lexsort((np.arange(n + 3), -every))[:5]
+        assert np.allclose(scores, every[want]) and np.allclose(every[ids], every[want])
+
+
+def test_groups_are_bounded(monkeypatch):
+    """Many short documents: matrices and groups shrink, so that no array has more cells than stated."""
+    monkeypatch.setattr(search, "CELLS", 1000)
+    n = 320
+    shard = search.Shard(np.arange(n), np.ones(n, int), np.arange(n, dtype=np.int32) % 7, np.ones(n, np.int32), np.ones(n, np.int64), np.bincount(np.arange(n) % 7), n, 1.0)
+    assert shard._matrices()[1].size <= 1000 and max(map(len, shard.groups([np.array([3])] * 10))) == 3
+    (scores, ids), = shard.together([(np.array([3]), np.ones(1))], 4, [(np.zeros(0), np.zeros(0, np.int64))])
+    assert ids.tolist() == [3, 10, 17, 24] and len(set(scores)) == 1
+
+
 def test_templates_and_slots(spark):
     filler = "some other words that come before the question and are of no concern here"
     items = ["The train to Paris runs at 80 km per hour and Anna leaves home at 80 minutes past the hour today", "count the red marbles that Tom keeps in boxes of twelve before he gives them all away"]
