@@ -31,6 +31,18 @@ STRENGTH = 200.0
 MAX_LANGUAGES = 2000
 
 
+class Numbers(dict):
+    """Words by number, in order of their first look-up: one look-up finds a word or makes it `new`."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 def _words(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
@@ -98,7 +110,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, logs = pieces(vocab), shared.value
-        seen: dict[str, int] = {}
+        seen = Numbers()
         scores = np.zeros((0, len(langs)))
         for batch in batches:
             found, sure = [], []
@@ -106,19 +118,20 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str,
             for first in range(0, len(texts), 256):
                 some = [_words(t.as_py() or "") for t in texts[first : first + 256]]
                 if len(seen) > REMEMBERED:
-                    seen, scores = {}, scores[:0]
-                if langs and (new := list({w for ws in some for w in ws if w not in seen})):
-                    seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
+                    seen, scores = Numbers(), scores[:0]
+                places = [np.fromiter(map(seen.__getitem__, words), np.int64, len(words)) for words in some] if langs else []
+                if new := seen.new:
                     values = own.forward([START + w for w in new], logs)
                     if len(seen) > len(scores):  # room for as many again
                         scores = np.concatenate([scores, np.zeros((len(seen), len(langs)))])
                     scores[len(seen) - len(new) : len(seen)] = values
-                for words in some:
+                    seen.new = []
+                for at, words in enumerate(some):
                     if not langs or not any(c.isalpha() for w in words for c in w):
                         found.append(UNDETERMINED)
                         sure.append(0.0)
                         continue
-                    total = scores[list(map(seen.__getitem__, words))].sum(axis=0)
+                    total = scores[places[at]].sum(axis=0)
                     best = int(total.argmax())
                     found.append(langs[best])
                     sure.append(float(1 / np.exp(total - total[best]).sum()))

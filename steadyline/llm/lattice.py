@@ -61,18 +61,24 @@ class Pieces:
 
     def spans(self, words: list[str], n: int):
         """Spans (i, j, rows, ids) in order of j, then i: the words' rows in which it is a piece; byte ids for a character that is none."""
-        flat = np.fromiter(chain.from_iterable(self.automaton.iter("\n".join(words))), np.int64).reshape(-1, 2)
-        rows, j = np.divmod(flat[:, 0], n + 1)
-        j, size, ids = j + 1, flat[:, 1] & 0xFF, flat[:, 1] >> 8
-        i = j - size
-        order = np.lexsort((i, j))
-        i, j, rows, ids = i[order], j[order], rows[order], ids[order]
+        flat = np.fromiter(chain.from_iterable(self.automaton.iter("\n".join(words))), np.int64)
+        ends, values = flat[::2].astype(np.int32), flat[1::2].astype(np.int32)
+        rows = ends // (n + 1)
+        j, size = ends - rows * (n + 1) + 1, values & 0xFF
+        # One number for (j, i), small for most words: sorting 16 bits takes a pass or two.
+        key = j.astype(np.int64) * (n + 1) + (j - size)
+        if (n + 1) ** 2 <= 1 << 16:
+            key = key.astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+        key, rows, ids = key[order], rows[order], (values >> 8)[order]
         found = []
-        cuts = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True]) if len(i) else []
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            found.append((int(i[s]), int(j[s]), rows[s:e], ids[s:e]))
         single = np.zeros((len(words), n), bool)
-        single[rows[j - i == 1], i[j - i == 1]] = True
+        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            j, i = divmod(int(key[s]), n + 1)
+            found.append((i, j, rows[s:e], ids[s:e]))
+            if j - i == 1:
+                single[rows[s:e], i] = True
         for r, at in zip(*np.nonzero(~single), strict=True):
             found.append((int(at), int(at) + 1, np.array([r]), self.byte_ids[list(words[r][at].encode())][None]))
         return sorted(found, key=lambda x: (x[1], x[0]))

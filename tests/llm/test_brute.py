@@ -313,6 +313,21 @@ def test_lm_base_score(spark, docs):
     assert got.n_known.tolist() == [sum(w in counts for w in words(t)) + 1 for t in docs.text]
 
 
+def test_long_words_and_one_look_up():
+    """Spans are sorted by numbers of 16 bits up to 255 characters, by larger ones beyond; a word is looked up once and is new once."""
+    own = pieces(queries.PIECE_VOCAB)
+    logs = np.log(np.maximum(own.prior, 1e-300))
+    for n in (1, 254, 255, 256, 400):
+        word = "▁" + ("straßenübergang\U0001f600" * 40)[: n - 1]
+        (got,), = own.forward([word], logs[:, None])
+        assert np.isclose(got, lattice(own, word, logs)[0])
+    word = "▁" + "xyx" * 20_000
+    spans = own.spans([word], len(word))
+    assert spans == sorted(spans, key=lambda x: (x[1], x[0])) and all(own.ids[word[i:j]] == ids[0] for i, j, _, ids in spans) and {j for _, j, _, _ in spans} == set(range(1, len(word) + 1))
+    seen = langid.Numbers()
+    assert [seen[w] for w in "b a b c a".split()] == [0, 1, 0, 2, 1] and seen.new == ["b", "a", "c"]
+
+
 def bm25(bags, query, k=10):
     """All documents' scores, and the ids of the k best."""
     n, mean = len(bags), sum(c.total() for c in bags.values()) / len(bags)
