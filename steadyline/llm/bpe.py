@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import model, release
+from .common import in_pieces, model, release
 
 END = "</w>"
 #: Words, and chunks between blanks, in each half of a worker's memory of their ids.
@@ -278,7 +278,7 @@ def tokenized(docs: DataFrame, path: str, text_col: str = "text", into: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tables(path)
-        for batch in batches:
+        for batch in in_pieces(batches):
             ids, digests = [], []
             for text in batch.column(0).field(text_col).cast(pa.binary()):
                 ids.append(bpe.encode(text.as_py() or b""))

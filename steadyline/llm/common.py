@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
@@ -64,13 +64,27 @@ def model(make: Callable[[str], M], path: str) -> M:
     """What `make` builds from a vocabulary file, once for a worker process, which holds one such model at a time."""
     key = (make.__module__, make.__qualname__, path)
     if key not in _model:
-        _model.clear()
-        release()
+        forget()
         _model[key] = make(path)
         release()
     return _model[key]
 
 
+def forget() -> None:
+    """Drops the model of an earlier task, for tasks that need none: a worker process goes on from operator to operator."""
+    if _model:
+        _model.clear()
+        release()
+
+
+def in_pieces(batches: Iterable[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of about `most` bytes, so that what a task makes of them is not held for a whole batch at once."""
+    for batch in batches:
+        rows = max(1, most * batch.num_rows // max(1, batch.nbytes))
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def release() -> None:
     """Gives freed memory back at the end of a task, since Python workers outlast it."""
     gc.collect()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import forget, in_pieces, release, sized, written
 
 WINDOW = 8
 #: Words of a window that are no placeholders, at least; a window with fewer is widened.
@@ -39,7 +39,7 @@ LITERALS = 4
 #: Share of an item's windows that a re-parameterised copy must have.
 SHARE = 0.5
 #: Bytes whose words are hashed at once.
-PIECE = 1_000_000
+PIECE = 250_000
 #: The bit set has 2 to this power of bits.
 FILTER_BITS = 22
 #: Words that are units when they follow a number.
@@ -236,7 +236,8 @@ def _windows(window: int, literals: int, units: np.ndarray, lengths: list[tuple[
                 yield place, place + length, exact
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget()
+        for batch in in_pieces(batches):
             ids = batch.column(0)
             every = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             first = 0
@@ -259,6 +260,7 @@ def _windows(window: int, literals: int, units: np.ndarray, lengths: list[tuple[
                         ["id", "hash", "place", "token", "slots", "exact"],
                     )
                 first = last
+        release()
 
     return run
 

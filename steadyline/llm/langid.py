@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import in_pieces, release
 from .lattice import START, pieces, smoothed
 
 UNDETERMINED = "und"
@@ -112,7 +112,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str,
         own, logs = pieces(vocab), shared.value
         seen = Numbers()
         scores = np.zeros((0, len(langs)))
-        for batch in batches:
+        for batch in in_pieces(batches):
             found, sure = [], []
             texts = batch.column(0).field(text_col)
             for first in range(0, len(texts), 256):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import distance, link_runs, link_runs_twice, pairs_across
-from .common import release, sized, written
+from .common import forget, in_pieces, release, sized, written
 from .components import components
 
 #: Bytes of hash bits that are summed at once; bounds memory for texts of any length.
@@ -155,7 +155,8 @@ def fingerprints(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col:
     names = [f"f{k}" for k in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget()
+        for batch in in_pieces(batches):
             texts = (x.as_py() or b"" for x in batch.column(1).cast(pa.binary()))
             prints = np.zeros((batch.num_rows, n), np.uint64)
             for at, text in enumerate(texts):
@@ -290,7 +291,7 @@ def _close_up(docs: DataFrame, nodes: DataFrame, plan: Plan, id_col: str, text_c
     words, names = plan.words, [f"f{k}" for k in range(LONG)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             sets, prints = [], np.zeros((batch.num_rows, LONG), np.uint64)
             for at, text in enumerate(batch.column(1).cast(pa.binary())):
                 text = text.as_py() or b""

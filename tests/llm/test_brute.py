@@ -2,17 +2,19 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from steadyline.llm import bpe as bpe_module
-from steadyline.llm import decontaminate, langid, lm, queries, search, secrets, simhash
+from steadyline.llm import common, decontaminate, langid, lm, queries, search, secrets, simhash
 from steadyline.llm.bitslice import link_runs, link_runs_twice, pairs_across
 from steadyline.llm.bpe import tables
 from steadyline.llm.components import components
@@ -642,6 +644,29 @@ def test_passage_late_in_a_very_long_text(spark):
     assert {r["doc_id"] for r in found} == {0, 1}
 
 
+def test_a_task_holds_little_beside_its_batch():
+    """The windows of a batch of 8 MB are made a slice at a time, and the model of an earlier stage goes first."""
+    rng = random.Random(3)
+    some = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choices(some, k=300)) for _ in range(4000)]
+    batch = pa.record_batch({"id": pa.array(range(len(texts))), "text": texts})
+    bits = np.zeros(1 << decontaminate.FILTER_BITS, bool)
+    bits[::97] = True
+    common._model["of another stage"] = "a"
+    tracemalloc.start()
+    windows = decontaminate._windows(decontaminate.WINDOW, decontaminate.LITERALS, decontaminate.hashes_of(decontaminate.UNITS), [(5, True)], bits)
+    found = sum(out.num_rows for out in windows([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 0 and not common._model and most < 50e6
+
+
+def test_slices_hold_every_row_once():
+    batch = pa.record_batch({"id": pa.array(range(1000)), "text": ["x" * (i % 90) for i in range(1000)]})
+    cut = list(common.in_pieces([batch, batch.slice(0, 0), batch.slice(999)], 5000))
+    assert len(cut) > 8 and [i for b in cut for i in b.column(0).to_pylist()] == [*range(1000), 999]
+
+
 def test_whole_windows_by_brute_force(spark):
     docs = pd.read_parquet(f"{DATA}/sf0.01/documents.parquet")
     items = pd.read_parquet(f"{DATA}/sf0.01/benchmark.parquet")
