@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import tracemalloc
+import types
 import zlib
 
 import numpy as np
@@ -365,6 +366,50 @@ def test_bm25_ties_and_empty_shards(spark, monkeypatch):
     assert found == {7: [7, 8, 100, 101, 102, 103], 105: [100, 101, 102, 103, 104, 105], 205: []}
 
 
+def test_packs_by_counters(monkeypatch):
+    """A pack holds each text's distinct words with their counts, and each word's number of texts."""
+    monkeypatch.setattr(search, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    texts = ["b a B\tc", None, "", " ", "a " * 300 + "é", "zz"]
+    packs = list(search._pack(700)([pa.record_batch({"id": pa.array(range(6)), "text": texts})]))
+    got = {}
+    for p in packs:
+        names, own = p.column("words")[0].as_py().split("\n"), search._arrays(pa.RecordBatch.from_arrays([*p.columns, *[pa.array([b""])] * 2], [*p.schema.names[:-1], "texts", "numbers", "df"]), 0)
+        ends = np.cumsum(own["sizes"])
+        each = [{names[t].encode(): int(f) for t, f in zip(own["terms"][e - s : e], own["freqs"][e - s : e], strict=True)} for s, e in zip(own["sizes"], ends, strict=True)]
+        got |= dict(zip(own["ids"].tolist(), each, strict=True))
+        assert own["lengths"].tolist() == [sum(x.values()) for x in each]
+        df = collections.Counter(w for x in each for w in x)
+        assert p.column("df")[0].as_py() == [df[w.encode()] for w in names if w] == sorted(df.values(), reverse=True)
+    assert len(packs) > 0 and got == {i: dict(collections.Counter(words(t))) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("most", [50, 1 << 40])
+def test_orders_by_packed_keys(most):
+    """Two keys and the row in one number, or as they are where that has too many bits."""
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, most, 3000) % most, rng.integers(0, 40, 3000).astype(np.int32)
+    assert search._order(a, b).tolist() == np.lexsort((b, a)).tolist() and search._order(b).tolist() == np.argsort(b, kind="stable").tolist()
+    assert len(search._order(a[:0], b[:0])) == 0
+
+
+def test_later_tasks_begin_with_a_threshold(monkeypatch):
+    """A task that is told the k-th best of documents searched before gives back only what reaches it, one by one or in groups."""
+    rng = random.Random(4)
+    monkeypatch.setattr(search, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    some = [f"w{i}" for i in range(200)]
+    pack = next(search._pack(10**6)([pa.record_batch({"id": pa.array(range(400)), "text": [" ".join(rng.choices(some, k=30)) for _ in range(400)]})]))
+    df = np.array(pack.column("df")[0].as_py(), np.int64)
+    row = pa.RecordBatch.from_arrays([*pack.columns[:-2], pa.array([np.arange(len(df)).tobytes()]), pa.array([df.tobytes()])], [*pack.schema.names[:-2], "numbers", "df"])
+    for few in (1, 1000):
+        monkeypatch.setattr(search, "FEW", few)
+        asked = search._merged([search._arrays(row, 0)])
+        whole = next(search._answer(types.SimpleNamespace(value=asked | {"least": np.zeros(400)}), 400, 30.0, 10)([row])).to_pandas()
+        least = whole[whole.groupby("query_id").cumcount() == 3].score.to_numpy()
+        told = next(search._answer(types.SimpleNamespace(value=asked | {"least": least}), 400, 30.0, 10)([row])).to_pandas()
+        want = whole[whole.groupby("query_id").cumcount() < 4]
+        assert len(whole) == 4000 and len(told) < 2000 and set(zip(want.query_id, want.doc_id, want.score)) <= set(zip(told.query_id, told.doc_id, told.score))
+
+
 def test_pivots_skip_postings():
     """Blocks whose maxima stay under the threshold are not read, and the best are those of all scores."""
     bags = [collections.Counter(words(t)) for t in pd.read_parquet(f"{DATA}/sf0.01/documents.parquet").text]
