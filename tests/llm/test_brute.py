@@ -356,6 +356,31 @@ def test_bm25(spark, docs, shard_bytes, broadcast, monkeypatch):
         assert all(np.isclose(scores[i], scores[j]) for i, j in zip(own.doc_id, best, strict=True))
 
 
+def test_words_of_packs_are_never_broadcast(spark, monkeypatch):
+    """A pack of queries is one row to Spark's estimate and a million words to the driver that broadcasts them."""
+    plans = []
+    monkeypatch.setattr(search, "written", lambda df, name, **_: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    monkeypatch.setattr(search, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    packs = spark.createDataFrame([tuple(r.values()) for b in search._pack(100)([pa.record_batch({"id": pa.array([1, 2]), "text": ["a b", "b c"]})]) for r in b.to_pylist()], search.PACKED)
+    words = spark.createDataFrame([("a", 1, 0), ("b", 2, 1), ("c", 1, 2)], "word string, n long, number long")
+    search._numbered(packs, words, "asks")
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
+def test_blocks_are_answered_one_after_another(spark, docs, monkeypatch):
+    """The driver holds the broadcast of one block of queries at a time."""
+    from pyspark import Broadcast
+
+    held, most = [], []
+    monkeypatch.setattr(search, "QUERY_BYTES", 2000)
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 1)
+    send, destroy = type(spark.sparkContext).broadcast, Broadcast.destroy
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: held.append(1) or most.append(len(held)) or send(self, value))
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, blocking=False: held.pop() and destroy(self, blocking))
+    assert queries.op10_bm25_top(spark, SF).count() > 0
+    assert len(most) >= 4 and max(most) == 2 and not held
+
+
 def test_bm25_ties_and_empty_shards(spark, monkeypatch):
     """Equal documents lie in shards of their own; the smaller ids win."""
     monkeypatch.setattr(search, "SHARD_BYTES", 40)
