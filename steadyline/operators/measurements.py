@@ -39,6 +39,16 @@ def with_position(df: DataFrame, series: str, order: str, span: int = CHUNK) ->
     return ranked.withColumn("pos", F.col("offset") + F.col("rank")).drop("bucket", "offset", "rank")
 
 
+def by_series(df: DataFrame) -> DataFrame:
+    """`df` with each series in one task.
+
+    By a hash of the series and not by itself: Spark drops a repartition by the
+    key of a join below it, and then reads that join's shuffle in other pieces
+    (local reads, split skew) where it broadcasts the other side after all.
+    """
+    return df.repartition(F.xxhash64("series"))
+
+
 def chunked(df: DataFrame, halo: int, size: int = CHUNK) -> DataFrame:
     """`df` with `chunk`, and `own`: false for the rows repeated from the chunk before.
 

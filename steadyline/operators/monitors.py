@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from steadyline.functions.numeric import ALPHA, NORMAL, d2, upper_u
 
 from .charts import point
-from .measurements import CHUNK, counted, moving
+from .measurements import CHUNK, by_series, counted, moving
 from .order import medians
 
 
@@ -203,7 +203,7 @@ def chain(entries: DataFrame) -> DataFrame:
                 out.append((row.series, row.pos, row.body, last))
             yield pd.DataFrame(out, columns=["series", "pos", "body", "hash"])
 
-    rows = entries.select("series", "pos", "body").repartition("series").sortWithinPartitions("series", "pos")
+    rows = by_series(entries.select("series", "pos", "body")).sortWithinPartitions("series", "pos")
     return rows.mapInPandas(run, "series string, pos long, body string, hash string")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from steadyline.functions.numeric import ALPHA, chi2_ppf, f_ppf
 
 from .charts import point
-from .measurements import chunked, within_chunk
+from .measurements import by_series, chunked, within_chunk
 
 
 def _in_order(df: DataFrame, step, schema: str) -> DataFrame:
@@ -22,7 +22,7 @@ def _in_order(df: DataFrame, step, schema: str) -> DataFrame:
     A chart that starts anew after its own signals depends on all points before,
     so a series is one task's; the task holds one batch and the state.
     """
-    ordered = df.repartition("series").sortWithinPartitions("series", "pos")
+    ordered = by_series(df).sortWithinPartitions("series", "pos")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         series, state = None, None

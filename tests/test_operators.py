@@ -88,6 +88,25 @@ def test_cusum_restarts_after_a_signal(spark):
     assert got[7]["high"] == 2.5
 
 
+@pytest.mark.parametrize("chart", ["cusum", "ewma"])
+def test_charts_with_memory_after_a_join_that_becomes_a_broadcast(spark, chart):
+    """Spark drops a repartition by the join's key, and a join that turns out small leaves a series in several tasks."""
+    rows = frame(spark, [(7 * i) % 11 for i in range(800)]).repartition(8)
+    flat = rows.withColumns({"mu": F.lit(5.0), "sd": F.lit(3.0)})
+    want = sorted(map(tuple, getattr(sequential, chart)(flat.coalesce(1), "mu", "sd").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    try:
+        facts = flat.groupBy("series").agg(F.first("mu").alias("mu"), F.first("sd").alias("sd"))
+        joined = getattr(sequential, chart)(rows.join(facts, "series"), "mu", "sd")
+        assert "REPARTITION_BY_COL" in joined._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, joined.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert got == want
+
+
 def test_ar_fit_recovers(spark):
     rng = np.random.default_rng(2)
     x = [0.0]
