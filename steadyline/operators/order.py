@@ -121,7 +121,8 @@ def anderson_darling(df: DataFrame, fits: DataFrame) -> DataFrame:
     ranks b + 1 to u of equal values sum up to u^2 - b^2 and (n - b)^2 - (n - u)^2.
     """
     rows = ordered_values(df, "series").join(fits.select("series", "family", "a", "b"), "series")
-    p = F.least(F.greatest(family_cdf("family", "a", "b", "value"), F.lit(NEAR)), F.lit(1 - NEAR))
+    # NaN, of a family without a fit, comes back from pandas as null.
+    p = F.least(F.greatest(F.coalesce(family_cdf("family", "a", "b", "value"), F.lit(math.nan)), F.lit(NEAR)), F.lit(1 - NEAR))
     u, b, n = (F.col("before") + F.col("count")).cast("double"), F.col("before").cast("double"), F.col("n").cast("double")
     part = F.log("p") * (u * u - b * b) + F.log1p(-F.col("p")) * ((n - b) * (n - b) - (n - u) * (n - u))
     sums = rows.withColumn("p", p).groupBy("series", "family", "n").agg(F.sum(part).alias("s"))
@@ -173,7 +174,8 @@ def plot_correlation(df: DataFrame, fits: DataFrame, side: str = "upper", share:
     parts = []
     for c in ("all", "tail"):
         x, k = F.col("x"), F.col(f"{c}.k")
-        parts += [F.sum(v).alias(f"{c}_{name}") for name, v in (("k", k), ("x", x * k), ("xx", x * x * k), ("q", F.col(f"{c}.q")), ("qq", F.col(f"{c}.qq")), ("xq", x * F.col(f"{c}.q")))]
+        q, qq = (F.coalesce(F.col(f"{c}.{v}"), F.lit(math.nan)) for v in ("q", "qq"))  # NaN, of a family without a fit, comes back from pandas as null
+        parts += [F.sum(v).alias(f"{c}_{name}") for name, v in (("k", k), ("x", x * k), ("xx", x * x * k), ("q", q), ("qq", qq), ("xq", x * q))]
     total = rows.groupBy("series", "family", "n", "m").agg(*parts)
 
     def corr(c: str) -> Column:

@@ -168,7 +168,9 @@ def fitted_chart(df: DataFrame, alpha: float = ALPHA, reference_n: int | None =
     """
     own = df if reference_n is None else df.filter(F.col("pos") < reference_n)
     kept = own.join(shapes(own).select("series", "mean"), "series")
-    best = ranked(closed_fits(kept).unionByName(weibull_fit(kept))).filter("rank = 1")
+    # A likelihood without a bound is no fit: with a value of 0, the gamma family has none.
+    found = closed_fits(kept).filter(F.abs("loglik") < math.inf).unionByName(weibull_fit(kept))
+    best = ranked(found).filter("rank = 1")
     limits = best.select("series", "family", *(_family_quantile("family", "a", F.coalesce("b", F.lit(1.0)), F.lit(p)).alias(name) for name, p in (("low", alpha / 2), ("high", 1 - alpha / 2))))
     limits = limits.join(kept.groupBy("series").agg(F.first("mean").alias("mean")), "series")
     return df.join(limits, "series").select("series", "pos", "family", *point(F.col("value"), F.col("mean"), F.col("low"), F.col("high")))

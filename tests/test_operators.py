@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from steadyline.operators import charts, fits, gauges, measurements, monitors, rules, sequential, studies
+from steadyline.operators import charts, fits, gauges, measurements, monitors, order, pearson, rules, sequential, studies
 from steadyline.streaming.monitor import completed
 
 
@@ -128,6 +128,32 @@ def test_ranking_prefers_the_right_family(spark):
     assert first["family"] == "lognormal"
 
 
+def test_fits_of_series_with_a_zero(spark):
+    """Exponential and Rayleigh hold a 0; the lognormal and the gamma get their formulas' limits, as the SQL gives them."""
+    got = {r.family: r for r in fits.ranked(fits.closed_fits(frame(spark, [0.0, 1.0, 2.0, 5.0]))).collect()}
+    assert set(got) == {"normal", "lognormal", "gamma", "exponential", "rayleigh"}
+    assert got["exponential"].a == 2.0 and got["exponential"].loglik == pytest.approx(-4 * (np.log(2) + 1))
+    assert got["rayleigh"].a == pytest.approx(np.sqrt(30 / 8)) and got["rayleigh"].loglik == -np.inf
+    assert got["lognormal"].a == -np.inf and np.isnan(got["lognormal"].b) and np.isnan(got["lognormal"].loglik)
+    assert got["gamma"].loglik == np.inf and got["gamma"].rank == 1 and got["lognormal"].rank == 5
+
+
+def test_fitted_chart_of_a_series_with_a_zero(spark):
+    """A likelihood without a bound is no fit, and the exponential beats the normal."""
+    rows = frame(spark, [0.0, *(-np.log(1 - (np.arange(1, 60) - 0.5) / 60)).tolist()])
+    got = pearson.fitted_chart(rows).collect()
+    assert {r.family for r in got} == {"exponential"} and all(0 < r.lcl < r.ucl < 10 for r in got)
+
+
+def test_correlation_and_distance_of_a_series_with_a_zero(spark):
+    rows = frame(spark, [0.0, 1.0, 2.0, 5.0, 9.0])
+    f = fits.closed_fits(rows).filter("family in ('normal', 'lognormal', 'exponential')")
+    corr = {r.family: r.corr_all for r in order.plot_correlation(rows, f).collect()}
+    assert np.isnan(corr["lognormal"]) and corr["exponential"] > 0.9 and corr["normal"] > 0.9
+    a2 = {r.family: r.a2 for r in order.anderson_darling(rows, f).collect()}
+    assert a2["lognormal"] == pytest.approx(-5 - 5 * np.log(1e-12), rel=1e-6) and set(a2) == {"normal", "lognormal", "exponential"}
+
+
 def test_box_cox_of_lognormal_is_near_zero(spark):
     x = np.random.default_rng(6).lognormal(1, 0.6, 3000)
     assert abs(fits.box_cox(frame(spark, x)).first()["lambda"]) < 0.08
