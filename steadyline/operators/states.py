@@ -114,9 +114,13 @@ def screened(df: DataFrame, alpha: float = 0.05, ends: int = ENDS) -> tuple[Data
     state, step, value, g, critical, delta): delta is the value less the mean of
     the others of its state. Not usable are processes of which over a third
     would go; their states are as they were at that point. States go first, in
-    order of their names, then the whole process. Nulls are left out.
+    order of their names, then the whole process. Nulls are left out. Infinite
+    values lie apart from all others and go before any step: they count among
+    the planned and the gone, and have no row among the removed.
     """
-    rows = df.filter("value is not null").select("series", F.col("state").cast("string").alias("state"), F.col("value").cast("double").alias("value"))
+    every = df.filter("value is not null").select("series", F.col("state").cast("string").alias("state"), F.col("value").cast("double").alias("value"))
+    rows = every.filter(F.abs("value") != math.inf)
+    infinite = every.filter(F.abs("value") == math.inf).groupBy("series", "state").agg(F.count_if(F.col("value") < 0).alias("under"), F.count_if(F.col("value") > 0).alias("over"))
     facts = rows.groupBy("series", "state").agg(F.avg("value").alias("mean"), (F.var_pop("value") * F.count("*")).alias("ss"))
     ordered = cut(ordered_values(rows, "series", "state").join(facts, ["series", "state"]))
     done, left = None, ordered
@@ -130,6 +134,9 @@ def screened(df: DataFrame, alpha: float = 0.05, ends: int = ENDS) -> tuple[Data
             break
         left, ends = ordered.join(again, "series", "left_semi"), 8 * ends
     states = done.filter("step = 0").select("series", "state", "planned", "n", "mean", F.when(F.col("n") > 1, F.col("ss") / (F.col("n") - 1)).alias("var"), "low", "high", "low_gone", "high_gone", F.col("short").isNotNull().alias("usable"))
+    states = states.join(infinite, ["series", "state"], "left").na.fill(0, ["under", "over"])
+    gone = {"planned": F.col("planned") + F.col("under") + F.col("over"), "low_gone": F.col("low_gone") + F.col("under"), "high_gone": F.col("high_gone") + F.col("over")}
+    states = states.withColumns(gone).drop("under", "over")
     return states, done.filter("step > 0").select("series", "state", "step", "value", "g", "critical", "delta")
 
 
@@ -182,7 +189,8 @@ def multistate_performance(
         raise ValueError("lsl must be below usl, and alpha between 0 and 0.5")
     states, removed = screened(df, alpha)
     states = cut(states)
-    gone = removed.groupBy("series").agg(F.count("*").alias("removed"), F.max(F.abs("delta")).alias("amplitude"))
+    # Infinite values are gone too, but have no row among the removed.
+    gone = states.groupBy("series").agg(F.sum(F.col("low_gone") + F.col("high_gone")).alias("removed")).join(removed.groupBy("series").agg(F.max(F.abs("delta")).alias("amplitude")), "series", "left")
     if location == "median":
         kept = ordered_values(df.withColumn("state", F.col("state").cast("string")), "series", "state").join(states.select("series", "state", "planned", "low_gone", "high_gone"), ["series", "state"])
         own = F.least(F.col("before") + F.col("count"), F.col("planned") - F.col("high_gone")) - F.greatest(F.col("before"), F.col("low_gone"))

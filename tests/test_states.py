@@ -128,3 +128,12 @@ def test_a_real_outlier_widens_its_side(spark):
     assert low["pmk_l"] == pytest.approx((10 - 7) / (3 * low["sigma"] + 2.0)) and plain["pmk_l"] == pytest.approx(3 / (3 * plain["sigma"]))
     with pytest.raises(ValueError):
         run(location="mode")
+
+
+def test_infinite_values_go_first(spark):
+    """The logarithm of 0 is no part of a mean: it goes, and counts among the planned and the gone."""
+    rows = [("a", state, float(v % 7 + k)) for k, state in enumerate("xy") for v in range(40)] + [("a", "x", float("-inf"))] * 3
+    df = spark.createDataFrame(rows, "series string, state string, value double")
+    got = {r.state: r for r in S.screened(df)[0].collect()}
+    assert (got["x"].planned, got["x"].n, got["x"].low_gone, got["x"].low) == (43, 40, 3, 0.0) and got["y"].low_gone == 0
+    assert S.multistate_performance(df, -20.0, 30.0).first().removed == 3
